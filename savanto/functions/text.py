@@ -53,21 +53,26 @@ def stem(token: Column) -> Column:
     )
 
 
-def is_stop_word(token: Column) -> Column:
-    """Both the lower-cased word and its stem are compared."""
-    return F.lower(token).isin(STOP_WORDS) | stem(F.lower(token)).isin(STOP_WORDS)
+def drop_stop_words(tokens: Column) -> Column:
+    """Lower-cased, stemmed words; a word goes if it or its stem is a stop word."""
+    words = F.filter(F.transform(tokens, F.lower), lambda t: ~t.isin(STOP_WORDS))
+    return F.filter(F.transform(words, stem), lambda t: ~t.isin(STOP_WORDS))
 
 
 def topic_tokens(text: Column) -> Column:
     """Array of lower-cased, stemmed words with the stop words removed."""
-    kept = F.filter(raw_tokens(text), lambda t: ~is_stop_word(t))
-    return F.transform(kept, lambda t: stem(F.lower(t)))
+    return drop_stop_words(raw_tokens(text))
 
 
 def bigrams(tokens: Column) -> Column:
     """Array of neighbouring pairs joined by a space (empty below two tokens)."""
-    head = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    return F.transform(head, lambda t, i: F.concat_ws(" ", t, F.get(tokens, i + 1)))
+
+    def pairs(t: Column) -> Column:
+        joined = F.zip_with(t, F.slice(t, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.filter(joined, lambda p: p.isNotNull())
+
+    # the one-element wrapper makes Spark build the tokens once, not once per use
+    return F.get(F.transform(F.array(tokens), pairs), F.lit(0))
 
 
 def query_vector(query: Column) -> Column:

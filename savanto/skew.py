@@ -15,9 +15,12 @@ BROADCAST_ROWS = 200_000
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger side is left to a shuffled, skew-split join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a cheap input (a batch of queries, a seed list) stays within the broadcast bound."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def hot_keys(df: DataFrame, key: str, target: int) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from savanto.operators import cover
+from savanto.functions import text as tx
+from savanto.operators import cover, topics
+from savanto.session import written
 from savanto.suite.registry import Tables, case, with_views
 
 QUERY = "the and of"
@@ -84,3 +86,193 @@ def cover_density(t: Tables):
 def cover_density_levels(t: Tables):
     levels = cover.cover_levels(t.documents, cover.make_queries(t.spark, [QUERY]))
     return levels.withColumn("score", F.round("score", 6))
+
+
+# ---- list texts, tokens and topic vectors ----
+
+
+def stem_sql(x: str) -> str:
+    return (
+        f"case when length({x}) <= 3 then {x}"
+        f" when regexp_matches({x}, '[^ae]ies$') then {x}[:length({x}) - 3] || 'y'"
+        f" when regexp_matches({x}, '[^aeo]es$') then {x}[:length({x}) - 1]"
+        f" when regexp_matches({x}, '[^us]s$') then {x}[:length({x}) - 1] else {x} end"
+    )
+
+
+STOPS = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
+
+
+def raw_tokens_sql(x: str) -> str:
+    x = f"regexp_replace({x}, '(^|[^A-Za-z0-9_])@\\w+', '\\1 ', 'g')"
+    x = f"regexp_replace({x}, '&(amp|lt|gt|quot|apos|nbsp|#39);', ' ', 'g')"
+    x = f"regexp_replace({x}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
+    x = f"regexp_replace({x}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"list_filter(regexp_split_to_array({x}, '\\W+|_'), lambda x: x <> '')"
+
+
+def topic_tokens_sql(x: str) -> str:
+    kept = (
+        f"list_filter({raw_tokens_sql(x)}, lambda y: not (lower(y) in {STOPS}"
+        f" or ({stem_sql('lower(y)')}) in {STOPS}))"
+    )
+    return f"list_transform({kept}, lambda z: {stem_sql('lower(z)')})"
+
+
+VECTOR_VIEWS = [
+    ("list_toks", f"select list_id, {topic_tokens_sql("name || ' ' || description")} as toks from lists"),
+    (
+        "user_toks",
+        """select user_id, list_id, unnest(toks) as token, generate_subscripts(toks, 1) as i
+           from member_of join list_toks using (list_id)""",
+    ),
+    (
+        "stream",
+        "select user_id, token, lead(token) over (partition by user_id order by list_id, i) as nxt from user_toks",
+    ),
+    (
+        "vectors",
+        """select user_id, token as topic, count(*) + 1 as freq from stream group by 1, 2
+           union all select distinct user_id, token || ' ' || nxt, 1 from stream where nxt is not null""",
+    ),
+]
+
+
+def vectors(t: Tables):
+    return topics.topic_vectors(t.member_of(), t.lists())
+
+
+@case("topic_vector", with_views("select user_id, topic, freq from vectors", *VECTOR_VIEWS))
+def topic_vector(t: Tables):
+    return vectors(t)
+
+
+@case(
+    "inverted_index",
+    with_views(
+        """select word, user_id >> 16 as block, count(*) as users,
+           '[' || string_agg(user_id::varchar, ',' order by user_id) || ']' as doc_index
+           from (select distinct unnest(string_split(topic, ' ')) as word, user_id from vectors)
+           group by 1, 2""",
+        *VECTOR_VIEWS,
+    ),
+)
+def inverted_index(t: Tables):
+    return topics.index_blocks(vectors(t))
+
+
+@case(
+    "candidates",
+    with_views(
+        """select distinct p_name as query_id, user_id
+           from (select distinct p_name, unnest(string_split(p_name, ' ')) as word from part) q
+           join (select distinct unnest(string_split(topic, ' ')) as word, user_id from vectors) w using (word)""",
+        *VECTOR_VIEWS,
+    ),
+)
+def candidates(t: Tables):
+    queries = t.part.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query")).distinct()
+    stored = written(vectors(t), "vectors")
+    return topics.candidates(queries, topics.index_rows(stored), stored)
+
+
+@case(
+    "tokenize",
+    with_views(
+        f"""select token, count(*) as n from (select unnest({raw_tokens_sql("text")}) as token from documents)
+            group by 1"""
+    ),
+)
+def tokenize(t: Tables):
+    words = t.documents.select(F.explode(tx.raw_tokens(F.col("text"))).alias("token"))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@case(
+    "camel_split",
+    f"""select p_partkey, array_to_string({raw_tokens_sql("replace(upper(p_name[1]) || p_name[2:], ' ', '') || p_type")
+        }, '|') as pieces from part""",
+)
+def camel_split(t: Tables):
+    first_up = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000))
+    joined = F.concat(F.replace(first_up, F.lit(" "), F.lit("")), F.col("p_type"))
+    return t.part.select("p_partkey", F.array_join(tx.camel_split(joined), "|").alias("pieces"))
+
+
+@case(
+    "stem_tokens",
+    f"""select stem, count(*) as n from (select {stem_sql("lower(token)")} as stem
+        from (select unnest({raw_tokens_sql("text")}) as token from documents)) group by 1""",
+)
+def stem_tokens(t: Tables):
+    words = t.documents.select(F.explode(tx.raw_tokens(F.col("text"))).alias("token"))
+    return words.groupBy(tx.stem(F.lower("token")).alias("stem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@case(
+    "remove_stopwords",
+    f"""select doc_id, len({raw_tokens_sql("text")}) as before, len({topic_tokens_sql("text")}) as after,
+        array_to_string({topic_tokens_sql("text")}, ' ') as kept from documents""",
+)
+def remove_stopwords(t: Tables):
+    text = F.col("text")
+    return t.documents.select(
+        "doc_id",
+        F.size(tx.raw_tokens(text)).alias("before"),
+        F.size(tx.topic_tokens(text)).alias("after"),
+        F.array_join(tx.topic_tokens(text), " ").alias("kept"),
+    )
+
+
+@case(
+    "pos_filter",
+    with_views(
+        f"""select list_id, string_agg(token, ' ' order by i) as kept from (
+            select list_id, unnest(toks) as token, generate_subscripts(toks, 1) as i from list_toks)
+            where token in (select {stem_sql("lower(split_part(p_name, ' ', 1))")} from part union
+            select {stem_sql("lower(p_type)")} from part) group by 1""",
+        *VECTOR_VIEWS[:1],
+    ),
+)
+def pos_filter(t: Tables):
+    """First words of part names play adjectives, types nouns, second words verbs."""
+    words = F.split("p_name", " ")
+    tagged = F.array(
+        F.struct(words[0].alias("token"), F.lit("JJ").alias("tag")),
+        F.struct(words[1].alias("token"), F.lit("VB").alias("tag")),
+        F.struct(F.col("p_type").alias("token"), F.lit("NN").alias("tag")),
+    )
+    lexicon = t.part.select(F.inline(tagged)).select(tx.stem(F.lower("token")).alias("token"), "tag").distinct()
+    kept = topics.list_tokens(t.lists(), lexicon=lexicon)
+    return kept.select("list_id", F.array_join("tokens", " ").alias("kept"))
+
+
+@case(
+    "ngrams",
+    f"""select lang, sum(n) as bigrams, count(*) as distinct_bigrams from (
+        select lang, b, count(*) as n from (
+          select lang, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) as b
+          from (select lang, {topic_tokens_sql("text")} as t from documents)) group by 1, 2) group by 1""",
+)
+def ngrams(t: Tables):
+    pairs = t.documents.select("lang", F.explode(tx.bigrams(tx.topic_tokens(F.col("text")))).alias("b"))
+    counted = pairs.groupBy("lang", "b").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("lang").agg(F.sum("n").alias("bigrams"), F.count(F.lit(1)).alias("distinct_bigrams"))
+
+
+@case(
+    "query_vector",
+    f"""select item_id, array_to_string(list_transform({raw_tokens_sql("trim(text)")},
+        lambda z: {stem_sql("lower(z)")}), ' ') as vector from benchmark""",
+)
+def query_vector(t: Tables):
+    return t.benchmark.select("item_id", tx.query_vector(F.col("text")).alias("vector"))
+
+
+@case(
+    "vector_storage",
+    with_views("select user_id, topic, freq from vectors", *VECTOR_VIEWS),
+)
+def vector_storage(t: Tables):
+    """Vectors written as JSON maps and read back."""
+    return topics.decode_vectors(topics.encode_vectors(written(vectors(t), "vectors")))
