@@ -12,48 +12,51 @@ from savanto.suite.registry import Tables, case, with_views
 QUERY = "the and of"
 
 
-def cover_sql(docs: str, terms: str) -> list[tuple[str, str]]:
-    """Views for ``docs(doc_id, text)`` and ``terms(query_id, slot, term)`` with up to three slots."""
+def cover_sql(docs: str, terms: str, p: str = "") -> list[tuple[str, str]]:
+    """Views for ``docs(doc_id, text)`` and ``terms(query_id, slot, term)`` with up to three slots.
+
+    ``p`` prefixes the view names.
+    """
     nxt = ", ".join(
         f"""min(case when slot = {s} then pos end) over (partition by query_id, doc_id order by pos
             rows between current row and unbounded following) as n{s}"""
         for s in range(3)
     )
     return [
-        ("docs", docs),
-        ("terms", terms),
+        (f"{p}docs", docs),
+        (f"{p}terms", terms),
         (
-            "tokens",
-            """select doc_id, unnest(string_split(text, ' ')) as token,
-               generate_subscripts(string_split(text, ' '), 1) - 1 as pos from docs""",
+            f"{p}tokens",
+            f"""select doc_id, unnest(string_split(text, ' ')) as token,
+               generate_subscripts(string_split(text, ' '), 1) - 1 as pos from {p}docs""",
         ),
         (
-            "hits",
-            """select query_id, doc_id, pos, slot from tokens
-               join terms on lower(regexp_replace(token, '[^\\p{L}\\p{N}]', '', 'g')) = term""",
+            f"{p}hits",
+            f"""select query_id, doc_id, pos, slot from {p}tokens
+               join {p}terms on lower(regexp_replace(token, '[^\\p{{L}}\\p{{N}}]', '', 'g')) = term""",
         ),
-        ("nexts", f"select query_id, doc_id, pos, {nxt} from hits"),
+        (f"{p}nexts", f"select query_id, doc_id, pos, {nxt} from {p}hits"),
         (
-            "ends",
-            """select query_id, doc_id, pos,
-               list_sort(list_filter([n0, n1, n2], lambda x: x is not null)) as e from nexts""",
+            f"{p}ends",
+            f"""select query_id, doc_id, pos,
+               list_sort(list_filter([n0, n1, n2], lambda x: x is not null)) as e from {p}nexts""",
         ),
         (
-            "covers",
-            """select query_id, doc_id, level, e[level] as q, max(pos) as p
-               from ends, (values (1), (2), (3)) v(level) where e[level] is not null
+            f"{p}covers",
+            f"""select query_id, doc_id, level, e[level] as q, max(pos) as p
+               from {p}ends, (values (1), (2), (3)) v(level) where e[level] is not null
                group by query_id, doc_id, level, e[level]""",
         ),
         (
-            "levels",
-            """select query_id, doc_id, level, count(*) as covers,
+            f"{p}levels",
+            f"""select query_id, doc_id, level, count(*) as covers,
                sum(least(1.0::double, 3.0::double / (q - p + 1))) as score
-               from covers group by query_id, doc_id, level""",
+               from {p}covers group by query_id, doc_id, level""",
         ),
         (
-            "tops",
-            """select * exclude (rn) from (select *, row_number() over (partition by query_id, doc_id
-               order by level desc) as rn from levels) where rn = 1""",
+            f"{p}tops",
+            f"""select * exclude (rn) from (select *, row_number() over (partition by query_id, doc_id
+               order by level desc) as rn from {p}levels) where rn = 1""",
         ),
     ]
 
