@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
 
 def first_text(html: Column, tag: str, css_class: str | None = None) -> Column:
     """Text of the first ``tag`` element (optionally with a class); NULL if there is none."""
@@ -43,46 +41,52 @@ def without_query(url: Column) -> Column:
     return F.get(F.split(url, r"\?"), F.lit(0))
 
 
-class _ItemReader(HTMLParser):
-    """Collects, for every item element, the first value of each wanted field inside it."""
-
-    def __init__(self, item: tuple[str, str], fields: Mapping[str, tuple[str, str, str]]):
-        super().__init__(convert_charrefs=True)
-        self.item, self.fields = item, fields
-        self.rows: list[dict] = []
-        self.depth = 0  # open elements inside the current item
-        self.row: dict | None = None
-        self.texts: list[tuple[str, int]] = []  # fields whose text is being read
-
-    def handle_starttag(self, tag, attrs):
-        attrs = {k: v or "" for k, v in attrs}
-        if self.row is None:
-            if tag == self.item[0] and self.item[1] in attrs.get("class", ""):
-                self.row, self.depth, self.texts = {}, 1, []
-            return
-        if tag not in VOID_TAGS:
-            self.depth += 1
-        for name, (want_tag, want_class, attr) in self.fields.items():
-            if name in self.row or tag != want_tag or want_class not in attrs.get("class", ""):
-                continue
-            if attr == "text":
-                self.row[name] = ""
-                self.texts.append((name, self.depth))
-            elif attr in attrs:
-                self.row[name] = attrs[attr]
-
-    def handle_data(self, data):
-        for name, _ in self.texts:
-            self.row[name] += data
-
-    def handle_endtag(self, tag):
-        if self.row is None or tag in VOID_TAGS:
-            return
-        self.texts = [(n, d) for n, d in self.texts if d < self.depth]
-        self.depth -= 1
-        if self.depth == 0 or tag == self.item[0] and self.depth < 1:
-            self.rows.append(self.row)
-            self.row = None
+def _reader():
+    """The item reader class; built in a function, so executors need no installed package."""
+    void = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+    class ItemReader(HTMLParser):
+        """Collects, for every item element, the first value of each wanted field inside it."""
+
+        def __init__(self, item: tuple[str, str], fields: Mapping[str, tuple[str, str, str]]):
+            super().__init__(convert_charrefs=True)
+            self.item, self.fields = item, fields
+            self.rows: list[dict] = []
+            self.depth = 0  # open elements inside the current item
+            self.row: dict | None = None
+            self.texts: list[tuple[str, int]] = []  # fields whose text is being read
+
+        def handle_starttag(self, tag, attrs):
+            attrs = {k: v or "" for k, v in attrs}
+            if self.row is None:
+                if tag == self.item[0] and self.item[1] in attrs.get("class", ""):
+                    self.row, self.depth, self.texts = {}, 1, []
+                return
+            if tag not in void:
+                self.depth += 1
+            for name, (want_tag, want_class, attr) in self.fields.items():
+                if name in self.row or tag != want_tag or want_class not in attrs.get("class", ""):
+                    continue
+                if attr == "text":
+                    self.row[name] = ""
+                    self.texts.append((name, self.depth))
+                elif attr in attrs:
+                    self.row[name] = attrs[attr]
+
+        def handle_data(self, data):
+            for name, _ in self.texts:
+                self.row[name] += data
+
+        def handle_endtag(self, tag):
+            if self.row is None or tag in void:
+                return
+            self.texts = [(n, d) for n, d in self.texts if d < self.depth]
+            self.depth -= 1
+            if self.depth == 0:
+                self.rows.append(self.row)
+                self.row = None
+
+    return ItemReader
 
 
 def page_items(
@@ -93,14 +97,14 @@ def page_items(
     ``item`` is ``(tag, class)``; ``fields`` maps a column to ``(tag, class, attribute)`` where
     the attribute ``text`` asks for the element's text. An empty class matches any element.
     """
-    names = list(fields)
+    names, make = list(fields), _reader()
     schema = f"{key} bigint, position int, " + ", ".join(f"{n} string" for n in names)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, page in zip(batch[key], batch[html]):
-                reader = _ItemReader(item, fields)
+                reader = make(item, fields)
                 reader.feed(page or "")
                 out += [(k, i, *(r.get(n) for n in names)) for i, r in enumerate(reader.rows)]
             yield pd.DataFrame(out, columns=[key, "position", *names])

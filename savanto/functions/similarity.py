@@ -2,47 +2,61 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PREFIX_SCALE = 0.1
 BOOST_FROM = 0.7
 
 
-def jaro_winkler_text(a: str, b: str) -> float:
-    """Jaro similarity, raised by a common prefix of up to four letters when above 0.7."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    used = [False] * len(b)
-    left = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == ch:
-                used[j] = True
-                left.append(ch)
+@lru_cache(maxsize=1)
+def _similarity():
+    # built inside a function, so that executors get the code itself and need no installed package
+    scale, boost_from = PREFIX_SCALE, BOOST_FROM
+
+    def measure(a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        if not a or not b:
+            return 0.0
+        reach = max(max(len(a), len(b)) // 2 - 1, 0)
+        used = [False] * len(b)
+        left = []
+        for i, ch in enumerate(a):
+            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+                if not used[j] and b[j] == ch:
+                    used[j] = True
+                    left.append(ch)
+                    break
+        if not left:
+            return 0.0
+        right = [ch for ch, hit in zip(b, used) if hit]
+        m = len(left)
+        swapped = sum(x != y for x, y in zip(left, right)) // 2
+        jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3.0
+        if jaro <= boost_from:
+            return jaro
+        prefix = 0
+        for x, y in zip(a[:4], b[:4]):
+            if x != y:
                 break
-    if not left:
-        return 0.0
-    right = [ch for ch, hit in zip(b, used) if hit]
-    m = len(left)
-    swapped = sum(x != y for x, y in zip(left, right)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3.0
-    if jaro <= BOOST_FROM:
-        return jaro
-    prefix = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * PREFIX_SCALE * (1.0 - jaro)
-
-
-@F.pandas_udf("double")
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Arrow-batched; feed it blocked pairs only."""
-    return pd.Series(
-        [None if x is None or y is None else jaro_winkler_text(x, y) for x, y in zip(a, b)], dtype="float64"
-    )
+            prefix += 1
+        return jaro + prefix * scale * (1.0 - jaro)
+
+    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = [None if x is None or y is None else measure(x, y) for x, y in zip(a, b)]
+        return pd.Series(found, dtype="float64")
+
+    return F.pandas_udf(batch, T.DoubleType())
+
+
+def jaro_winkler(a: str | Column, b: str | Column) -> Column:
+    """Jaro similarity, raised by a common prefix of up to four letters when above 0.7.
+
+    Arrow-batched; feed it blocked pairs only. NULL if either side is NULL.
+    """
+    return _similarity()(a, b)

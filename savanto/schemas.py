@@ -1,0 +1,43 @@
+"""Column types of every stored table, as Spark DDL."""
+
+EDGES = "follower bigint, followee bigint"
+PROFILES = (
+    "user_id bigint, screen_name string, name string, description string, verified boolean, "
+    "profile_image_url string, listed_count bigint, location string, created_at timestamp, last_crawled timestamp"
+)
+LISTS = (
+    "list_id bigint, url string, name string, description string, subscriber_count bigint, "
+    "member_count bigint, created_at timestamp"
+)
+MEMBER_OF = "user_id bigint, list_id bigint"
+VECTORS = "user_id bigint, topic string, freq bigint"
+TAGS = "site string, name string, count bigint"
+SE_EXPERTS = (
+    "site string, id bigint, account_id bigint, user_id bigint, display_name string, profile_image string, "
+    "location string, reputation bigint, url string, link string, creation_date timestamp, last_crawled timestamp"
+)
+TOP_ANSWERERS = (
+    "tag string, user struct<id:bigint,display_name:string,reputation:bigint>, score bigint, post_count bigint"
+)
+Q_TOPICS = (
+    "name string, description string, num_questions bigint, num_followers bigint, num_edits bigint, "
+    "last_crawled timestamp"
+)
+Q_EXPERTS = (
+    "name string, profile_image_url string, topic string, num_views bigint, short_description string, "
+    "num_answers bigint, last_crawled timestamp"
+)
+TOPIC_EXPERTS = "network string, topic string, expert string, score double"
+CROSSWALK = "network string, username string, screen_name string"
+CRAWL_LOG = "url string, status int, last_crawled timestamp"
+OWNER = "struct<user_id:bigint,display_name:string>"
+QUESTIONS = (
+    "question_id bigint, title string, body string, tags array<string>, score bigint, view_count bigint, "
+    f"creation_date timestamp, owner {OWNER}"
+)
+ANSWERS = (
+    "answer_id bigint, question_id bigint, is_accepted boolean, score bigint, creation_date timestamp, "
+    f"owner {OWNER}"
+)
+REP_CHANGES = "user_id bigint, post_id bigint, positive_rep bigint, negative_rep bigint, on_date timestamp"
+PRIVILEGES = "short_description string, reputation bigint"

@@ -1 +1,239 @@
-"""Placeholder."""
+"""Linking of accounts and the tables built from the links."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from savanto.functions.similarity import jaro_winkler
+from savanto.operators import identity as op
+from savanto.operators import topics
+from savanto.suite.registry import Tables, case, with_views
+from savanto.suite.scalars import concat, now
+from savanto.suite.text import VECTOR_VIEWS
+
+PAIRS = """select s_suppkey, c_custkey, s_name, c_name from supplier join customer
+    on regexp_extract(s_name, '[0-9]+') = regexp_extract(c_name, '[0-9]+')"""
+SIGNED = """select s_suppkey, c_custkey, jaro_winkler_similarity(s_name, c_name) as name_sim,
+    coalesce((sqrt(list_sum(list_transform(list_zip(x, y), lambda z: (z[1]::double - z[2]::double) ** 2)))) /
+      nullif(sqrt(list_sum(list_transform(x, lambda z: z::double ** 2))) +
+             sqrt(list_sum(list_transform(y, lambda z: z::double ** 2))), 0), 1.0) as distance,
+    jaro_winkler_similarity('place ' || sn, 'place ' || cn) as location_sim
+    from (select p.*, a.embedding as x, b.embedding as y, s.s_nationkey as sn, c.c_nationkey as cn
+      from pairs p join supplier s using (s_suppkey) join customer c using (c_custkey)
+      left join embeddings a on a.vec_id = s_suppkey
+      left join embeddings b on b.vec_id = c_custkey + c_custkey % 2)"""
+
+
+def suppliers(t: Tables):
+    """Accounts of the smaller network: the signature is the embedding of the same number."""
+    rows = t.supplier.join(t.embeddings, F.col("vec_id") == F.col("s_suppkey"), "left")
+    return rows.select(
+        F.col("s_suppkey").alias("id"),
+        F.col("s_name").alias("name"),
+        concat("place ", F.col("s_nationkey")).alias("location"),
+        F.col("embedding").alias("signature"),
+        op.name_blocks(F.col("s_name")).alias("blocks"),
+    )
+
+
+def customers(t: Tables):
+    """Accounts of the larger network: odd numbers carry the signature of their successor."""
+    key = F.col("c_custkey") + F.col("c_custkey") % 2
+    rows = t.customer.join(t.embeddings, F.col("vec_id") == key, "left")
+    return rows.select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_name").alias("name"),
+        concat("place ", F.col("c_nationkey")).alias("location"),
+        F.col("embedding").alias("signature"),
+        op.name_blocks(F.col("c_name")).alias("blocks"),
+    )
+
+
+@case(
+    "name_similarity",
+    with_views(
+        """select s_suppkey as src_id, c_custkey as match_id, round(jaro_winkler_similarity(s_name, c_name), 6) as sim
+           from pairs""",
+        ("pairs", PAIRS),
+    ),
+)
+def name_similarity(t: Tables):
+    pairs = op.candidate_pairs(suppliers(t), customers(t), "fewer")
+    return pairs.select("src_id", "match_id", F.round(jaro_winkler("src_name", "match_name"), 6).alias("sim"))
+
+
+@case(
+    "fuzzy_match",
+    with_views(
+        """select s_suppkey as src_id, c_custkey as match_id, round(name_sim, 6) as name_sim,
+           round(distance, 6) as distance, round(location_sim, 6) as location_sim from signed
+           where name_sim > 0.8 and distance < 0.5""",
+        ("pairs", PAIRS),
+        ("signed", SIGNED),
+    ),
+)
+def fuzzy_match(t: Tables):
+    found = op.fuzzy_match(suppliers(t), customers(t))
+    return found.select("src_id", "match_id", *[F.round(c, 6).alias(c) for c in ("name_sim", "distance", "location_sim")])
+
+
+@case(
+    "link_accounts",
+    with_views(
+        """select direction, id, match_id from (
+             select 'stackexchange_to_twitter' as direction, s.s_suppkey as id, g.c_custkey as match_id
+             from supplier s left join good g using (s_suppkey)
+             union all select 'quora_to_twitter', s.s_suppkey, g.c_custkey
+             from supplier s left join good g using (s_suppkey)
+             union all select 'twitter_to_stackexchange', c.c_custkey, g.s_suppkey
+             from customer c left join good g using (c_custkey))""",
+        ("pairs", PAIRS),
+        ("signed", SIGNED),
+        ("good", "select * from signed where name_sim > 0.8 and distance < 0.5"),
+    ),
+)
+def link_accounts(t: Tables):
+    s, c = suppliers(t), customers(t)
+    parts = [
+        op.link_accounts(op.SE_TO_TWITTER, s, c, now()),
+        op.link_accounts(op.Q_TO_TWITTER, s, c, now()),
+        op.link_accounts(op.TWITTER_TO_SE, c, s, now()),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("direction", "id", "match_id")
+
+
+EXPERTS = [
+    (
+        "experts",
+        """select 'stackexchange' as network, 'site.com:' || s_name as expert, screen_name from supplier
+             left join (select * from crosswalk where length(expert) % 2 = 0 and right(expert, 1) in ('1', '2', '3')) x
+             on x.expert = s_name
+           union all select 'quora', 'quora:' || s_name, screen_name from supplier
+             left join (select * from crosswalk where right(expert, 1) in ('3', '4')) x on x.expert = s_name""",
+    )
+]
+
+
+def experts(t: Tables):
+    """Experts of both networks; some are linked to an account."""
+    last = F.substring("expert", -1, 1)
+    even = F.length("expert") % 2 == 0
+    se = t.crosswalk().where(last.isin("1", "2", "3") & even)
+    q = t.crosswalk().where(last.isin("3", "4"))
+
+    def of(network: str, space: str, links):
+        rows = t.supplier.join(links, F.col("expert") == F.col("s_name"), "left")
+        return rows.select(F.lit(network).alias("network"), concat(space, F.col("s_name")).alias("expert"), "screen_name")
+
+    return of("stackexchange", "site.com:", se).unionByName(of("quora", "quora:", q))
+
+
+@case(
+    "count_matched",
+    with_views(
+        "select network, count(*) as experts, count(screen_name) as matched from experts group by 1", *EXPERTS
+    ),
+)
+def count_matched(t: Tables):
+    return op.count_matched(experts(t))
+
+
+@case(
+    "combine_users",
+    with_views(
+        """select network, expert as username, 'screen_name' as field, screen_name as value from experts
+             where screen_name is not null
+           union all select 'twitter', screen_name,
+             case network when 'quora' then 'quora_name' else 'so_display_name' end, expert from experts
+             where screen_name is not null""",
+        *EXPERTS,
+    ),
+)
+def combine_users(t: Tables):
+    return op.combine_users(experts(t))
+
+
+TOPIC_ROWS = [
+    (
+        "topic_rows",
+        """select 'stackexchange' as network, p_name as topic, 'site.com:' || s_name as expert,
+             l_extendedprice as score, l_shipdate as ts, l_orderkey, l_linenumber
+             from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey
+           union all select 'quora', lower(p_type), 'quora:' || s_name, l_extendedprice, l_shipdate,
+             l_orderkey, l_linenumber
+             from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey""",
+    )
+]
+
+
+def topic_rows(t: Tables, network: str, topic: str, space: str):
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(
+        t.supplier, F.col("s_suppkey") == F.col("l_suppkey")
+    )
+    return rows.select(
+        F.lit(network).alias("network"),
+        F.col(topic).alias("topic"),
+        concat(space, F.col("s_name")).alias("expert"),
+        F.col("l_extendedprice").alias("score"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice").alias("ts"),
+    )
+
+
+@case(
+    "combine_topics",
+    with_views(
+        """select network, topic, expert,
+             arg_max(score, (ts, l_orderkey, l_linenumber, score)) as score from topic_rows
+           where (network, expert) in (select (network, expert) from experts where screen_name is not null)
+           group by 1, 2, 3""",
+        *EXPERTS,
+        *TOPIC_ROWS,
+    ),
+)
+def combine_topics(t: Tables):
+    return op.combine_topics(
+        topic_rows(t, "stackexchange", "p_name", "site.com:"), topic_rows(t, "quora", "p_type", "quora:"), experts(t)
+    )
+
+
+@case(
+    "refresh_profiles",
+    with_views(
+        """select p.user_id, p.screen_name, case when c.screen_name is null then p.listed_count
+             else p.listed_count + 1000 end as listed_count
+           from profiles p left join (select distinct screen_name from crosswalk
+             where expert in (select expert from se_topic_experts where score > 900)) c using (screen_name)"""
+    ),
+)
+def refresh_profiles(t: Tables):
+    """Accounts of experts with a high score are fetched again with a new listed count."""
+    stored = t.profiles().select("user_id", "screen_name", "listed_count")
+    fetched = stored.withColumn("listed_count", F.col("listed_count") + 1000)
+    return op.refresh_profiles(stored, fetched, t.se_topic_experts().where("score > 900"), t.crosswalk())
+
+
+@case(
+    "near_words",
+    with_views(
+        """select distinct a as token, b as token_2, round(jaro_winkler_similarity(a, b), 6) as similarity
+           from (select distinct a, b from (select unnest(toks) as a, toks from list_toks), unnest(toks) u(b))
+           where a < b and jaro_winkler_similarity(a, b) > 0.8 and jaro_winkler_similarity(a, b) < 1""",
+        *VECTOR_VIEWS[:1],
+    ),
+)
+def near_words(t: Tables):
+    found = op.near_words(topics.list_tokens(t.lists()))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@case(
+    "tier_weights",
+    """select user_id, round(sum(value * n) / sum(n), 4) as score from (
+         select user_id, event_type, sum(value) as value, count(*) as n from events group by 1, 2) group by 1""",
+)
+def tier_weights(t: Tables):
+    """Event types play networks; their shares of a user's events are the weights."""
+    rows = t.events.groupBy("user_id", F.col("event_type").alias("network")).agg(
+        F.sum("value").alias("score"), F.count(F.lit(1)).alias("activity")
+    )
+    return op.tier_weights(rows).select("user_id", F.round("score", 4).alias("score"))

@@ -35,10 +35,14 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+def sql_rows(con, sql: str):
+    cur = con.execute(sql)
+    return rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
 def differences(spark_df, con, sql: str) -> str | None:
     got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
-    cur = con.execute(sql)
-    want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    want = sql_rows(con, sql)
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
     if len(got[1]) != len(want[1]):
