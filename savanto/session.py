@@ -75,3 +75,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Write a table bucketed by ``keys`` under the shared folder: joins on them move the other side only."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = "savanto_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
