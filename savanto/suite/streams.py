@@ -1 +1,101 @@
-"""Placeholder."""
+"""Streaming queries over the event table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from savanto.session import new_path
+from savanto.streaming import feeds
+from savanto.suite.registry import Tables, case, with_views
+
+STAMP = "yyyy-MM-dd HH:mm:ss"
+
+
+def event_feed(t: Tables):
+    """The stored events as a stream, with a time stamp streaming accepts."""
+    schema = t.events.schema
+    return feeds.read_feed(t.spark, f"{t.folder}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def split_feed(t: Tables, path: str, events):
+    """Events rewritten as several files, one per micro-batch."""
+    events.repartition(3, "event_id").write.mode("append").parquet(path)
+    feed = feeds.read_feed(t.spark, path, t.events.schema, files_per_batch=1)
+    return feed.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@case("stream_dedup", "select distinct user_id, event_type from events")
+def stream_dedup(t: Tables):
+    out = new_path(t.spark, "dedup")
+    rows = feeds.dedup(event_feed(t), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
+    feeds.finish(feeds.start_rows(rows, f"{out}/rows", f"{out}/checkpoint"))
+    return t.spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+@case(
+    "stream_leaderboard",
+    with_views(
+        """select event_type as topic, 'Supplier#' || lpad(user_id::varchar, 9, '0') as expert,
+           arg_max(value, ts) as views from events
+           where 'Supplier#' || lpad(user_id::varchar, 9, '0') in (select expert from crosswalk) group by 1, 2"""
+    ),
+)
+def stream_leaderboard(t: Tables):
+    """Users play writers named like suppliers; those with a linked account enter the leaderboard."""
+    out = new_path(t.spark, "leaderboard")
+    feed = split_feed(t, f"{out}/feed", t.events).select(
+        F.concat(F.lit("Supplier#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("expert"),
+        F.col("event_type").alias("topic"),
+        F.col("value").alias("views"),
+        "ts",
+    )
+    feeds.finish(feeds.leaderboard_update(feed, t.crosswalk(), f"{out}/tables", f"{out}/checkpoint"))
+    return feeds.read_leaderboard(t.spark, f"{out}/tables")
+
+
+@case("stream_resume", "select user_id, count(*) as n from events group by 1")
+def stream_resume(t: Tables):
+    """Counts per user: half the feed, a stop, then the rest from the same checkpoint."""
+    out = new_path(t.spark, "resume")
+    for half in (0, 1):
+        feed = split_feed(t, f"{out}/feed", t.events.where(F.col("event_id") % 2 == half))
+        run = feeds.start_deltas(feeds.counts(feed, "user_id"), f"{out}/deltas", f"{out}/checkpoint", "update")
+        feeds.finish(run)
+    return feeds.read_deltas(t.spark, f"{out}/deltas", ["user_id"], "n")
+
+
+@case(
+    "stream_latest",
+    "select user_id as url, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as ts from events group by 1",
+)
+def stream_latest(t: Tables):
+    out = new_path(t.spark, "latest")
+    feed = split_feed(t, f"{out}/feed", t.events).withColumnRenamed("user_id", "url")
+    run = feeds.start_deltas(feeds.latest(feed, "url", "ts"), f"{out}/deltas", f"{out}/checkpoint", "update")
+    feeds.finish(run)
+    rows = feeds.read_deltas(t.spark, f"{out}/deltas", ["url"], "ts")
+    return rows.select("url", F.date_format("ts", STAMP).alias("ts"))
+
+
+QUOTA_SQL = """select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as requests
+    from events group by 1 having count(*) > 20"""
+
+
+@case("window_quota", QUOTA_SQL)
+def window_quota(t: Tables):
+    busy = feeds.quota(t.events, "ts", "1 hour", 20)
+    return busy.select(F.date_format("start", STAMP).alias("start"), "requests")
+
+
+@case(
+    "stream_quota",
+    f"""select * from ({QUOTA_SQL}) where start < (select strftime(time_bucket(interval 1 hour, max(ts)),
+        '%Y-%m-%d %H:%M:%S') from events)""",
+)
+def stream_quota(t: Tables):
+    """The same over the stream: windows come out once the watermark has passed them, so the last one stays open."""
+    out = new_path(t.spark, "quota")
+    rows = feeds.quota(event_feed(t).withWatermark("ts", "0 seconds"), "ts", "1 hour", 20)
+    feeds.finish(feeds.start_rows(rows, f"{out}/rows", f"{out}/checkpoint"))
+    done = t.spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    return done.select(F.date_format("start", STAMP).alias("start"), "requests")
