@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,13 +25,19 @@ STOP_WORDS = ENGLISH_STOP_WORDS + [w.lower() for w in DOMAIN_STOP_WORDS]
 HANDLE = r"(?<![A-Za-z0-9_])@\w+"
 ENTITY = r"&(amp|lt|gt|quot|apos|nbsp|#39);"
 CAMEL = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
-NON_WORD = r"\W+|_"
+HAS_CAMEL = "[a-z][A-Z]|[A-Z][A-Z][a-z]"
+NON_WORD = r"[\W_]+"
 
 
 def _not_empty(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t != "")
 
 
+def _replace_if(text: Column, mark: str, pattern: str) -> Column:
+    """Replace by a blank; texts without the mark skip the pattern."""
+    return F.when(F.contains(text, F.lit(mark)), F.regexp_replace(text, pattern, " ")).otherwise(text)
+
+
 def camel_split(text: Column) -> Column:
     """Array of the camelCase pieces of one identifier."""
     return _not_empty(F.split(text, CAMEL))
@@ -37,18 +45,27 @@ def camel_split(text: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """Array of words: handles dropped, camelCase opened, split at anything but letters and digits."""
-    cleaned = F.regexp_replace(F.regexp_replace(text, HANDLE, " "), ENTITY, " ")
-    return _not_empty(F.split(cleaned, f"{NON_WORD}|{CAMEL}"))
+    cleaned = _replace_if(_replace_if(text, "@", HANDLE), "&", ENTITY)
+    # the costlier split runs only on texts that hold a camelCase boundary
+    opened = F.when(cleaned.rlike(HAS_CAMEL), F.split(cleaned, f"{NON_WORD}|{CAMEL}"))
+    return _not_empty(opened.otherwise(F.split(cleaned, NON_WORD)))
 
 
 def stem(token: Column) -> Column:
-    """Default stemmer: plural endings only, for words longer than three letters."""
+    """Default stemmer: plural endings only, for words longer than three letters.
+
+    ``ies`` turns into ``y`` (not after a or e), else the s goes, except after u, s and in aes, ees, oes.
+    """
     n = F.length(token)
+
+    def ends(*endings: str) -> Column:
+        return reduce(lambda a, b: a | b, [F.endswith(token, F.lit(e)) for e in endings])
+
     return (
-        F.when(n <= 3, token)
-        .when(token.rlike("[^ae]ies$"), F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y")))
-        .when(token.rlike("[^aeo]es$"), F.substring(token, F.lit(1), n - 1))
-        .when(token.rlike("[^us]s$"), F.substring(token, F.lit(1), n - 1))
+        F.when(~ends("s") | (n <= 3), token)
+        .when(ends("ies") & ~ends("aies", "eies"), F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y")))
+        .when(ends("es") & ~ends("aes", "ees", "oes"), F.substring(token, F.lit(1), n - 1))
+        .when(~ends("us", "ss"), F.substring(token, F.lit(1), n - 1))
         .otherwise(token)
     )
 
@@ -80,9 +97,9 @@ def query_vector(query: Column) -> Column:
     return F.array_join(F.transform(raw_tokens(F.trim(query)), lambda t: stem(F.lower(t))), " ")
 
 
-def alnum(token: Column) -> Column:
-    """Letters and digits of a token; everything else is dropped."""
-    return F.regexp_replace(token, r"[^\p{L}\p{N}]", "")
+def blank_separated(text: Column) -> Column:
+    """Lower-cased tokens between single blanks, reduced to letters and digits; positions are kept."""
+    return F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N} ]+", "")), " ")
 
 
 def namespaced(*parts: Column) -> Column:

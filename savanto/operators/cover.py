@@ -42,19 +42,19 @@ def _slots(terms: DataFrame) -> int:
 
 
 def hits(docs: DataFrame, terms: DataFrame, key: Sequence[str], text: str) -> DataFrame:
-    """``(query_id, *key, pos, slot)``: positions of query terms; all other tokens end here, unshuffled."""
-    tokens = docs.select(*key, F.posexplode(F.split(text, " ")).alias("pos", "token"))
-    tokens = tokens.select(*key, "pos", F.lower(tx.alnum(F.col("token"))).alias("term"))
-    return tokens.join(broadcast_if_small(terms), "term").select("query_id", *key, "pos", "slot")
+    """``(query_id, *key, pos, slot, term)``: positions of query terms; other tokens end here, unshuffled."""
+    tokens = docs.select(*key, F.posexplode(tx.blank_separated(F.col(text))).alias("pos", "term"))
+    return tokens.join(broadcast_if_small(terms), "term").select("query_id", *key, "pos", "slot", "term")
 
 
-def _per_level(found: DataFrame, key: Sequence[str], slots: int) -> DataFrame:
-    """``(query_id, *key, levels)`` with ``levels`` an array of (level, covers, score) structs."""
+def _per_level(found: DataFrame, key: Sequence[str], slots: int, *also: Column) -> DataFrame:
+    """``(query_id, *key, *also, levels)`` with ``levels`` an array of (level, covers, score) structs."""
     group = ["query_id", *key]
+    kept = ["term"] if also else []
     backwards = Window.partitionBy(*group).orderBy(F.desc("pos"))
     so_far = backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     following = [F.last(F.when(F.col("slot") == s, F.col("pos")), True).over(so_far) for s in range(slots)]
-    ends = found.select(*group, "pos", F.array_sort(F.array_compact(F.array(*following))).alias("ends"))
+    ends = found.select(*group, *kept, "pos", F.array_sort(F.array_compact(F.array(*following))).alias("ends"))
     ends = ends.withColumn("later", F.lag("ends").over(backwards))
 
     def cover_score(i: int) -> Column:
@@ -62,7 +62,7 @@ def _per_level(found: DataFrame, key: Sequence[str], slots: int) -> DataFrame:
         minimal = end.isNotNull() & (later.isNull() | (later > end))
         return F.when(minimal, F.least(F.lit(1.0), F.lit(KAPPA) / (end - F.col("pos") + 1)))
 
-    sums = []
+    sums = list(also)
     for i in range(slots):
         sums += [F.count(cover_score(i)).alias(f"c{i}"), F.sum(cover_score(i)).alias(f"s{i}")]
     per_doc = ends.groupBy(*group).agg(*sums)
@@ -72,7 +72,8 @@ def _per_level(found: DataFrame, key: Sequence[str], slots: int) -> DataFrame:
             for i in range(slots)
         ]
     )
-    return per_doc.select(*group, F.filter(levels, lambda x: x["covers"] > 0).alias("levels"))
+    sums_only = [c for c in per_doc.columns if c not in group and not c[1:].isdigit()]
+    return per_doc.select(*group, *sums_only, F.filter(levels, lambda x: x["covers"] > 0).alias("levels"))
 
 
 def cover_levels(
@@ -93,14 +94,14 @@ def cover_scores(
     return _top_level(per_doc, key)
 
 
-def term_scores(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """Like :func:`cover_scores` for short texts that repeat much: scores each distinct text once.
+def term_scores(topics: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(query_id, topic, level, score, word)`` for short texts that repeat much: each is scored once.
 
-    ``docs`` needs only its ``key`` column, which is the text itself.
+    ``topics`` needs its ``topic`` column only; ``word`` is one of the query terms the topic holds.
     """
-    tokens = docs.select(key, F.col(key).alias("__text"))
-    found = hits(tokens, terms, [key], "__text").distinct()
-    return _top_level(_per_level(found, [key], max(_slots(terms), 1)), [key])
+    found = hits(topics.select("topic", F.col("topic").alias("__text")), terms, ["topic"], "__text").distinct()
+    per_topic = _per_level(found, ["topic"], max(_slots(terms), 1), F.min("term").alias("word"))
+    return _top_level(per_topic, ["topic", "word"])
 
 
 def _top_level(per_doc: DataFrame, key: Sequence[str]) -> DataFrame:

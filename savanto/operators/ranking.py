@@ -13,6 +13,8 @@ from savanto.functions import values as vx
 from savanto.operators import cover
 from savanto.skew import broadcast_if_small, is_small
 
+PUSHED_TERMS = 1000
+
 # Provenance of a ranking row.
 BASE, SE_MERGED, SE_ADDED, Q_MERGED, Q_ADDED = range(5)
 
@@ -22,16 +24,27 @@ def stemmed(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", tx.query_vector(F.col("query")).alias("query"))
 
 
-def rank_users(queries: DataFrame, vectors: DataFrame, profiles: DataFrame) -> DataFrame:
+def with_words(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the query terms. A short list of terms is pushed into the scan of the sorted index."""
+    words = terms.select(F.col("term").alias("word")).distinct()
+    few = words.limit(PUSHED_TERMS + 1).collect()
+    if len(few) <= PUSHED_TERMS:
+        return postings.where(F.col("word").isin([r.word for r in few]))
+    return postings.join(words, "word", "left_semi")
+
+
+def rank_users(queries: DataFrame, postings: DataFrame, profiles: DataFrame) -> DataFrame:
     """``(query_id, user_id, score, flag)``: sum of freq x cover score over a user's best topics,
     weighted by the log of the listed count.
 
-    A topic's score does not depend on the user, so every distinct topic is scored once and the
-    scores are joined back. Users without a matching topic never appear (they are no candidates).
+    ``postings`` is the index ``(word, topic, user_id, freq)``. A topic's score does not depend on
+    the user, so every distinct topic is scored once and the scores are joined back, each topic by
+    one of its words. Users without a matching topic never appear (they are no candidates).
     """
     terms = cover.query_terms(stemmed(queries))
-    scores = cover.term_scores(vectors, terms, "topic")
-    matched = vectors.join(scores, "topic")
+    found = with_words(postings, terms)
+    scores = cover.term_scores(found, terms)
+    matched = found.join(scores, ["word", "topic"]).drop("word")
     best = cover.keep_ranked(matched, ["query_id", "user_id"], "topic")
     sims = best.groupBy("query_id", "user_id").agg(F.sum(F.col("freq") * F.col("score")).alias("sim"))
     listed = profiles.select("user_id", "listed_count")

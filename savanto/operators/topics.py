@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from savanto.functions import text as tx
 from savanto.skew import adjacent_pairs, broadcast_if_small
 
-BLOCK_BITS = 16
+BLOCK_BITS = 16  # ids per posting block
+LIST_BITS = 21  # list ids per window block
 
 
 def list_texts(lists: DataFrame) -> DataFrame:
@@ -56,27 +57,34 @@ def topic_vectors(
     """``(user_id, topic, freq)`` for all users at once.
 
     A user's lists, by id, form one token stream. A word counts 1 + its occurrences, a pair of
-    neighbouring words 1. Pairs inside a list text are built in the row; only the first and last
-    word of each list are ordered across lists, in windows of bounded size.
+    neighbouring words 1, also where one list ends and the next begins. The stream is ordered in
+    windows of bounded size, however many lists a user is on.
     """
-    tokens = list_tokens(lists, stems, lexicon).where(F.size("tokens") > 0)
-    found = F.concat(
-        F.transform("tokens", lambda t: F.struct(t.alias("topic"), F.lit(1).alias("n"))),
-        F.transform(tx.bigrams(F.col("tokens")), lambda t: F.struct(t.alias("topic"), F.lit(0).alias("n"))),
+    # generated rather than filtered, so that the tokens are built once
+    used = F.filter(F.array("tokens"), lambda t: F.size(t) > 0)
+    tokens = list_tokens(lists, stems, lexicon).select("list_id", F.explode(used).alias("tokens"))
+    placed = member_of.select("user_id", "list_id").join(tokens, "list_id")
+    # one exchange: a user's lists in blocks of ids, so that no window exceeds 2**LIST_BITS rows
+    placed = placed.withColumn("block", F.shiftright("list_id", LIST_BITS)).repartition("user_id", "block")
+    in_block = Window.partitionBy("user_id", "block").orderBy("list_id")
+    stream = placed.select(
+        "user_id", "tokens", F.lead(F.get("tokens", F.lit(0))).over(in_block).alias("next_first")
     )
-    prepared = tokens.select(
-        "list_id",
-        found.alias("found"),
-        F.element_at("tokens", 1).alias("first"),
-        F.element_at("tokens", -1).alias("last"),
+    words = F.transform("tokens", lambda t: F.struct(t.alias("topic"), F.lit(1).alias("n")))
+    pairs = F.transform(
+        tx.bigrams(F.concat("tokens", F.array_compact(F.array("next_first")))),
+        lambda t: F.struct(t.alias("topic"), F.lit(0).alias("n")),
     )
-    placed = member_of.select("user_id", "list_id").join(prepared, "list_id")
-    inside = placed.select("user_id", F.inline("found"))
-    ends = adjacent_pairs(placed, "user_id", "list_id", "first", "last")
-    across = ends.select(
+    found = stream.select("user_id", F.inline(F.concat(words, pairs)))
+    # between blocks only their first and last words matter
+    ends = placed.groupBy("user_id", "block").agg(
+        F.min_by(F.get("tokens", F.lit(0)), "list_id").alias("first"),
+        F.max_by(F.element_at("tokens", -1), "list_id").alias("last"),
+    )
+    across = adjacent_pairs(ends, "user_id", "block", "first", "last", LIST_BITS, 63 - LIST_BITS).select(
         "user_id", F.concat_ws(" ", "last", "next_first").alias("topic"), F.lit(0).alias("n")
     )
-    total = inside.unionByName(across).groupBy("user_id", "topic").agg(F.sum("n").alias("n"))
+    total = found.unionByName(across).groupBy("user_id", "topic").agg(F.sum("n").alias("n"))
     return total.select("user_id", "topic", (F.col("n") + 1).cast("bigint").alias("freq"))
 
 
@@ -121,6 +129,12 @@ def decode_vectors(encoded: DataFrame) -> DataFrame:
     return encoded.select("user_id", F.explode(parsed).alias("topic", "freq"))
 
 
+def postings(vectors: DataFrame) -> DataFrame:
+    """``(word, topic, user_id, freq)``: the index with what ranking needs, once per word of a topic."""
+    words = F.array_distinct(F.split("topic", " "))
+    return vectors.select(F.explode(words).alias("word"), "topic", "user_id", "freq")
+
+
 def candidates(queries: DataFrame, index: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(query_id, user_id)``: users whose vector holds a word of the (stemmed) query."""
     words = F.array_distinct(F.filter(F.split(tx.query_vector(F.col("query")), " "), lambda w: w != ""))

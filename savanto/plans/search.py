@@ -15,7 +15,7 @@ from savanto.session import cut_lineage
 class Sources:
     """Stored tables a search reads."""
 
-    vectors: DataFrame  # user_id, topic, freq
+    postings: DataFrame  # word, topic, user_id, freq
     profiles: DataFrame  # user_id, screen_name, name, description, verified, listed_count
     se_topic_experts: DataFrame  # topic, expert, score
     q_topic_experts: DataFrame  # topic, expert, score
@@ -29,7 +29,7 @@ def rank(queries: DataFrame, src: Sources, include_se: bool = False, include_q:
 
     Both networks are rescaled to the base ranking, which is therefore stored once.
     """
-    base = ranking.rank_users(queries, src.vectors, src.profiles)
+    base = ranking.rank_users(queries, src.postings, src.profiles)
     if not (include_se or include_q):
         return base
     base = cut_lineage(base)

@@ -55,16 +55,16 @@ def replicate_for_salts(df: DataFrame, hot: DataFrame, key: str) -> DataFrame:
 
 
 def adjacent_pairs(
-    rows: DataFrame, key: str, order: str, first: str, last: str, bits: int = 21
+    rows: DataFrame, key: str, order: str, first: str, last: str, bits: int = 21, order_bits: int = 63
 ) -> DataFrame:
     """``(key, last, next_first)`` for neighbouring rows of each key, ordered by a non-negative long.
 
     A plain ``lead`` would sort a whole key in one task. Here the order column is cut into
     blocks of ``2**bits`` values; neighbours inside a block are found first, then each block
     is reduced to its two ends and the ends are paired one level up. ``(key, order)`` must be
-    unique, so no window ever sees more than ``2**bits`` rows.
+    unique, so no window ever sees more than ``2**bits`` rows. Order values need ``order_bits`` bits.
     """
-    levels = -(-63 // bits)
+    levels = -(-order_bits // bits)
     level = rows.select(key, F.col(order).cast("long").alias("o"), F.col(first).alias("f"), F.col(last).alias("l"))
     found = []
     for _ in range(levels):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from savanto.functions import values as vx
-from savanto.operators import cover, ranking
+from savanto.operators import cover, ranking, topics
 from savanto.plans import search as plan
-from savanto.session import written
+from savanto.session import new_path, written
+from savanto.sources import stored
 from savanto.suite.registry import Tables, case, with_views
 from savanto.suite.text import VECTOR_VIEWS, cover_sql, vectors
 
@@ -129,6 +130,13 @@ ENRICHED = [
 ]
 
 
+def index(t: Tables):
+    """The inverted index of all users, built and stored as a search would find it."""
+    path = new_path(t.spark, "postings")
+    stored.write_sorted(topics.postings(vectors(t)), path, ["word", "topic", "user_id"])
+    return t.spark.read.parquet(path)
+
+
 def sources(t: Tables) -> plan.Sources:
     linked = t.crosswalk().join(t.supplier, F.col("s_name") == F.col("expert"))
     se_profiles = linked.select(
@@ -143,10 +151,10 @@ def sources(t: Tables) -> plan.Sources:
         (F.col("s_suppkey") * 1000).alias("q_num_views"),
     )
     return plan.Sources(
-        vectors=written(vectors(t), "vectors"),
+        postings=index(t),
         profiles=t.profiles(),
-        se_topic_experts=t.se_topic_experts(),
-        q_topic_experts=t.q_topic_experts(),
+        se_topic_experts=written(t.se_topic_experts(), "leaderboard"),
+        q_topic_experts=written(t.q_topic_experts(), "leaderboard"),
         crosswalk=t.crosswalk(),
         se_profiles=se_profiles,
         q_profiles=q_profiles,
@@ -166,7 +174,7 @@ def rounded(df):
     with_views("select query_id, user_id, round(score, 6) as score, flag from base", *base_sql()),
 )
 def rank_users(t: Tables):
-    return rounded(ranking.rank_users(fixed_queries(t), written(vectors(t), "vectors"), t.profiles()))
+    return rounded(ranking.rank_users(fixed_queries(t), index(t), t.profiles()))
 
 
 @case(
@@ -176,7 +184,7 @@ def rank_users(t: Tables):
 def search_batch(t: Tables):
     """Every part name is a query."""
     queries = t.part.select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query")).distinct()
-    return rounded(ranking.rank_users(queries, written(vectors(t), "vectors"), t.profiles()))
+    return rounded(ranking.rank_users(queries, index(t), t.profiles()))
 
 
 @case(

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from savanto.operators import cover, ranking
+from savanto.operators import cover, ranking, topics
 from savanto.plans import search as plan
 
 
@@ -25,7 +25,7 @@ def world(spark):
     )
     q = frame([("ring theory", "a", 3.0), ("hot ring", "b", 8.0)], "topic string, expert string, score double")
     crosswalk = frame([("a", "u1"), ("b", "u5"), ("c", "u3")], "expert string, screen_name string")
-    return plan.Sources(vectors, profiles, se, q, crosswalk)
+    return plan.Sources(topics.postings(vectors), profiles, se, q, crosswalk)
 
 
 def scores(df):
@@ -33,7 +33,7 @@ def scores(df):
 
 
 def test_rank_one_network(spark, world):
-    got = scores(ranking.rank_users(cover.make_queries(spark, ["red ring"]), world.vectors, world.profiles))
+    got = scores(ranking.rank_users(cover.make_queries(spark, ["red ring"]), world.postings, world.profiles))
     assert got == {
         1: (round(4 * math.log(20), 6), 0),
         2: (0.0, 0),  # ln 1
@@ -43,7 +43,7 @@ def test_rank_one_network(spark, world):
 
 def test_fusion(spark, world):
     queries = cover.make_queries(spark, ["ring"])
-    base = ranking.rank_users(queries, world.vectors, world.profiles)
+    base = ranking.rank_users(queries, world.postings, world.profiles)
     low, high = 0.0, max(s for s, _ in scores(base).values())
     got = scores(plan.rank(queries, world, include_se=True))
     # rescaled: a 10, b max(20, 1); span 1..20. "string" has no term "ring", so c is not found
