@@ -9,15 +9,16 @@ when the following hit reaches a later end. So one ordered pass over the hits is
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from savanto.functions import text as tx
-from savanto.skew import broadcast_if_small
 
 KAPPA = 3.0  # fixed value: covers up to this length score 1
 KEPT_DOCUMENTS = 20  # fixed value: documents kept per query
+BATCH_ROWS = 20_000  # query terms up to which a batch counts as small
 
 
 def make_queries(spark: SparkSession, queries: DataFrame | Iterable[str] | Iterable[tuple]) -> DataFrame:
@@ -35,16 +36,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(words).alias("slot", "term"))
 
 
-def _slots(terms: DataFrame) -> int:
-    """Longest query of the batch, in distinct terms (one number)."""
-    longest = terms.agg(F.max("slot")).first()[0]
-    return 0 if longest is None else longest + 1
+@dataclass(frozen=True)
+class Batch:
+    """The terms of a batch of queries, with what the plan must know about them beforehand."""
 
+    terms: DataFrame  # query_id, slot, term; marked for broadcast if small
+    small: bool
+    slots: int  # distinct terms of the longest query
+    words: list[str] | None  # all distinct terms of a small batch
 
-def hits(docs: DataFrame, terms: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    @staticmethod
+    def of(queries: DataFrame) -> Batch:
+        """One small job: at most ``BATCH_ROWS`` terms come to the driver, else only their maximum slot."""
+        terms = query_terms(queries)
+        rows = terms.limit(BATCH_ROWS + 1).collect()
+        if len(rows) > BATCH_ROWS:
+            return Batch(terms, False, terms.agg(F.max("slot")).first()[0] + 1, None)
+        local = terms.sparkSession.createDataFrame(rows, terms.schema)
+        slots = max((r.slot for r in rows), default=0) + 1
+        return Batch(F.broadcast(local), True, slots, sorted({r.term for r in rows}))
+
+
+def hits(docs: DataFrame, batch: Batch, key: Sequence[str], text: str) -> DataFrame:
     """``(query_id, *key, pos, slot, term)``: positions of query terms; other tokens end here, unshuffled."""
     tokens = docs.select(*key, F.posexplode(tx.blank_separated(F.col(text))).alias("pos", "term"))
-    return tokens.join(broadcast_if_small(terms), "term").select("query_id", *key, "pos", "slot", "term")
+    return tokens.join(batch.terms, "term").select("query_id", *key, "pos", "slot", "term")
 
 
 def _per_level(found: DataFrame, key: Sequence[str], slots: int, *also: Column) -> DataFrame:
@@ -80,27 +96,27 @@ def cover_levels(
     docs: DataFrame, queries: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
     """``(query_id, *key, level, covers, score)``: every level a document satisfies."""
-    terms = query_terms(queries)
-    per_doc = _per_level(hits(docs, terms, key, text), key, max(_slots(terms), 1))
+    batch = Batch.of(queries)
+    per_doc = _per_level(hits(docs, batch, key, text), key, batch.slots)
     return per_doc.select("query_id", *key, F.inline("levels"))
 
 
 def cover_scores(
-    docs: DataFrame, queries: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text"
+    docs: DataFrame, queries: DataFrame | Batch, key: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
     """``(query_id, *key, level, score)``: each matching document at its highest level only."""
-    terms = query_terms(queries)
-    per_doc = _per_level(hits(docs, terms, key, text), key, max(_slots(terms), 1))
+    batch = queries if isinstance(queries, Batch) else Batch.of(queries)
+    per_doc = _per_level(hits(docs, batch, key, text), key, batch.slots)
     return _top_level(per_doc, key)
 
 
-def term_scores(topics: DataFrame, terms: DataFrame) -> DataFrame:
+def term_scores(topics: DataFrame, batch: Batch) -> DataFrame:
     """``(query_id, topic, level, score, word)`` for short texts that repeat much: each is scored once.
 
     ``topics`` needs its ``topic`` column only; ``word`` is one of the query terms the topic holds.
     """
-    found = hits(topics.select("topic", F.col("topic").alias("__text")), terms, ["topic"], "__text").distinct()
-    per_topic = _per_level(found, ["topic"], max(_slots(terms), 1), F.min("term").alias("word"))
+    found = hits(topics.select("topic", F.col("topic").alias("__text")), batch, ["topic"], "__text").distinct()
+    per_topic = _per_level(found, ["topic"], batch.slots, F.min("term").alias("word"))
     return _top_level(per_topic, ["topic", "word"])
 
 
@@ -111,13 +127,18 @@ def _top_level(per_doc: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def keep_ranked(scored: DataFrame, group: Sequence[str], tie: str, limit: int = KEPT_DOCUMENTS) -> DataFrame:
+def keep_ranked(
+    scored: DataFrame, group: Sequence[str], tie: str, limit: int = KEPT_DOCUMENTS, early: bool = True
+) -> DataFrame:
     """Rank by level, then score, then ``tie``; keep the first ``limit`` of each group.
 
-    The bound on the rank lets Spark drop all but ``limit`` rows per group before the shuffle.
+    Spark drops all but ``limit`` rows per group before the shuffle already, at the price of a sort.
+    That is right for large groups; ``early=False`` saves the sort where groups are known to be small.
     """
     order = Window.partitionBy(*group).orderBy(F.desc("level"), F.desc("score"), tie)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    # the second form is one Spark does not take for a limit
+    return ranked.where(F.col("rank") <= limit if early else F.col("rank") - limit <= 0)
 
 
 def cover_density(

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from savanto.functions import text as tx
+from savanto.session import cut_lineage
 from savanto.skew import adjacent_pairs, broadcast_if_small
 
 BLOCK_BITS = 16  # ids per posting block
+BIG_TOPICS = 100_000  # topics from which a user's rows are treated as a large group
 LIST_BITS = 21  # list ids per window block
 
 
@@ -129,10 +131,18 @@ def decode_vectors(encoded: DataFrame) -> DataFrame:
     return encoded.select("user_id", F.explode(parsed).alias("topic", "freq"))
 
 
-def postings(vectors: DataFrame) -> DataFrame:
-    """``(word, topic, user_id, freq)``: the index with what ranking needs, once per word of a topic."""
+def postings(vectors: DataFrame, big_topics: int = BIG_TOPICS) -> DataFrame:
+    """``(word, topic, user_id, freq, big)``: the index with what ranking needs, once per word of a topic.
+
+    ``big`` marks users with more than ``big_topics`` topics. ``vectors`` is a stored table; it is read twice.
+    """
+    sizes = vectors.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    big = sizes.where(F.col("n") > big_topics).select("user_id", F.lit(True).alias("big"))
+    marked = vectors.join(broadcast_if_small(cut_lineage(big)), "user_id", "left")
     words = F.array_distinct(F.split("topic", " "))
-    return vectors.select(F.explode(words).alias("word"), "topic", "user_id", "freq")
+    return marked.select(
+        F.explode(words).alias("word"), "topic", "user_id", "freq", F.coalesce("big", F.lit(False)).alias("big")
+    )
 
 
 def candidates(queries: DataFrame, index: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from savanto.operators import ranking
+from savanto.operators import cover, ranking
 from savanto.session import cut_lineage
 
 
@@ -15,7 +15,7 @@ from savanto.session import cut_lineage
 class Sources:
     """Stored tables a search reads."""
 
-    postings: DataFrame  # word, topic, user_id, freq
+    postings: DataFrame  # word, topic, user_id, freq, big
     profiles: DataFrame  # user_id, screen_name, name, description, verified, listed_count
     se_topic_experts: DataFrame  # topic, expert, score
     q_topic_experts: DataFrame  # topic, expert, score
@@ -32,12 +32,12 @@ def rank(queries: DataFrame, src: Sources, include_se: bool = False, include_q:
     base = ranking.rank_users(queries, src.postings, src.profiles)
     if not (include_se or include_q):
         return base
-    base = cut_lineage(base)
+    base, batch = cut_lineage(base), cover.Batch.of(queries)
     out = base
     if include_se:
-        out = ranking.fuse_se(base, queries, src.se_topic_experts, src.crosswalk, src.profiles)
+        out = ranking.fuse_se(base, queries, src.se_topic_experts, src.crosswalk, src.profiles, batch)
     if include_q:
-        out = ranking.fuse_q(out, base, queries, src.q_topic_experts, src.crosswalk, src.profiles)
+        out = ranking.fuse_q(out, base, queries, src.q_topic_experts, src.crosswalk, src.profiles, batch)
     return out
 
 

@@ -133,7 +133,7 @@ ENRICHED = [
 def index(t: Tables):
     """The inverted index of all users, built and stored as a search would find it."""
     path = new_path(t.spark, "postings")
-    stored.write_sorted(topics.postings(vectors(t)), path, ["word", "topic", "user_id"])
+    stored.write_sorted(topics.postings(written(vectors(t), "vectors")), path, ["word", "topic", "user_id"])
     return t.spark.read.parquet(path)
 
 

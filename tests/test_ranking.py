@@ -41,6 +41,18 @@ def test_rank_one_network(spark, world):
     }
 
 
+def test_users_with_many_topics_rank_alike(spark):
+    rows = [(u, f"w{i:03d} red", 1 + (i * u) % 7) for u in (1, 2) for i in range(60 if u == 1 else 25)]
+    vectors = spark.createDataFrame(rows, "user_id bigint, topic string, freq bigint")
+    profiles = spark.createDataFrame([(1, 3), (2, 3)], "user_id bigint, listed_count bigint")
+    queries = cover.make_queries(spark, ["red"])
+    got = [
+        scores(ranking.rank_users(queries, topics.postings(vectors, big), profiles)) for big in (10, 40, 1000)
+    ]
+    assert got[0] == got[1] == got[2]
+    assert got[0][1][0] == round(sum(f for u, _, f in rows[:20]) * math.log(3), 6)
+
+
 def test_fusion(spark, world):
     queries = cover.make_queries(spark, ["ring"])
     base = ranking.rank_users(queries, world.postings, world.profiles)
