@@ -41,7 +41,7 @@ def search_index(accounts: DataFrame, rule: str) -> DataFrame:
 
 
 def candidate_pairs(sources: DataFrame, accounts: DataFrame, rule: str) -> DataFrame:
-    """Every source row with the accounts its name search returns, each pair once."""
+    """Every source row with the accounts its name search returns, once per shared search key."""
     left = sources.select(
         F.col("id").alias("src_id"),
         F.col("name").alias("src_name"),
@@ -52,11 +52,14 @@ def candidate_pairs(sources: DataFrame, accounts: DataFrame, rule: str) -> DataF
     right = search_index(accounts, rule).withColumnsRenamed(
         {"id": "match_id", "name": "match_name", "location": "match_location", "signature": "match_signature"}
     )
-    return left.join(right, "block").drop("block").dropDuplicates(["src_id", "match_id"])
+    return left.join(right, "block").drop("block")
 
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs that pass the name and the signature test; location similarity is only reported."""
+    """Pairs that pass the name and the signature test, each once; location similarity is only reported.
+
+    Few pairs pass, so repeats are removed here, after the signatures have been dropped.
+    """
     named = pairs.withColumn("name_sim", jaro_winkler("src_name", "match_name")).where(
         F.col("name_sim") > NAME_ABOVE
     )
@@ -69,7 +72,7 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
         "name_sim",
         "distance",
         F.coalesce(jaro_winkler("src_location", "match_location"), F.lit(0.0)).alias("location_sim"),
-    )
+    ).distinct()
 
 
 def fuzzy_match(sources: DataFrame, accounts: DataFrame, rule: str = "fewer") -> DataFrame:

@@ -31,10 +31,9 @@ def typed_deref(events: DataFrame, targets: dict[str, tuple[list[str], DataFrame
     out = events
     for label, (types, table) in targets.items():
         side = table.select(F.col("ref").alias(f"__{label}"), F.col("value").alias(f"v_{label}"))
-        # other types get a NULL key, so they meet nothing
-        key = F.when(F.col("type").isin(types), F.col("ref"))
-        out = out.withColumn("__key", key).join(side, F.col("__key") == F.col(f"__{label}"), "left")
-        out = out.drop("__key", f"__{label}")
+        # the type is part of the condition: rows of other types keep their key and stay spread out
+        match = (F.col("ref") == F.col(f"__{label}")) & F.col("type").isin(types)
+        out = out.join(side, match, "left").drop(f"__{label}")
     found = F.coalesce(*[F.col(f"v_{label}") for label in targets])
     return out.withColumn("value", found).drop(*[f"v_{label}" for label in targets])
 

@@ -59,7 +59,8 @@ def customers(t: Tables):
 )
 def name_similarity(t: Tables):
     pairs = op.candidate_pairs(suppliers(t), customers(t), "fewer")
-    return pairs.select("src_id", "match_id", F.round(jaro_winkler("src_name", "match_name"), 6).alias("sim"))
+    names = pairs.select("src_id", "match_id", "src_name", "match_name").distinct()
+    return names.select("src_id", "match_id", F.round(jaro_winkler("src_name", "match_name"), 6).alias("sim"))
 
 
 @case(

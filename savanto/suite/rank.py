@@ -288,7 +288,7 @@ def rescale_minmax(t: Tables):
     )
     span = rows.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     scaled = vx.rescale(F.col("score"), F.col("lo"), F.col("hi"), F.lit(1.0), F.lit(5.0))
-    return rows.join(F.broadcast(span), "query_id").select(
+    return rows.join(span, "query_id").select(
         "query_id", "user_id", F.round(scaled, 6).alias("rescaled")
     )
 
