@@ -15,27 +15,28 @@ from savanto.suite import load
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 HEADLINE = [
+    "upsert_latest",
+    "top_k_sort",
+    "top_answerers",
+    "user_tag_stats",
+    "related_items",
+    "paginate",
+    "extract_links",
+    "fuzzy_match",
+    "combine_topics",
+    "jaccard_pairs",
+    "avg_jaccard",
+    "expand_members",
     "cover_density",
+    "tokenize",
+    "remove_stopwords",
     "topic_vector",
     "inverted_index",
     "rank_users",
-    "search_batch",
     "search_experts",
-    "tokenize",
-    "remove_stopwords",
-    "fuzzy_match",
-    "combine_topics",
+    "search_batch",
     "hits",
     "pagerank",
-    "avg_jaccard",
-    "jaccard_pairs",
-    "expand_members",
-    "top_answerers",
-    "user_tag_stats",
-    "related_items",
-    "paginate",
-    "upsert_latest",
-    "extract_links",
     "stream_leaderboard",
 ]
 

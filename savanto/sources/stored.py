@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +63,9 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def site_dimension(spark: SparkSession, sites: Iterable[tuple[str, str]]) -> DataFrame:
-    """``(name, domain)`` of the known sites."""
-    return spark.createDataFrame(list(sites), "name string, domain string").dropDuplicates(["name"])
+def site_dimension(sites: DataFrame) -> DataFrame:
+    """``(name, domain)`` of the known sites, one domain per name (the first in order)."""
+    return sites.groupBy("name").agg(F.min("domain").alias("domain"))
 
 
 def seed_dimension(df: DataFrame, key: str, handles: str) -> DataFrame:

@@ -95,6 +95,17 @@ def explode_dimension(t: Tables):
     return stored.seed_dimension(t.part.select(F.col("p_partkey").alias("site"), handles.alias("h")), "site", "h")
 
 
+@case(
+    "site_dimension",
+    """select split_part(domain, '.', 1) as name, min(domain) as domain from (
+       select regexp_extract(url, '^https?://([^/]+)', 1) as domain from pages) group by 1""",
+)
+def site_dimension(t: Tables):
+    """Hosts of the stored pages, named by their first label."""
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    return stored.site_dimension(t.pages.select(F.split_part(host, F.lit("."), F.lit(1)).alias("name"), host.alias("domain")))
+
+
 @case("distinct_handles", "select distinct p_name as handle from part")
 def distinct_handles(t: Tables):
     return stored.distinct_handles(t.part.withColumnRenamed("p_name", "handle"))
