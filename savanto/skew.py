@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from savanto.session import cut_lineage
+from savanto.session import written
 
 BROADCAST_ROWS = 200_000
 
@@ -88,7 +88,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rn") -> Dat
     One range shuffle sorts the rows; each row takes its place inside its own range and the
     ranges' sizes (one row per range) give the offset. ``order`` must end in a unique column.
     """
-    ranged = cut_lineage(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    ranged = written(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("__id", 33)
     place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     ranged = ranged.withColumn("__part", part)
