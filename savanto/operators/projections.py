@@ -53,11 +53,7 @@ def batch_lookup(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def point_lookup(rows: DataFrame, key: str, value) -> DataFrame:
-    """The row of one key. A missing key raises when the result is evaluated."""
-    found = rows.where(F.col(key) == F.lit(value))
-    count = found.agg(F.count(F.lit(1)).alias("__n"))
-    guard = F.when(F.col("__n") > 0, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"no row with {key} = {value}")).cast("boolean")
-    )
-    checked = count.select(F.lit(value).alias(key), guard.alias("__found")).where("__found")
-    return checked.join(found, key, "left").drop("__found")
+    """The row of one (unique) key. A missing key raises when the result is evaluated."""
+    found = rows.where(F.col(key) == F.lit(value)).agg(F.max(F.struct(*rows.columns)).alias("r"))
+    missing = F.raise_error(F.lit(f"no row with {key} = {value}")).cast("boolean")
+    return found.where(F.when(F.col("r").isNotNull(), F.lit(True)).otherwise(missing)).select("r.*")
