@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savanto.llm import bpe, token_counts, token_files
+from savanto.llm import bpe, exact_dedup, minhash, mixing, sharding, token_counts, token_files
 from savanto.llm.common import table
 from savanto.session import new_path
 
@@ -26,6 +26,42 @@ def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+#: Shards of the query, and the slots of their table: a prime of more than 100 times their number.
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+SLOTS = 2053
+
+
+def sharding_query(spark: SparkSession, folder: str) -> DataFrame:
+    """The slot and shard of every document."""
+    return sharding.place(table(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
+
+
+SHARDING_SQL = f"""
+WITH RECURSIVE shards AS (
+  SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 2, '0') AS name FROM range({len(SHARDS)}) t(i)
+), p AS (
+  SELECT list(CAST('0x' || substr(md5('start ' || name), 1, 8) AS BIGINT) % {SLOTS} ORDER BY i) AS starts,
+         list(CAST('0x' || substr(md5('step ' || name), 1, 8) AS BIGINT) % {SLOTS - 1} + 1 ORDER BY i) AS steps,
+         list(name ORDER BY i) AS names
+  FROM shards
+), turns(n, owner, chosen) AS (
+  SELECT 0, list_transform(range({SLOTS}), lambda x: -1), CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT n + 1,
+         list_concat(list_concat(owner[1:slot], [CAST(n % {len(SHARDS)} AS INTEGER)]), owner[slot + 2:]),
+         slot
+  FROM (
+    SELECT n, owner, list_filter(
+        list_transform(range({SLOTS}), lambda j: (starts[n % {len(SHARDS)} + 1] + j * steps[n % {len(SHARDS)} + 1]) % {SLOTS}),
+        lambda q: owner[q + 1] = -1)[1] AS slot
+    FROM turns, p WHERE n < {SLOTS}
+  )
+), filled AS (SELECT owner FROM turns WHERE n = {SLOTS}),
+d AS (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {SLOTS} AS slot FROM documents)
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, names[owner[slot + 1] + 1] AS shard FROM d, filled, p
+"""
+
+
 def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     files = new_path(spark, "token-files")
@@ -34,6 +70,105 @@ def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: The mixture of the query: the flattest that goes through no source more than one and a half times.
+MIXTURE = mixing.Target(repeats=1.5)
+
+
+def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document of the mixture, with its pass and its place in it."""
+    return mixing.mix(table(spark, folder, "documents"), MIXTURE).select("doc_id", "source", "n_tokens", "epoch", "place")
+
+
+MIXING_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text,
+         CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, ' ')) END AS n_tokens
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, (count(*) + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS n_blocks
+  FROM d GROUP BY source
+), live AS (
+  SELECT source, tokens, tokens / CAST(sum(tokens) OVER () AS DOUBLE) AS p FROM s WHERE tokens > 0
+), all_shares AS (SELECT list(p) AS l FROM live),
+steps(n, best, other) AS (
+  SELECT 0, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT n + 1, CASE WHEN good THEN middle ELSE best END, CASE WHEN good THEN other ELSE middle END
+  FROM (
+    SELECT n, best, other, (best + other) / 2 AS middle,
+           list_max(list_transform(l, lambda x: pow(x, (best + other) / 2) / x))
+           / list_min(list_transform(l, lambda x: pow(x, (best + other) / 2) / x)) <= {MIXTURE.repeats} AS good
+    FROM steps, all_shares WHERE n < {mixing.STEPS}
+  )
+), e AS (
+  SELECT CASE WHEN list_max(l) / list_min(l) <= {MIXTURE.repeats} THEN 0 ELSE best END AS e
+  FROM steps, all_shares WHERE n = {mixing.STEPS}
+), w AS (
+  SELECT source, tokens, pow(p, e) / sum(pow(p, e)) OVER () AS w FROM live, e
+), q AS (
+  SELECT source, CAST(floor(w * max(tokens / w) OVER () + 0.5) AS BIGINT) AS quota FROM w
+), plan AS (
+  SELECT s.source, s.tokens AS of_source, n_blocks, coalesce(quota, 0) AS quota,
+         CASE WHEN s.tokens > 0 THEN CAST(ceil(coalesce(quota, 0) / s.tokens) AS BIGINT) ELSE 1 END AS n_epochs
+  FROM s LEFT JOIN q ON s.source IS NOT DISTINCT FROM q.source
+), dealt AS (
+  SELECT d.*, of_source, quota, n_epochs,
+         CAST('0x' || substr(md5('1:' || coalesce(doc_id, -1)), 1, 8) AS BIGINT) % n_blocks AS block
+  FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
+), passes AS (
+  SELECT source, block, of_source, quota, sum(n_tokens) AS tokens, count(*) AS docs, unnest(range(n_epochs)) AS epoch
+  FROM dealt GROUP BY source, block, of_source, quota, n_epochs
+), schedule AS (
+  SELECT source, block, epoch, of_source,
+         quota - epoch * of_source - coalesce(sum(tokens) OVER o, 0) AS remaining, coalesce(sum(docs) OVER o, 0) AS first
+  FROM passes
+  WINDOW o AS (PARTITION BY source, epoch ORDER BY md5('1:' || epoch || ':block:' || block), block
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), chosen AS (
+  SELECT doc_id, dealt.source, n_tokens, epoch, remaining, schedule.of_source,
+         coalesce(sum(n_tokens) OVER o, 0) AS used, first + coalesce(count(*) OVER o, 0) AS place
+  FROM dealt JOIN schedule ON dealt.source IS NOT DISTINCT FROM schedule.source AND dealt.block = schedule.block
+  WINDOW o AS (PARTITION BY dealt.source, dealt.block, epoch
+               ORDER BY md5('1:' || epoch || ':doc:' || coalesce(doc_id, -1)), doc_id NULLS FIRST, text NULLS FIRST
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS BIGINT) AS epoch, CAST(place AS BIGINT) AS place
+FROM chosen WHERE used < remaining OR of_source = 0
+"""
+
+
+#: Near duplicates of the query: three words, 85 in 100 shingles.
+NEAR = minhash.Likeness(words=3, percent=85)
+
+
+def minhash_query(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), NEAR)
+
+
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+           WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON r = x
+)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents and the texts decoded from them, as digests."""
     path = public_tokenizers.path(TOKENIZER)
@@ -41,10 +176,33 @@ def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+def exact_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact duplicates: the lower half of the ids as the snapshot, the rest as the new batch."""
+    docs = table(spark, folder, "documents")
+    found = exact_dedup.classes(docs, exact_dedup.earlier_half(docs))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+EXACT_DEDUP_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts_query,
+    "op2_sharding": sharding_query,
     "op3_token_files": token_files_query,
+    "op7_mixing": mixing_query,
+    "op8_minhash": minhash_query,
     "op9_bpe": bpe_query,
+    "op10_exact_dedup": exact_dedup_query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_sharding": SHARDING_SQL,
+    "op7_mixing": MIXING_SQL,
+    "op8_minhash": MINHASH_SQL,
+    "op10_exact_dedup": EXACT_DEDUP_SQL,
+}
