@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,15 +28,7 @@ from savanto.llm import vocabulary
 from savanto.llm.common import slices, whole_text
 
 #: Pairs of tokens whose compatibility one worker remembers.
-KNOWN_PAIRS = 1 << 20
-
-
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in the vocabulary: itself where it is visible in Latin-1,
-    the others in order from 256 on."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in visible]
-    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+KNOWN_PAIRS = 1 << 19
 
 
 class Merges:
@@ -52,7 +45,7 @@ class Merges:
             pair, token = (self.ids[left], self.ids[right]), self.ids[left + right]
             self.merged.setdefault(pair, (rank, token))
             self.parts.setdefault(token, (rank, *pair))
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for letters, token in self.ids.items():
             if len(letters) == 1 or token in self.parts:
@@ -61,7 +54,7 @@ class Merges:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the bytes of both tokens together are encoded as just these two."""
-        pair = (left, right)
+        pair = left << 32 | right
         found = self.known.get(pair)
         if found is None:
             if len(self.known) >= KNOWN_PAIRS:
@@ -111,24 +104,15 @@ def merges(path: str) -> Merges:
 
 
 @functools.cache
-def encoder(path: str) -> vocabulary.PieceEncoder:
+def encoder(path: str) -> vocabulary.TextEncoder:
     """Whole texts to packed ids."""
-    if not vocabulary.byte_level(path):
-        raise ValueError(f"{path} is no plain byte-level tokeniser")
-    words, split = merges(path), vocabulary.library(path).pre_tokenizer.pre_tokenize_str
-    of_word = functools.lru_cache(vocabulary.GENERATION)(lambda word: vocabulary.packed(words.encode(word)))
-
-    def make(pieces: list[str]) -> Iterable[bytes]:
-        return (b"".join([of_word(word) for word, _ in split(piece)]) for piece in pieces)
-
-    special = {t: vocabulary.packed([i]) for t, i in vocabulary.added_tokens(path).items()}
-    return vocabulary.PieceEncoder(make, b"".join, special)
+    return vocabulary.text_encoder(path, merges(path).encode)
 
 
 @functools.cache
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of every id; ids without a token have none."""
-    letters = byte_letters()
+    letters = vocabulary.byte_letters()
     tokens = merges(path).ids | vocabulary.added_tokens(path)
     out = [b""] * (max(tokens.values()) + 1)
     for token, i in tokens.items():
@@ -136,19 +120,16 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def _lists(packed: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0] + [len(b) // 4 for b in packed]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-
-
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of ``docs`` and the ids of ``text`` as an array of integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(tokenizer)
         for batch in batches:
-            for part, texts in slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(to_ids.texts(texts))], [*part.schema.names[:-1], ids])
+            for part in slices(batch, "__text"):
+                found, ends = to_ids.flat(part.column("__text"))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.view("<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], ids])
 
     kept = docs.drop(ids)
     out = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
@@ -166,7 +147,10 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decod
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [b"".join([table[i] for i in row or ()]).decode("utf-8", "replace") for row in part.column(ids).to_pylist()]
+                lists = part.column(ids)
+                all_ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+                ends = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).cumsum().tolist()
+                texts = [b"".join([table[i] for i in all_ids[a:b]]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text])
 
     kept = rows.drop(text)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,15 +22,13 @@ def whole_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with their texts, each of about ``size`` bytes or one row."""
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, each with about ``size`` bytes of text or one row."""
     start = held = 0
     for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
         if held and held + n > size:
-            part = batch.slice(start, i - start)
-            yield part, part.column(text).to_pylist()
+            yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
     if start < batch.num_rows:
-        part = batch.slice(start)
-        yield part, part.column(text).to_pylist()
+        yield batch.slice(start)

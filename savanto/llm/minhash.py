@@ -107,8 +107,8 @@ def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
-                sets = [shingles(t, like.words) for t in texts]
+            for part in slices(batch):
+                sets = [shingles(t, like.words) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -192,7 +192,7 @@ def links(docs: DataFrame, signed: DataFrame, blocks: DataFrame, pairs: DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one_by_one() -> Iterator[dict]:
             for batch in batches:
-                for part, _ in slices(batch):
+                for part in slices(batch):
                     yield from part.to_pylist()
 
         found: list[tuple[int, int]] = []

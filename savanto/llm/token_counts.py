@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +41,11 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = vocabulary.count_encoder(path)
+        encoder = vocabulary.library_encoder(path)
         for batch in batches:
-            for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("content"), pa.array(encoder.texts(texts), pa.int64())], ["content", "n_tokens"]
-                )
+            for part in slices(batch):
+                _, ends = encoder.flat(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(np.diff(ends), pa.int64())], ["content", "n_tokens"])
 
     return run
 

@@ -105,29 +105,30 @@ def unpack(segment: dict[str, bytes], n_ids: int, first: int = 0, last: int | No
 BYTES = ("minima", "widths", "starts", "payload", "patch_counts", "patch_places", "patch_values")
 
 
-def _writer(path: str, end: bytes):
+def _writer(path: str, end: np.ndarray):
     fields = pa.schema(
         [("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))]
         + [(name, pa.binary()) for name in BYTES]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = vocabulary.id_encoder(path), TaskContext.get().partitionId()
+        encoder, part = vocabulary.library_encoder(path), TaskContext.get().partitionId()
         doc_ids: list[int] = []
-        pieces: list[bytes] = []
+        pieces: list[np.ndarray] = []
         segment = first = held = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(pieces), "<u4")
-            row = {"part": part, "segment": segment, "first": first, "n_ids": len(ids), "doc_ids": doc_ids, "lengths": [len(p) // 4 for p in pieces]}
+            ids = np.concatenate(pieces)
+            row = {"part": part, "segment": segment, "first": first, "n_ids": len(ids), "doc_ids": doc_ids, "lengths": [len(p) for p in pieces]}
             return pa.RecordBatch.from_pylist([row | pack(ids)], schema=fields)
 
         for batch in batches:
-            for rows, texts in slices(batch):
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encoder.texts(texts), strict=True):
+            for rows in slices(batch):
+                ids, ends = encoder.flat(rows.column("text"))
+                for doc_id, a, b in zip(rows.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
                     doc_ids.append(doc_id)
-                    pieces.append(ids + end)
-                    held += len(pieces[-1]) // 4
+                    pieces.append(np.concatenate([ids[a:b], end]))
+                    held += len(pieces[-1])
                     if held >= SEGMENT_IDS:
                         yield flush()
                         segment, first, held, doc_ids, pieces = segment + 1, first + held, 0, [], []
@@ -139,7 +140,7 @@ def _writer(path: str, end: bytes):
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text and write the stream, ascending by ``doc_id``, to ``folder``."""
-    end = b"" if end_id is None else vocabulary.packed([end_id])
+    end = np.array([] if end_id is None else [end_id], "<u4")
     ordered = (
         docs.select(docs[doc_id].alias("doc_id"), whole_text(docs[text]).alias("text"))
         .repartitionByRange("doc_id")

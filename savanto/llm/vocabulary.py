@@ -13,15 +13,16 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from typing import TypeVar
 
-V = TypeVar("V")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The characters with the Unicode property White_Space (fixed values).
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 #: Pieces kept in memory by one worker: two generations of this many.
-GENERATION = 300_000
+GENERATION = 250_000
 #: Characters of one text that are cut into pieces at once.
 STRETCH = 1 << 20
 
@@ -74,97 +75,128 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
 class Memory:
     """Values of pieces, made in bulk when missing; forgets the pieces not used for a generation."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable[V]], size: int = GENERATION) -> None:
+    def __init__(self, make: Callable[[list[str]], list[bytes]], size: int = GENERATION) -> None:
         self.make, self.size = make, size
-        self.young: dict[str, V] = {}
-        self.old: dict[str, V] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def of(self, lists: list[list[str]]) -> dict[str, V]:
-        """A dictionary that has every piece of ``lists``."""
+    def of(self, pieces: list[str]) -> list[bytes]:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        missing = set().union(*lists).difference(self.young)
-        if self.old:
-            self.young.update({p: self.old[p] for p in missing if p in self.old})
-            missing.difference_update(self.old)
-        new = list(missing)
-        self.young.update(zip(new, self.make(new), strict=True))
-        return self.young
+        young, old = self.young, self.old
+        missing = [p for p in pieces if p not in young]
+        if old:
+            young.update({p: old[p] for p in missing if p in old})
+            missing = [p for p in missing if p not in old]
+        young.update(zip(missing, self.make(missing), strict=True))
+        return [young[p] for p in pieces]
 
 
-class PieceEncoder:
-    """Folds the values of a text's pieces: ``make`` gives them, ``join`` puts a list of them together.
+class TextEncoder:
+    """Whole texts to ids; ``make`` gives the packed ids of pieces, ``special`` those of added tokens."""
 
-    ``special`` has the value of each added token.
-    """
-
-    def __init__(self, make: Callable[[list[str]], Iterable[V]], join: Callable[[list[V]], V], special: dict[str, V]) -> None:
-        self.memory, self.join, self.special = Memory(make), join, special
+    def __init__(self, make: Callable[[list[str]], list[bytes]], special: dict[str, bytes]) -> None:
+        self.memory, self.special = Memory(make), special
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-
-    def texts(self, texts: list[str]) -> list[V]:
+        # texts that blanks alone would not cut into pieces, or that hold the mark of the first piece
+        self.uneven = f"[{WHITE_SPACE}] |\x00" + "".join("|" + re.escape(t) for t in special)
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's ids start and end."""
+        uneven = pc.or_(pc.match_substring_regex(texts, self.uneven), pc.greater(pc.binary_length(texts), STRETCH)).to_numpy(zero_copy_only=False)
+        if not uneven.any():
+            return self._even(texts)
+        ids, ends = self._even(texts.filter(pa.array(~uneven)))
+        even = (ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        alone = (np.frombuffer(self.one(t), "<u4") for t in texts.filter(pa.array(uneven)).to_pylist())
+        parts = [next(alone) if u else next(even) for u in uneven]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts whose pieces are parted by single blanks: each distinct piece is looked up once."""
+        lists = pc.split_pattern(pc.binary_join_element_wise("\x00", texts, ""), " ")
+        coded = pc.dictionary_encode(lists.flatten())
+        values = self.memory.of([p[1:] if p[:1] == "\x00" else " " + p for p in coded.dictionary.to_pylist()])
+        sizes = np.array([len(v) // 4 for v in values], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        size = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        where = np.repeat(starts[at] - ends[:-1], size) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(values), "<u4")[where]
+        n_pieces = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        return ids, ends[n_pieces.astype(np.int64)]
+
+    def one(self, text: str) -> bytes:
+        """The packed ids of any text."""
         out = []
-        for part in self._short(texts):
-            if isinstance(part, str):
-                out.append(self._long(part))
-            else:
-                out += self._pieces(part)
-        return out
-
-    def _short(self, texts: list[str]) -> Iterator[str | list[str]]:
-        """Runs of ordinary texts; texts that are long or hold an added token come alone."""
-        run: list[str] = []
-        for text in texts:
-            if len(text) > STRETCH or self.added and self.added.search(text):
-                if run:
-                    yield run
-                    run = []
-                yield text
-            else:
-                run.append(text)
-        if run:
-            yield run
-
-    def _pieces(self, texts: list[str]) -> list[V]:
-        lists = [PIECE.findall(t) for t in texts]
-        known = self.memory.of(lists)
-        return [self.join([known[p] for p in pieces]) for pieces in lists]
-
-    def _long(self, text: str) -> V:
-        parts = self.added.split(text) if self.added else [text]
-        values = []
-        for i, part in enumerate(parts):
+        for i, part in enumerate(self.added.split(text) if self.added else [text]):
             if i % 2:
-                values.append(self.special[part])
+                out.append(self.special[part])
             else:
                 for stretch in stretches(part):
-                    values += self._pieces([stretch])
-        return self.join(values)
+                    pieces = PIECE.findall(stretch)
+                    distinct = list(set(pieces))
+                    known = dict(zip(distinct, self.memory.of(distinct), strict=True))
+                    out += [known[p] for p in pieces]
+        return b"".join(out)
 
 
-def library_ids(path: str, pieces: list[str], size: int = 4096) -> Iterator[list[int]]:
-    """The library's ids of each piece."""
-    loaded = library(path)
-    for i in range(0, len(pieces), size):
-        for found in loaded.encode_batch_fast(pieces[i : i + size], add_special_tokens=False):
-            yield found.ids
+#: One line end at most, one word of Latin letters, then marks without an apostrophe: a piece that any
+#: byte-level pre-tokeniser cuts just there.
+SIMPLE = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ʯ]+)?([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the vocabulary: itself where it is visible in Latin-1,
+    the others in order from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+LETTERS = {byte: letter for letter, byte in byte_letters().items()}
+
+
+class WordEncoder:
+    """Packed ids of pieces, by way of their words in byte letters; words are remembered."""
+
+    def __init__(self, path: str, encode: Callable[[str], list[int]]) -> None:
+        self.split, self.encode = library(path).pre_tokenizer.pre_tokenize_str, encode
+        self.known: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= GENERATION:
+                self.known.clear()
+            found = self.known[word] = packed(self.encode(word))
+        return found
+
+    def piece(self, piece: str) -> bytes:
+        simple = SIMPLE.fullmatch(piece)
+        if simple is None:
+            return b"".join([self.word(word) for word, _ in self.split(piece)])
+        return b"".join([self.word(w.encode().decode("latin-1").translate(LETTERS)) for w in simple.groups() if w])
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        return [self.piece(p) for p in pieces]
 
 
 def packed(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
-@functools.cache
-def id_encoder(path: str) -> PieceEncoder:
-    """Texts to ids, packed as little-endian unsigned 32-bit numbers."""
+def text_encoder(path: str, encode: Callable[[str], list[int]]) -> TextEncoder:
+    """Whole texts to ids; ``encode`` gives the ids of a word in byte letters."""
     if not byte_level(path):
         raise ValueError(f"{path} is no plain byte-level tokeniser")
-    return PieceEncoder(lambda pieces: map(packed, library_ids(path, pieces)), b"".join, {t: packed([i]) for t, i in added_tokens(path).items()})
+    return TextEncoder(WordEncoder(path, encode).pieces, {t: packed([i]) for t, i in added_tokens(path).items()})
 
 
 @functools.cache
-def count_encoder(path: str) -> PieceEncoder:
-    """Texts to token counts."""
-    if not byte_level(path):
-        raise ValueError(f"{path} is no plain byte-level tokeniser")
-    return PieceEncoder(lambda pieces: map(len, library_ids(path, pieces)), sum, dict.fromkeys(added_tokens(path), 1))
+def library_encoder(path: str) -> TextEncoder:
+    """Words encoded by the library's model."""
+    model = library(path).model
+    return text_encoder(path, lambda word: [t.id for t in model.tokenize(word)])
