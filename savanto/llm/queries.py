@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savanto.llm import bpe, exact_dedup, minhash, mixing, sharding, token_counts, token_files, toxicity
+from savanto.llm import bpe, exact_dedup, imatch, minhash, mixing, sharding, token_counts, token_files, toxicity
 from savanto.llm.common import table
 from savanto.session import new_path
 
@@ -70,6 +70,11 @@ def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def imatch_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return imatch.edit_test(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity scores of all documents, learned from the labels that are not held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -201,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts_query,
     "op2_sharding": sharding_query,
     "op3_token_files": token_files_query,
+    "op5_imatch": imatch_query,
     "op6_toxicity": toxicity_query,
     "op7_mixing": mixing_query,
     "op8_minhash": minhash_query,
