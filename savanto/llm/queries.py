@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savanto.llm import bpe, exact_dedup, imatch, minhash, mixing, sharding, token_counts, token_files, toxicity
+from savanto.llm import bpe, exact_dedup, imatch, line_dedup, minhash, mixing, sharding, token_counts, token_files, toxicity
 from savanto.llm.common import table
 from savanto.session import new_path
 
@@ -70,6 +70,45 @@ def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+#: Runs of the query: two lines, or one of fifty words.
+RUNS = line_dedup.Runs(lines=2, words=50)
+
+
+def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its lines counted, those deleted, and the text that is left as a digest."""
+    done = line_dedup.deduplicated(table(spark, folder, "documents").select("doc_id", "text"), RUNS)
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
+
+
+LINE_DEDUP_SQL = f"""
+WITH l AS (
+  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i + 1] AS line
+  FROM (SELECT doc_id, text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)
+), f AS (
+  SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), runs AS (
+  SELECT doc_id, i AS first, lead(i) OVER d AS last, s || chr(10) || lead(s) OVER d AS run
+  FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY k)
+  UNION ALL
+  SELECT doc_id, i, i, s FROM f WHERE len(string_split(s, ' ')) >= {RUNS.words}
+), later AS (
+  SELECT doc_id, first, last
+  FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS n FROM runs WHERE run IS NOT NULL)
+  WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS clean
+  FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(f.i) AS n_lines, count(gone.i) AS n_removed FROM f LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(clean, '')) AS clean_sha256
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def imatch_query(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return imatch.edit_test(table(spark, folder, "documents").select("doc_id", "text"))
@@ -206,6 +245,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts_query,
     "op2_sharding": sharding_query,
     "op3_token_files": token_files_query,
+    "op4_line_dedup": line_dedup_query,
     "op5_imatch": imatch_query,
     "op6_toxicity": toxicity_query,
     "op7_mixing": mixing_query,
@@ -216,6 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_sharding": SHARDING_SQL,
+    "op4_line_dedup": LINE_DEDUP_SQL,
     "op7_mixing": MIXING_SQL,
     "op8_minhash": MINHASH_SQL,
     "op10_exact_dedup": EXACT_DEDUP_SQL,
