@@ -3,22 +3,21 @@
 A minimal i-cover of a document is a shortest token interval holding at least i distinct query
 terms, with no smaller such interval inside. For a hit at position p, sort the next position of
 every query term: the i-th one, q_i(p), ends the interval that starts at p. It is minimal exactly
-when the following hit reaches a later end. So one ordered pass over the hits is enough.
+when the following hit reaches a later end. So one walk back over a document's hits is enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from savanto.functions import text as tx
+from savanto.skew import broadcast_if_small
 
 KAPPA = 3.0  # fixed value: covers up to this length score 1
-KEPT_DOCUMENTS = 20  # fixed value: documents kept per query
-BATCH_ROWS = 20_000  # query terms up to which a batch counts as small
+KEPT_DOCUMENTS = 20  # fixed value: documents a search shows per query
 
 
 def make_queries(spark: SparkSession, queries: DataFrame | Iterable[str] | Iterable[tuple]) -> DataFrame:
@@ -36,87 +35,78 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(words).alias("slot", "term"))
 
 
-@dataclass(frozen=True)
-class Batch:
-    """The terms of a batch of queries, with what the plan must know about them beforehand."""
+def hits(docs: DataFrame, terms: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+    """``(query_id, *key, pos, slot, term)``: positions of query terms; other tokens end here, unshuffled
+    where the terms are few."""
+    tokens = docs.select(*key, F.posexplode(tx.blank_separated(F.col(text))).alias("pos", "term"))
+    return tokens.join(broadcast_if_small(terms), "term").select("query_id", *key, "pos", "slot", "term")
 
-    terms: DataFrame  # query_id, slot, term; marked for broadcast if small
-    small: bool
-    slots: int  # distinct terms of the longest query
-    words: list[str] | None  # all distinct terms of a small batch
 
-    @staticmethod
-    def of(queries: DataFrame) -> Batch:
-        """One small job: at most ``BATCH_ROWS`` terms come to the driver, else only their maximum slot."""
-        terms = query_terms(queries)
-        rows = terms.limit(BATCH_ROWS + 1).collect()
-        if len(rows) > BATCH_ROWS:
-            return Batch(terms, False, terms.agg(F.max("slot")).first()[0] + 1, None)
-        local = terms.sparkSession.createDataFrame(rows, terms.schema)
-        slots = max((r.slot for r in rows), default=0) + 1
-        return Batch(F.broadcast(local), True, slots, sorted({r.term for r in rows}))
+def _walk(found: Column) -> Column:
+    """Covers and scores level by level, from a document's hits ``(pos, slot)`` in order.
 
+    The state holds the next position of each term seen so far, nearest first, and the sums. A hit moves
+    its term to the front; the i-th position ends a minimal cover where the state before had a later one.
+    """
+    ends = F.array().cast("array<struct<slot:int,pos:int>>")
+    sums = F.array().cast("array<struct<covers:bigint,score:double>>")
 
-def hits(docs: DataFrame, batch: Batch, key: Sequence[str], text: str) -> DataFrame:
-    """``(query_id, *key, pos, slot, term)``: positions of query terms; other tokens end here, unshuffled."""
-    tokens = docs.select(*key, F.posexplode(tx.blank_separated(F.col(text))).alias("pos", "term"))
-    return tokens.join(batch.terms, "term").select("query_id", *key, "pos", "slot", "term")
-
-
-def _per_level(found: DataFrame, key: Sequence[str], slots: int, *also: Column) -> DataFrame:
-    """``(query_id, *key, *also, levels)`` with ``levels`` an array of (level, covers, score) structs."""
-    group = ["query_id", *key]
-    kept = ["term"] if also else []
-    backwards = Window.partitionBy(*group).orderBy(F.desc("pos"))
-    so_far = backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    following = [F.last(F.when(F.col("slot") == s, F.col("pos")), True).over(so_far) for s in range(slots)]
-    ends = found.select(*group, *kept, "pos", F.array_sort(F.array_compact(F.array(*following))).alias("ends"))
-    ends = ends.withColumn("later", F.lag("ends").over(backwards))
-
-    def cover_score(i: int) -> Column:
-        end, later = F.get("ends", F.lit(i)), F.get("later", F.lit(i))
-        minimal = end.isNotNull() & (later.isNull() | (later > end))
-        return F.when(minimal, F.least(F.lit(1.0), F.lit(KAPPA) / (end - F.col("pos") + 1)))
-
-    sums = list(also)
-    for i in range(slots):
-        sums += [F.count(cover_score(i)).alias(f"c{i}"), F.sum(cover_score(i)).alias(f"s{i}")]
-    per_doc = ends.groupBy(*group).agg(*sums)
-    levels = F.array(
-        *[
-            F.struct(F.lit(i + 1).alias("level"), F.col(f"c{i}").alias("covers"), F.col(f"s{i}").alias("score"))
-            for i in range(slots)
-        ]
+    def step(state: Column, hit: Column) -> Column:
+        others = F.filter(state["ends"], lambda e: e["slot"] != hit["slot"])
+        now = F.concat(F.array(F.struct(hit["slot"].alias("slot"), hit["pos"].alias("pos"))), others)
+
+        def add(end: Column, i: Column) -> Column:
+            later, before = F.get(state["ends"], i)["pos"], F.get(state["sums"], i)
+            minimal = later.isNull() | (later > end["pos"])
+            score = F.least(F.lit(1.0), F.lit(KAPPA) / (end["pos"] - hit["pos"] + 1))
+            return F.struct(
+                (F.coalesce(before["covers"], F.lit(0)) + minimal.cast("bigint")).alias("covers"),
+                (F.coalesce(before["score"], F.lit(0.0)) + F.when(minimal, score).otherwise(0.0)).alias("score"),
+            )
+
+        return F.struct(now.alias("ends"), F.transform(now, add).alias("sums"))
+
+    start = F.struct(ends.alias("ends"), sums.alias("sums"))
+    return F.aggregate(F.reverse(found), start, step, lambda state: state["sums"])
+
+
+def _per_level(found: DataFrame, key: Sequence[str], *also: Column) -> DataFrame:
+    """``(query_id, *key, *also, levels)`` with ``levels`` an array of (level, covers, score) structs.
+
+    A group holds the hits of one document, so its size is bounded by that of a row of the input.
+    """
+    hit = F.struct(F.col("pos").cast("int").alias("pos"), F.col("slot").cast("int").alias("slot"))
+    grouped = found.groupBy("query_id", *key).agg(F.array_sort(F.collect_list(hit)).alias("hits"), *also)
+    numbered = F.transform(
+        _walk(F.col("hits")),
+        lambda s, i: F.struct((i + 1).alias("level"), s["covers"].alias("covers"), s["score"].alias("score")),
     )
-    sums_only = [c for c in per_doc.columns if c not in group and not c[1:].isdigit()]
-    return per_doc.select(*group, *sums_only, F.filter(levels, lambda x: x["covers"] > 0).alias("levels"))
+    others = [c for c in grouped.columns if c != "hits"]
+    return grouped.select(*others, F.filter(numbered, lambda x: x["covers"] > 0).alias("levels"))
 
 
 def cover_levels(
     docs: DataFrame, queries: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
     """``(query_id, *key, level, covers, score)``: every level a document satisfies."""
-    batch = Batch.of(queries)
-    per_doc = _per_level(hits(docs, batch, key, text), key, batch.slots)
+    per_doc = _per_level(hits(docs, query_terms(queries), key, text), key)
     return per_doc.select("query_id", *key, F.inline("levels"))
 
 
 def cover_scores(
-    docs: DataFrame, queries: DataFrame | Batch, key: Sequence[str] = ("doc_id",), text: str = "text"
+    docs: DataFrame, queries: DataFrame, key: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
     """``(query_id, *key, level, score)``: each matching document at its highest level only."""
-    batch = queries if isinstance(queries, Batch) else Batch.of(queries)
-    per_doc = _per_level(hits(docs, batch, key, text), key, batch.slots)
-    return _top_level(per_doc, key)
+    return _top_level(_per_level(hits(docs, query_terms(queries), key, text), key), key)
 
 
-def term_scores(topics: DataFrame, batch: Batch) -> DataFrame:
+def term_scores(topics: DataFrame, terms: DataFrame) -> DataFrame:
     """``(query_id, topic, level, score, word)`` for short texts that repeat much: each is scored once.
 
     ``topics`` needs its ``topic`` column only; ``word`` is one of the query terms the topic holds.
     """
-    found = hits(topics.select("topic", F.col("topic").alias("__text")), batch, ["topic"], "__text").distinct()
-    per_topic = _per_level(found, ["topic"], batch.slots, F.min("term").alias("word"))
+    texts = topics.select("topic").distinct().withColumn("__text", F.col("topic"))
+    per_topic = _per_level(hits(texts, terms, ["topic"], "__text"), ["topic"], F.min("term").alias("word"))
     return _top_level(per_topic, ["topic", "word"])
 
 
@@ -127,18 +117,14 @@ def _top_level(per_doc: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def keep_ranked(
-    scored: DataFrame, group: Sequence[str], tie: str, limit: int = KEPT_DOCUMENTS, early: bool = True
-) -> DataFrame:
-    """Rank by level, then score, then ``tie``; keep the first ``limit`` of each group.
+def keep_ranked(scored: DataFrame, group: Sequence[str], tie: str, limit: int | None = None) -> DataFrame:
+    """Rank by level, then score, then ``tie``; keep the first ``limit`` of each group, or all.
 
-    Spark drops all but ``limit`` rows per group before the shuffle already, at the price of a sort.
-    That is right for large groups; ``early=False`` saves the sort where groups are known to be small.
+    With a limit Spark drops all but the first rows of a group before the shuffle already.
     """
     order = Window.partitionBy(*group).orderBy(F.desc("level"), F.desc("score"), tie)
     ranked = scored.withColumn("rank", F.row_number().over(order))
-    # the second form is one Spark does not take for a limit
-    return ranked.where(F.col("rank") <= limit if early else F.col("rank") - limit <= 0)
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def cover_density(
@@ -146,7 +132,7 @@ def cover_density(
     queries: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    limit: int = KEPT_DOCUMENTS,
+    limit: int | None = KEPT_DOCUMENTS,
 ) -> DataFrame:
     """``(query_id, doc, level, score, rank)``: the first ``limit`` documents of every query."""
     return keep_ranked(cover_scores(docs, queries, [key], text), ["query_id"], key, limit)

@@ -8,15 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from savanto.functions import values as vx
-from savanto.functions.similarity import jaro_winkler
+from savanto.functions.similarity import jaro_winkler, may_reach
 from savanto.operators import upsert
-from savanto.operators.paging import top_per_group
 
-# Decision thresholds and the size of a name search.
+# Decision thresholds.
 NAME_ABOVE = 0.80
-LOCATION_ABOVE = 0.90
 SIGNATURE_BELOW = 0.50
-SEARCH_SIZE = 10
 
 
 def name_blocks(name: Column) -> Column:
@@ -25,59 +22,59 @@ def name_blocks(name: Column) -> Column:
     return F.array_distinct(F.concat(words, F.array(F.array_join(words, ""))))
 
 
-def search_index(accounts: DataFrame, rule: str) -> DataFrame:
-    """``accounts`` by search key, with at most ten rows per key.
+def candidate_pairs(sources: DataFrame, accounts: DataFrame, compare: str = "name") -> DataFrame:
+    """Every source row with the accounts that share its rarest search key, or its whole name.
 
-    ``accounts``: id, name, location, signature, blocks. The rule is that of the name search the
-    links are built on. ``fewer``: a key shared by ten or more accounts finds nobody. ``first``: it
-    finds the first ten by id. Either way a source row meets a bounded number of candidates.
+    ``sources`` and ``accounts``: id, name, location, signature, blocks; ``compare`` names the column of
+    ``accounts`` that is held against the source's name. Keys are ordered by the number of accounts that
+    have them, then by themselves: of a source's keys the first that any account has, and the whole name,
+    are looked up. No key is too common to be looked up; a common one is split by the skew join.
     """
-    keyed = accounts.withColumn("block", F.explode("blocks")).drop("blocks")
-    if rule == "first":
-        return top_per_group(keyed, ["block"], [F.col("id")], SEARCH_SIZE).drop("place")
+    keyed = accounts.select("id", F.explode("blocks").alias("block"))
     counts = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    rare = counts.where(F.col("n") < SEARCH_SIZE).select("block")
-    return keyed.join(rare, "block", "left_semi")
-
-
-def candidate_pairs(sources: DataFrame, accounts: DataFrame, rule: str) -> DataFrame:
-    """Every source row with the accounts its name search returns, once per shared search key."""
+    whole = F.element_at("blocks", -1)
+    asked = sources.select("id", F.explode("blocks").alias("block"), whole.alias("whole")).join(counts, "block")
+    rarest = asked.groupBy("id").agg(F.min_by("block", F.struct("n", "block")).alias("rarest"), F.max(F.when(F.col("block") == F.col("whole"), F.col("block"))).alias("whole"))
+    keys = rarest.select(F.col("id").alias("src_id"), F.explode(F.array_distinct(F.array_compact(F.array("rarest", "whole")))).alias("block"))
+    met = keys.join(keyed.withColumnRenamed("id", "match_id"), "block").select("src_id", "match_id").distinct()
     left = sources.select(
         F.col("id").alias("src_id"),
         F.col("name").alias("src_name"),
         F.col("location").alias("src_location"),
         F.col("signature").alias("src_signature"),
-        F.explode("blocks").alias("block"),
     )
-    right = search_index(accounts, rule).withColumnsRenamed(
-        {"id": "match_id", "name": "match_name", "location": "match_location", "signature": "match_signature"}
+    right = accounts.select(
+        F.col("id").alias("match_id"),
+        F.col(compare).alias("match_name"),
+        F.col("location").alias("match_location"),
+        F.col("signature").alias("match_signature"),
     )
-    return left.join(right, "block").drop("block")
+    return met.join(left, "src_id").join(right, "match_id")
 
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs that pass the name and the signature test, each once; location similarity is only reported.
+    """Pairs that pass the name and the signature test; location similarity is only reported.
 
-    Few pairs pass, so repeats are removed here, after the signatures have been dropped.
+    The cheap tests come first: letters in common, then the distance of the signatures.
     """
-    named = pairs.withColumn("name_sim", jaro_winkler("src_name", "match_name")).where(
-        F.col("name_sim") > NAME_ABOVE
-    )
-    seen = named.withColumn(
+    likely = pairs.where(may_reach("src_name", "match_name", NAME_ABOVE))
+    seen = likely.withColumn(
         "distance", vx.signature_distance(F.col("src_signature"), F.col("match_signature"))
     ).where(F.col("distance") < SIGNATURE_BELOW)
-    return seen.select(
+    named = seen.withColumn("name_sim", jaro_winkler("src_name", "match_name")).where(F.col("name_sim") > NAME_ABOVE)
+    return named.select(
         "src_id",
         "match_id",
         "name_sim",
         "distance",
         F.coalesce(jaro_winkler("src_location", "match_location"), F.lit(0.0)).alias("location_sim"),
-    ).distinct()
+    )
 
 
-def fuzzy_match(sources: DataFrame, accounts: DataFrame, rule: str = "fewer") -> DataFrame:
-    """``(src_id, match_id, name_sim, distance, location_sim)`` for sources with exactly one match."""
-    scored = scored_pairs(candidate_pairs(sources, accounts, rule))
+def fuzzy_match(sources: DataFrame, accounts: DataFrame, compare: str = "name") -> DataFrame:
+    """``(src_id, match_id, name_sim, distance, location_sim)`` for sources with exactly one match,
+    counted over all their candidates."""
+    scored = scored_pairs(candidate_pairs(sources, accounts, compare))
     only = scored.groupBy("src_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct("match_id", "name_sim", "distance", "location_sim")).alias("m"),
@@ -87,23 +84,31 @@ def fuzzy_match(sources: DataFrame, accounts: DataFrame, rule: str = "fewer") ->
 
 @dataclass(frozen=True)
 class Linking:
-    """One direction of linking: which name search rule it uses."""
+    """One direction of linking: which column of the candidates the source's name is held against, and
+    which of their fields the source takes over, under which prefix."""
 
     name: str
-    rule: str
+    compare: str
+    prefix: str
+    fields: tuple[str, ...]
 
 
-SE_TO_TWITTER = Linking("stackexchange_to_twitter", "first")
-Q_TO_TWITTER = Linking("quora_to_twitter", "first")
-TWITTER_TO_SE = Linking("twitter_to_stackexchange", "fewer")
+SE_TO_TWITTER = Linking("stackexchange_to_twitter", "screen_name", "twitter_", ("id", "screen_name", "name"))
+Q_TO_TWITTER = Linking("quora_to_twitter", "screen_name", "twitter_", ("id", "screen_name", "name"))
+TWITTER_TO_SE = Linking("twitter_to_stackexchange", "name", "so_", ("id", "name", "location"))
 
 
 def link_accounts(linking: Linking, sources: DataFrame, accounts: DataFrame, now: Column) -> DataFrame:
-    """Every source row with its linked account, if exactly one was found, and the time of the try."""
-    found = fuzzy_match(sources, accounts, linking.rule).select(F.col("src_id").alias("id"), "match_id")
-    return sources.select("id").join(found, "id", "left").select(
-        F.lit(linking.name).alias("direction"), "id", "match_id", now.alias("last_crawled")
-    )
+    """Every source record, with the prefixed fields of its linked account if exactly one was found, and
+    the time of the try. A source without a match keeps such fields as it has."""
+    found = fuzzy_match(sources, accounts, linking.compare).select(F.col("src_id").alias("id"), "match_id")
+    fields = accounts.select(F.col("id").alias("match_id"), *[F.col(f).alias(linking.prefix + f) for f in linking.fields])
+    record = sources.drop("blocks", "signature")
+    for name in fields.columns[1:]:
+        if name not in record.columns:
+            record = record.withColumn(name, F.lit(None).cast(fields.schema[name].dataType))
+    merged = upsert.merge_fields(record, found.join(fields, "match_id").drop("match_id"), "id")
+    return merged.withColumn("direction", F.lit(linking.name)).withColumn("last_crawled", now)
 
 
 def count_matched(experts: DataFrame) -> DataFrame:
@@ -160,7 +165,8 @@ def near_words(tokens: DataFrame, above: float = 0.8) -> DataFrame:
     """
     rows = tokens.select(F.posexplode(F.array_distinct("tokens")).alias("i", "token"), F.col("tokens").alias("all"))
     pairs = rows.select("token", F.explode("all").alias("token_2")).where(F.col("token") < F.col("token_2"))
-    scored = pairs.distinct().withColumn("similarity", jaro_winkler("token", "token_2"))
+    likely = pairs.distinct().where(may_reach("token", "token_2", above))
+    scored = likely.withColumn("similarity", jaro_winkler("token", "token_2"))
     return scored.where((F.col("similarity") > above) & (F.col("similarity") < 1.0))
 
 

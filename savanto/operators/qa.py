@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from savanto.operators.paging import top_per_group
-from savanto.skew import is_small
-
-PRIVILEGE_ROWS = 1000
+from savanto.skew import broadcast_if_small
 
 SORTS = {"activity": "last_activity", "views": "view_count", "creation": "creation_date", "votes": "score"}
 
@@ -129,16 +127,8 @@ def experts_per_tag(posts: DataFrame, matched: DataFrame, k: int) -> DataFrame:
 def privileges_of(users: DataFrame, privileges: DataFrame) -> DataFrame:
     """Every privilege a user's reputation suffices for: ``(user_id, reputation, privilege)``.
 
-    The list of privileges is short: counted first, it then travels inside the rows as a constant
-    array. A longer one is met by an equality join on powers of two, never row against row.
+    Both sides meet on powers of two by an equality join, never row against row.
     """
-    if is_small(privileges, PRIVILEGE_ROWS):
-        rows = privileges.select("short_description", F.col("reputation").cast("bigint")).limit(PRIVILEGE_ROWS).collect()
-        if not rows:
-            return users.select("user_id", "reputation", F.lit("").alias("privilege")).where("false")
-        steps = F.array(*[F.struct(F.lit(n).alias("privilege"), F.lit(r).cast("bigint").alias("need")) for n, r in rows])
-        held = F.filter(steps, lambda p: p["need"] <= F.col("reputation"))
-        return users.select("user_id", "reputation", F.explode(held["privilege"]).alias("privilege"))
 
     def bucket(c: Column) -> Column:
         return F.floor(F.log2(F.greatest(c.cast("double"), F.lit(1.0)))).cast("int")
@@ -147,7 +137,7 @@ def privileges_of(users: DataFrame, privileges: DataFrame) -> DataFrame:
     need = privileges.select(
         F.col("short_description").alias("privilege"), F.col("reputation").alias("need"), bucket(F.col("reputation")).alias("b")
     )
-    return reach.join(need, "b").where("need <= reputation").select("user_id", "reputation", "privilege")
+    return reach.join(broadcast_if_small(need), "b").where("need <= reputation").select("user_id", "reputation", "privilege")
 
 
 def versus(reputations: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from savanto.functions import text as tx
 from savanto.functions import values as vx
 from savanto.operators import cover
-
-PUSHED_TERMS = 1000
+from savanto.skew import broadcast_if_small
 
 # Provenance of a ranking row.
 BASE, SE_MERGED, SE_ADDED, Q_MERGED, Q_ADDED = range(5)
@@ -23,33 +22,21 @@ def stemmed(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", tx.query_vector(F.col("query")).alias("query"))
 
 
-def with_words(postings: DataFrame, batch: cover.Batch) -> DataFrame:
-    """Postings of the query terms. A short list of terms is pushed into the scan of the sorted index."""
-    if batch.words is not None and len(batch.words) <= PUSHED_TERMS:
-        return postings.where(F.col("word").isin(batch.words))
-    words = batch.terms.select(F.col("term").alias("word")).distinct()
-    return postings.join(words, "word", "left_semi")
-
-
 def rank_users(queries: DataFrame, postings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``(query_id, user_id, score, flag)``: sum of freq x cover score over a user's best topics,
-    weighted by the log of the listed count.
+    """``(query_id, user_id, score, flag)``: sum of freq x cover score over all topics of a user that
+    hold a query term, weighted by the log of the listed count.
 
-    ``postings`` is the index ``(word, topic, user_id, freq, big)``. A topic's score does not depend
-    on the user, so every distinct topic is scored once and the scores are joined back, each topic
-    by one of its words. Users without a matching topic never appear (they are no candidates).
-    Rows of users with very many topics are cut to the best before they are shuffled.
+    ``postings`` is the index ``(word, topic, user_id, freq)``. A topic's score does not depend on the
+    user, so every distinct topic is scored once and the scores are joined back, each topic by one of its
+    words. The sums are combined before the exchange, so a user with very many topics is no large group.
+    Users without a matching topic never appear (they are no candidates).
     """
-    batch = cover.Batch.of(stemmed(queries))
-    found = with_words(postings, batch)
-    scores = cover.term_scores(found, batch)
-
-    def best_topics(rows: DataFrame, early: bool) -> DataFrame:
-        matched = rows.join(scores, ["word", "topic"]).select("query_id", "user_id", "topic", "freq", "level", "score")
-        return cover.keep_ranked(matched, ["user_id", "query_id"], "topic", early=early)
-
-    best = best_topics(found.where(~F.col("big")), False).unionByName(best_topics(found.where("big"), True))
-    sims = best.groupBy("query_id", "user_id").agg(F.sum(F.col("freq") * F.col("score")).alias("sim"))
+    terms = cover.query_terms(stemmed(queries))
+    words = terms.select(F.col("term").alias("word")).distinct()
+    found = postings.join(broadcast_if_small(words), "word", "left_semi")
+    scores = cover.term_scores(found, terms)
+    matched = found.join(scores, ["word", "topic"])
+    sims = matched.groupBy("query_id", "user_id").agg(F.sum(F.col("freq") * F.col("score")).alias("sim"))
     listed = profiles.select("user_id", "listed_count")
     weighted = sims.join(listed, "user_id", "left")
     return weighted.select(
@@ -60,20 +47,21 @@ def rank_users(queries: DataFrame, postings: DataFrame, profiles: DataFrame) ->
     )
 
 
-def topic_match(queries: DataFrame, topics: DataFrame, how: str, batch: cover.Batch | None = None) -> DataFrame:
-    """``(query_id, topic, level, score)`` of the kept topics of every query.
+def topic_match(queries: DataFrame, topics: DataFrame, how: str, limit: int | None = None) -> DataFrame:
+    """``(query_id, topic, level, score)`` of the topics that match each query, or the first ``limit``.
 
     ``topics`` holds distinct labels. ``how`` is ``contains`` or ``prefix``: the raw query, lower
     case and without wildcards, must occur in the label or start it. A topic without a query term
     scores nothing and drops out, so terms find the topics and the text test only filters.
     """
     labelled = topics.select("topic", tx.normal_label(F.col("topic")).alias("label"))
-    batch = batch or cover.Batch.of(queries)
-    scored = cover.cover_scores(labelled, batch, ["topic", "label"], "label")
+    scored = cover.cover_scores(labelled, queries, ["topic", "label"], "label")
     raw = F.lower(F.trim(F.col("query")))
     where = F.contains(F.col("label"), raw) if how == "contains" else F.startswith(F.col("label"), raw)
-    kept = scored.join(F.broadcast(queries) if batch.small else queries, "query_id").where(where)
-    return cover.keep_ranked(kept, ["query_id"], "topic").select("query_id", "topic", "level", "score")
+    kept = scored.join(broadcast_if_small(queries), "query_id").where(where)
+    if limit is not None:
+        kept = cover.keep_ranked(kept, ["query_id"], "topic", limit)
+    return kept.select("query_id", "topic", "level", "score")
 
 
 def external_scores(
@@ -83,7 +71,6 @@ def external_scores(
     crosswalk: DataFrame,
     profiles: DataFrame,
     how: str,
-    batch: cover.Batch | None = None,
 ) -> DataFrame:
     """``(query_id, user_id, external)``: another network's scores on the scale of the base ranking.
 
@@ -93,8 +80,7 @@ def external_scores(
     ranking get nothing.
     """
     topics = topic_experts.select("topic").distinct()
-    batch = batch or cover.Batch.of(queries)
-    matched = topic_match(queries, topics, how, batch)
+    matched = topic_match(queries, topics, how)
     rescaled = topic_experts.select("topic", "expert", F.col("score").alias("native")).join(matched, "topic")
     per_expert = rescaled.groupBy("query_id", "expert").agg(
         F.max(F.col("native") * F.col("score")).alias("high"), F.min(F.col("native") * F.col("score")).alias("low")
@@ -104,8 +90,6 @@ def external_scores(
         F.min("score").alias("base_low"), F.max("score").alias("base_high")
     )
     spans = span.join(base_span, "query_id")  # one row per query
-    if batch.small:
-        spans = F.broadcast(spans)
     linked = to_users(per_expert, crosswalk, profiles)
     scaled = linked.join(spans, "query_id").select(
         "query_id",
@@ -145,15 +129,15 @@ def fuse(base: DataFrame, external: DataFrame, merged_flag: int, added_flag: int
     )
 
 
-def fuse_se(base, queries, topic_experts, crosswalk, profiles, batch=None) -> DataFrame:
+def fuse_se(base, queries, topic_experts, crosswalk, profiles) -> DataFrame:
     """Add the question-and-answer network: topics containing the query."""
-    external = external_scores(queries, base, topic_experts, crosswalk, profiles, "contains", batch)
+    external = external_scores(queries, base, topic_experts, crosswalk, profiles, "contains")
     return fuse(base, external, SE_MERGED, SE_ADDED, "from_se")
 
 
-def fuse_q(ranking, base, queries, topic_experts, crosswalk, profiles, batch=None) -> DataFrame:
+def fuse_q(ranking, base, queries, topic_experts, crosswalk, profiles) -> DataFrame:
     """Add the writers' network: topics starting with the query, on the scale of ``base``."""
-    external = external_scores(queries, base, topic_experts, crosswalk, profiles, "prefix", batch)
+    external = external_scores(queries, base, topic_experts, crosswalk, profiles, "prefix")
     return fuse(ranking, external, Q_MERGED, Q_ADDED, "from_q")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,13 @@ ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+BUCKET_ROWS = 2_000_000
 
-def local_session(app: str = "savanto", cpus: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark."""
+_made: dict[str, list[str]] = {}  # application: paths
+
+
+def local_session(app: str = "savanto", cpus: int = 8, memory: str = "8g", folder: str | None = None) -> SparkSession:
+    """A local session for tests and the benchmark; ``folder`` names the shared folder."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -29,6 +34,8 @@ def local_session(app: str = "savanto", cpus: int = 8, memory: str = "8g") -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -44,23 +51,36 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, named by ``spark.checkpoint.dir``.
 
-    Only a local session may run without the setting; it gets a temporary folder.
+    A session whose executors are threads of one process may run without the setting; it gets a folder of
+    its own on that machine. On a cluster the setting is required.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="savanto-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.getCheckpointDir() is None and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="savanto-"))
+    return (folder or context.getCheckpointDir()).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, on the list of :func:`discard`."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Remove everything this application stored by :func:`new_path` so far, and the tables over it.
+
+    For the end of a job, when its result has been taken or written. Returns the number of paths.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        spark.sql(f"drop table if exists {_table_name(path)}")
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -77,11 +97,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Write a table bucketed by ``keys`` under the shared folder: joins on them move the other side only."""
+def _table_name(path: str) -> str:
+    return "savanto_" + path.rsplit("/", 1)[-1].replace("-", "_")
+
+
+def bucketed(df: DataFrame, keys: list[str], label: str, rows: int) -> DataFrame:
+    """Write a table of about ``rows`` rows bucketed by ``keys``: joins on them move the other side only.
+
+    The number of buckets follows the rows, so that a bucket stays what one task can hold.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    name = "savanto_" + path.rsplit("/", 1)[-1].replace("-", "_")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    n = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(_table_name(path))
+    return spark.table(_table_name(path))

@@ -10,17 +10,16 @@ from pyspark.sql import functions as F
 
 from savanto.session import written
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to a shuffled, skew-split join."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only where the rows, written out, are no larger than ``max_bytes``.
 
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a cheap input (a batch of queries, a seed list) stays within the broadcast bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    For cheap inputs (a batch of queries, a seed list). A larger side is left to a shuffled, skew-split join.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("size")).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
 def hot_keys(df: DataFrame, key: str, target: int) -> DataFrame:

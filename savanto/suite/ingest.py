@@ -162,12 +162,12 @@ def hash_merge(t: Tables):
     return upsert.merge_fields(old, new, "user_id")
 
 
-INSERT_VIEWS = """with o as (select distinct l_suppkey as user_id, 'old' as origin from lineitem where l_linenumber = 1),
+INSERT_VIEWS = """with o as (select distinct l_suppkey as user_id, 'old' as origin from lineitem),
     n as (select distinct l_partkey as user_id, 'new' as origin from lineitem) """
 
 
 def _seen_and_new(t: Tables):
-    old = t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("user_id"), F.lit("old").alias("origin"))
+    old = t.lineitem.select(F.col("l_suppkey").alias("user_id"), F.lit("old").alias("origin"))
     return old.distinct(), t.lineitem.select(F.col("l_partkey").alias("user_id"), F.lit("new").alias("origin"))
 
 

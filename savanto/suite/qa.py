@@ -76,7 +76,7 @@ REPUTATION = [
     (
         "reps",
         """select user_id, event_type as site, cast(sum(cast(round(value * 100) as bigint)) as bigint) as reputation
-           from events where user_id % 7 <> length(event_type) group by 1, 2""",
+           from events group by 1, 2""",
     ),
     (
         "sites",
@@ -98,8 +98,7 @@ REPUTATION = [
 )
 def versus(t: Tables):
     """Even users against their odd neighbours; event types are sites, summed cents reputation."""
-    rows = t.events.where(F.col("user_id") % 7 != F.length("event_type"))
-    reps = rows.groupBy("user_id", F.col("event_type").alias("site")).agg(
+    reps = t.events.groupBy("user_id", F.col("event_type").alias("site")).agg(
         F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("reputation")
     )
     even = (F.col("user_id") - F.col("user_id") % 2).alias("user_1")
@@ -129,13 +128,13 @@ def fk_deref(t: Tables):
     """select event_id, event_type as type, case when event_type in ('click', 'view') then o_orderpriority
        when event_type = 'error' then role when event_type = 'signup' then n_name end as value
        from events left join orders on o_orderkey = event_id
-       left join conversations on conv_id * 1000 + turn = event_id * 10
+       left join conversations on conv_id * 1000 + turn = event_id
        left join nation on n_nationkey = event_id""",
 )
 def typed_deref(t: Tables):
     events = t.events.select("event_id", F.col("event_type").alias("type"), F.col("event_id").alias("ref"))
     posts = t.orders.select(F.col("o_orderkey").alias("ref"), F.col("o_orderpriority").alias("value"))
-    notes = t.items().where("item_id % 10 = 0").select((F.col("item_id") / 10).cast("bigint").alias("ref"), F.col("role").alias("value"))
+    notes = t.items().select(F.col("item_id").alias("ref"), F.col("role").alias("value"))
     badges = t.nation.select(F.col("n_nationkey").cast("bigint").alias("ref"), F.col("n_name").alias("value"))
     found = op.typed_deref(
         events, {"post": (["click", "view"], posts), "comment": (["error"], notes), "badge": (["signup"], badges)}

@@ -27,9 +27,7 @@ def base_sql(queries: str = QUERY_SQL) -> list[tuple[str, str]]:
         *cover_sql("select distinct topic as doc_id, topic as text from vectors", TERMS_SQL, "b_"),
         (
             "b_best",
-            """select * from (select query_id, user_id, freq, score, row_number() over (
-               partition by query_id, user_id order by level desc, score desc, topic) as rn
-               from vectors join b_tops on doc_id = topic) where rn <= 20""",
+            "select query_id, user_id, freq, score from vectors join b_tops on doc_id = topic",
         ),
         (
             "base",
@@ -51,10 +49,8 @@ def external_sql(p: str, experts: str, test: str) -> list[tuple[str, str]]:
         ),
         (
             f"{p}match",
-            f"""select * from (select query_id, doc_id as topic, score, row_number() over (
-                partition by query_id order by level desc, score desc, doc_id) as rn
-                from {p}tops join {p}docs using (doc_id) join q using (query_id)
-                where {test}(text, lower(query))) where rn <= 20""",
+            f"""select query_id, doc_id as topic, score from {p}tops join {p}docs using (doc_id)
+                join q using (query_id) where {test}(text, lower(query))""",
         ),
         (
             f"{p}scaled",

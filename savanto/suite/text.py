@@ -197,7 +197,7 @@ def tokenize(t: Tables):
         }, '|') as pieces from part""",
 )
 def camel_split(t: Tables):
-    first_up = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000))
+    first_up = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr("p_name", F.lit(2)))
     joined = F.concat(F.replace(first_up, F.lit(" "), F.lit("")), F.col("p_type"))
     return t.part.select("p_partkey", F.array_join(tx.camel_split(joined), "|").alias("pieces"))
 

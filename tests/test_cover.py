@@ -90,3 +90,12 @@ def test_batch_of_queries_of_different_length(spark):
     docs = as_docs(spark, ["a b c", "b c"])
     rows = cover.cover_scores(docs, cover.make_queries(spark, [("x", "a b c"), ("y", "c")])).collect()
     assert {(r.query_id, r.doc_id, r.level) for r in rows} == {("x", 0, 3), ("x", 1, 2), ("y", 0, 1), ("y", 1, 1)}
+
+
+def test_long_query_and_a_batch_of_any_size(spark):
+    words = [f"w{i}" for i in range(300)]
+    got = levels(spark, [" ".join(words), "w7 w9 w7"], " ".join(words))
+    assert got[0][300] == (1, pytest.approx(3 / 300)) and got[0][1] == (300, 300.0) and len(got[0]) == 300
+    assert got[1] == {1: (3, 3.0), 2: (2, 2.0)}
+    many = cover.make_queries(spark, [f"w{i}" for i in range(3000)])
+    assert cover.cover_scores(as_docs(spark, ["w1 w2999"]), many).count() == 2

@@ -1,9 +1,12 @@
 """Names, signatures and the one-match gate."""
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from savanto.functions.similarity import jaro_winkler
+from savanto.functions.similarity import jaro_winkler, may_reach
 from savanto.functions.values import signature_distance
 from savanto.operators import identity
 
@@ -55,19 +58,40 @@ def test_gate_wants_exactly_one_match(spark):
     assert rows[0].location_sim == 1.0
 
 
-def test_common_names(spark):
-    src = accounts(spark, [(1, "ann", None, SIG)])
-    dst = accounts(spark, [(i, "ann", None, SIG if i == 12 else FAR) for i in range(3, 20)])
-    # a name ten or more accounts share finds nobody; the other rule looks at the first ten only
-    assert identity.fuzzy_match(src, dst, "fewer").count() == 0
-    assert [r.match_id for r in identity.fuzzy_match(src, dst, "first").collect()] == [12]
-    late = accounts(spark, [(i, "ann", None, SIG if i == 19 else FAR) for i in range(3, 20)])
-    assert identity.fuzzy_match(src, late, "first").count() == 0
+def test_names_that_many_accounts_share(spark):
+    src = accounts(spark, [(1, "ann", None, SIG), (2, "John Smith", None, SIG)])
+    crowd = [(i, "ann", None, SIG if i == 19 else FAR) for i in range(3, 20)]
+    johns = [(100 + i, f"John B{i}", None, SIG) for i in range(12)] + [(200 + i, f"B{i} Smith", None, SIG) for i in range(12)]
+    dst = accounts(spark, [*crowd, *johns, (300, "John W Smith", None, SIG)])
+    assert {(r.src_id, r.match_id) for r in identity.fuzzy_match(src, dst).collect()} >= {(1, 19)}
+    names = {(r.src_id, r.match_id) for r in identity.candidate_pairs(src, dst).collect()}
+    assert (2, 300) in names and {m for s, m in names if s == 1} == set(range(3, 20))
 
 
-def test_unlinked_sources_keep_their_row(spark):
-    src = accounts(spark, [(1, "ann", None, SIG), (2, "zoe", None, SIG)])
-    dst = accounts(spark, [(9, "ann", None, SIG)])
+def test_unlinked_sources_keep_their_row_and_linked_ones_take_fields_over(spark):
+    src = accounts(spark, [(1, "ann", None, SIG), (2, "zoe", None, SIG)]).withColumn("so_name", F.lit("old"))
+    dst = accounts(spark, [(9, "ann", "Oslo", SIG)])
     got = identity.link_accounts(identity.TWITTER_TO_SE, src, dst, F.lit("now")).collect()
-    assert {(r.id, r.match_id) for r in got} == {(1, 9), (2, None)}
-    assert all(r.last_crawled == "now" for r in got)
+    assert {(r.id, r.so_id, r.so_name, r.so_location) for r in got} == {(1, 9, "ann", "Oslo"), (2, None, "old", None)}
+    assert all(r.last_crawled == "now" and r.direction == "twitter_to_stackexchange" for r in got)
+
+
+def test_to_twitter_the_screen_name_is_compared(spark):
+    src = accounts(spark, [(1, "ann lee", None, SIG)])
+    dst = accounts(spark, [(8, "ann lee", None, SIG), (9, "ann lee", None, SIG)]).withColumn(
+        "screen_name", F.when(F.col("id") == 8, "annlee").otherwise("xyz")
+    )
+    got = identity.link_accounts(identity.SE_TO_TWITTER, src, dst, F.lit("now")).collect()
+    assert [(r.twitter_id, r.twitter_screen_name, r.twitter_name) for r in got] == [(8, "annlee", "ann lee")]
+
+
+def test_letter_bound_never_loses_a_pair(spark):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("abcd e") for _ in range(rng.randint(0, 9))), "".join(rng.choice("abcd e") for _ in range(rng.randint(0, 9)))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(jaro_winkler("a", "b").alias("s"), may_reach("a", "b", 0.8).alias("may"), "a", "b").collect()
+    assert all(r.may for r in got if r.s > 0.8)
+    con = duckdb.connect()
+    for r in got:
+        if r.a and r.b:
+            assert r.s == pytest.approx(con.execute("select jaro_winkler_similarity(?, ?)", [r.a, r.b]).fetchone()[0])

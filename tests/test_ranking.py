@@ -41,16 +41,22 @@ def test_rank_one_network(spark, world):
     }
 
 
-def test_users_with_many_topics_rank_alike(spark):
+def test_all_topics_of_a_user_count(spark):
     rows = [(u, f"w{i:03d} red", 1 + (i * u) % 7) for u in (1, 2) for i in range(60 if u == 1 else 25)]
     vectors = spark.createDataFrame(rows, "user_id bigint, topic string, freq bigint")
     profiles = spark.createDataFrame([(1, 3), (2, 3)], "user_id bigint, listed_count bigint")
     queries = cover.make_queries(spark, ["red"])
-    got = [
-        scores(ranking.rank_users(queries, topics.postings(vectors, big), profiles)) for big in (10, 40, 1000)
-    ]
-    assert got[0] == got[1] == got[2]
-    assert got[0][1][0] == round(sum(f for u, _, f in rows[:20]) * math.log(3), 6)
+    got = scores(ranking.rank_users(queries, topics.postings(vectors), profiles))
+    assert {u: s for u, (s, _) in got.items()} == {
+        v: round(sum(f for u, _, f in rows if u == v) * math.log(3), 6) for v in (1, 2)
+    }
+
+
+def test_all_matching_topics_are_fused_and_a_limit_is_optional(spark):
+    labels = spark.createDataFrame([(f"ring {i:02d}",) for i in range(45)], "topic string")
+    queries = cover.make_queries(spark, ["ring"])
+    assert ranking.topic_match(queries, labels, "prefix").count() == 45
+    assert ranking.topic_match(queries, labels, "prefix", limit=20).count() == 20
 
 
 def test_fusion(spark, world):
