@@ -34,32 +34,21 @@ BUCKET, MOST_BUCKETS = 1024, 8192
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct lower-case words of letters and digits."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """``(term, mask)``: terms of the band, and bit by bit the subsets that keep them."""
+    """``(term, slots)``: terms of the band, each with the subsets that keep it; about two and a half."""
     units = docs.select(F.explode(terms(whole_text())).alias("term"))
     counts = units.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     n_docs = docs.count()
     band = counts.where((F.col("n") >= max(LEAST, low * n_docs)) & (F.col("n") <= max(LEAST, high * n_docs)))
-    mask = F.lit(1).cast("long")
+    kept = [F.lit(0)]
     for slot in range(1, SLOTS):
         rate = (1 << (FIRST_STEP + (slot - 1) % STEPS)) - 1
-        kept = F.xxhash64("term", F.lit(slot)).bitwiseAND(F.lit(rate)) == 0
-        mask = mask.bitwiseOR(F.when(kept, F.lit(1 << slot).cast("long")).otherwise(F.lit(0).cast("long")))
-    return written(band.select("term", mask.alias("mask")), "lexicon")
-
-
-def slots(found: Column, everything: Column) -> Column:
-    """The hash of each subset's terms, null where it has none. ``found`` are the sorted ``(term, mask)``."""
-
-    def one(slot: Column) -> Column:
-        kept = F.filter(found, lambda t: F.call_function("shiftright", t["mask"], slot).bitwiseAND(F.lit(1)) == 1)
-        return F.when(F.size(found) == 0, F.hash(everything, slot)).when(F.size(kept) > 0, F.hash(kept["term"], slot))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), one)
+        kept.append(F.when(F.xxhash64("term", F.lit(slot)).bitwiseAND(F.lit(rate)) == 0, F.lit(slot)))
+    return written(band.select("term", F.array_compact(F.array(*kept)).alias("slots")), "lexicon")
 
 
 def shown(fingerprint: Column) -> Column:
@@ -75,27 +64,41 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, lexicon_: DataFrame, keys: list[str], texts: dict[str, str], others: list[str] | None = None) -> DataFrame:
-    """``keys``, ``others`` and, for each entry ``name: column`` of ``texts``, the fingerprint ``name``.
+    """``keys``, ``others`` and, for each entry ``name: column`` of ``texts``, the fingerprint ``name``: the
+    hash of each subset's sorted terms, null where a text has none of them.
 
     Where ``rows`` are partitioned by one of ``keys`` nothing is exchanged.
     """
     none = F.lit(None).cast("long")
     parts = [F.struct(F.lit(i).alias("which"), terms(F.col(c)).alias("terms")) for i, c in enumerate(texts.values())]
-    held = F.struct(*[F.col(c) for c in others or []], *[F.xxhash64(F.array_sort(F.col("__parts")[i]["terms"])).alias(f"__all{i}") for i in range(len(parts))])
+    everything = F.hash(F.array_sort("p.terms"))
+    held = F.struct(*[F.col(c) for c in others or []]) if others else F.struct(F.lit(0).alias("__none"))
     spread = (
-        rows.withColumn("__parts", F.array(*parts))
-        .withColumn("__held", held)
-        .select(*keys, "__held", F.explode("__parts").alias("p"))
-        # one row without a term carries the other columns
-        .select(*keys, "__held", F.col("p.which").alias("which"), F.explode(F.concat(F.array(none), F.col("p.terms"))).alias("term"))
-        .withColumn("__held", F.when(F.col("term").isNull() & (F.col("which") == 0), F.col("__held")))
+        rows.withColumn("__held", held)
+        .select(*keys, "__held", F.explode(F.array(*parts)).alias("p"))
+        # one row without a term carries the other columns and the hash of all terms
+        .select(*keys, "__held", F.col("p.which").alias("which"), everything.alias("all"), F.explode(F.concat(F.array(none), F.col("p.terms"))).alias("term"))
+        .select(*keys, "which", "term", F.when(F.col("term").isNull(), F.struct("__held", "all")).alias("row"))
     )
     # at most (mean terms of a document) / LOW rows
-    matched = spread.join(F.broadcast(lexicon_), "term", "left").where("term is null or mask is not null")
-    of = lambda i: F.array_sort(F.collect_set(F.when((F.col("which") == i) & F.col("mask").isNotNull(), F.struct("term", "mask"))))
-    gathered = matched.groupBy(*keys).agg(F.max("__held").alias("__held"), *[of(i).alias(f"__found{i}") for i in range(len(parts))])
-    made = [slots(F.col(f"__found{i}"), F.col(f"__held.__all{i}")).alias(name) for i, name in enumerate(texts)]
-    return gathered.select(*keys, *[F.col(f"__held.{c}").alias(c) for c in others or []], *made)
+    matched = spread.join(F.broadcast(lexicon_), "term", "left").where("term is null or slots is not null")
+    by_slot = matched.withColumn("slot", F.explode(F.when(F.col("term").isNull(), F.array(F.lit(-1))).otherwise(F.col("slots"))))
+    hashed = by_slot.groupBy(*keys, "which", "slot").agg(F.hash(F.array_sort(F.collect_set("term"))).alias("hash"), F.max("row").alias("row"))
+    # at most one entry for each text and slot
+    entry = lambda i: F.map_from_entries(F.collect_list(F.when((F.col("which") == i) & (F.col("slot") >= 0), F.struct("slot", "hash"))))
+    alone = lambda i: F.max(F.when(F.col("which") == i, F.col("row.all")))
+    gathered = hashed.groupBy(*keys).agg(
+        F.max("row").alias("__row"), *[entry(i).alias(f"__slots{i}") for i in range(len(parts))], *[alone(i).alias(f"__all{i}") for i in range(len(parts))]
+    )
+    numbers = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+
+    def fingerprint(i: int) -> Column:
+        found = F.col(f"__slots{i}")
+        whole = F.transform(numbers, lambda slot: F.hash(F.col(f"__all{i}"), slot))
+        return F.when(F.size(found) == 0, whole).otherwise(F.transform(numbers, lambda slot: F.try_element_at(found, slot)))
+
+    carried = [F.col(f"__row.__held.{c}").alias(c) for c in others or []]
+    return gathered.select(*keys, *carried, *[fingerprint(i).alias(name) for i, name in enumerate(texts)])
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
