@@ -38,17 +38,23 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
+#: An entry of a subset is one number: the slot, then the lower bits of the term's hash.
+TERM_BITS = 56
+
+
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """``(term, slots)``: terms of the band, each with the subsets that keep it; about two and a half."""
+    """``(term, entries)``: terms of the band, each with its entry in every subset that keeps it (about two
+    and a half)."""
     units = docs.select(F.explode(terms(whole_text())).alias("term"))
     counts = units.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     n_docs = docs.count()
     band = counts.where((F.col("n") >= max(LEAST, low * n_docs)) & (F.col("n") <= max(LEAST, high * n_docs)))
-    kept = [F.lit(0)]
+    entry = F.col("term").bitwiseAND(F.lit((1 << TERM_BITS) - 1))
+    kept = [entry]
     for slot in range(1, SLOTS):
         rate = (1 << (FIRST_STEP + (slot - 1) % STEPS)) - 1
-        kept.append(F.when(F.xxhash64("term", F.lit(slot)).bitwiseAND(F.lit(rate)) == 0, F.lit(slot)))
-    return written(band.select("term", F.array_compact(F.array(*kept)).alias("slots")), "lexicon")
+        kept.append(F.when(F.xxhash64("term", F.lit(slot)).bitwiseAND(F.lit(rate)) == 0, entry + F.lit(slot << TERM_BITS)))
+    return written(band.select("term", F.array_compact(F.array(*kept)).alias("entries")), "lexicon")
 
 
 def shown(fingerprint: Column) -> Column:
@@ -81,26 +87,40 @@ def fingerprints(rows: DataFrame, lexicon_: DataFrame, keys: list[str], texts: d
         .select(*keys, "which", "term", F.when(F.col("term").isNull(), F.struct("__held", "all")).alias("row"))
     )
     # at most (mean terms of a document) / LOW rows
-    matched = spread.join(F.broadcast(lexicon_), "term", "left").where("term is null or slots is not null")
-    by_slot = matched.withColumn("slot", F.explode(F.when(F.col("term").isNull(), F.array(F.lit(-1))).otherwise(F.col("slots"))))
-    hashed = by_slot.groupBy(*keys, "which", "slot").agg(F.hash(F.array_sort(F.collect_set("term"))).alias("hash"), F.max("row").alias("row"))
-    # at most one entry for each text and slot
-    entry = lambda i: F.map_from_entries(F.collect_list(F.when((F.col("which") == i) & (F.col("slot") >= 0), F.struct("slot", "hash"))))
+    matched = spread.join(F.broadcast(lexicon_), "term", "left").where("term is null or entries is not null")
+    found = lambda i: F.flatten(F.collect_list(F.when(F.col("which") == i, F.col("entries"))))
     alone = lambda i: F.max(F.when(F.col("which") == i, F.col("row.all")))
-    gathered = hashed.groupBy(*keys).agg(
-        F.max("row").alias("__row"), *[entry(i).alias(f"__slots{i}") for i in range(len(parts))], *[alone(i).alias(f"__all{i}") for i in range(len(parts))]
+    gathered = matched.groupBy(*keys).agg(
+        F.max("row").alias("__row"), *[found(i).alias(f"__found{i}") for i in range(len(parts))], *[alone(i).alias(f"__all{i}") for i in range(len(parts))]
     )
+    for i in range(len(parts)):
+        # in order of slots, and of terms in each; then one line of text for each slot
+        gathered = gathered.withColumn(f"__sorted{i}", F.sort_array(f"__found{i}"))
+        gathered = gathered.withColumn(f"__slots{i}", _terms_of_slots(f"__sorted{i}"))
     numbers = F.sequence(F.lit(0), F.lit(SLOTS - 1))
 
     def fingerprint(i: int) -> Column:
-        found = F.col(f"__slots{i}")
+        line = lambda slot: F.try_element_at(F.col(f"__slots{i}"), slot.cast("string"))
         whole = F.transform(numbers, lambda slot: F.hash(F.col(f"__all{i}"), slot))
-        return F.when(F.size(found) == 0, whole).otherwise(F.transform(numbers, lambda slot: F.try_element_at(found, slot)))
+        return F.when(F.size(f"__found{i}") == 0, whole).otherwise(F.transform(numbers, lambda slot: F.when(line(slot).isNotNull(), F.hash(line(slot)))))
 
     carried = [F.col(f"__row.__held.{c}").alias(c) for c in others or []]
     return gathered.select(*keys, *carried, *[fingerprint(i).alias(name) for i, name in enumerate(texts)])
 
 
+def _terms_of_slots(entries: str) -> Column:
+    """A map from each slot to its terms, joined in order, from sorted entries."""
+
+    def piece(entry: Column, k: Column) -> Column:
+        slot = F.shiftright(entry, TERM_BITS)
+        first = (k == 0) | (F.shiftright(F.get(F.col(entries), k - 1), TERM_BITS) != slot)
+        term = entry.bitwiseAND(F.lit((1 << TERM_BITS) - 1)).cast("string")
+        return F.concat(F.when(first, F.concat(F.lit(";"), slot.cast("string"), F.lit(":"))).otherwise(F.lit(",")), term)
+
+    text = F.array_join(F.transform(F.col(entries), piece), "")
+    return F.str_to_map(F.substr(text, F.lit(2)), F.lit(";"), F.lit(":"))
+
+
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
     """How many bounds lie below an id, by halving; null ids count as lowest."""
     if not bounds:
