@@ -10,13 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Named references; the ampersand comes last, so that nothing is decoded twice.
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """Text with its character references replaced; decimal ones of the basic plane, and the named ones."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#0*([1-9][0-9]{0,4});"), 1))
+    usable = F.filter(numbers, lambda n: n.cast("int") < 65536)
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 4, "0")), "UTF-16BE")
+    out = F.aggregate(usable, text, lambda done, n: F.regexp_replace(done, F.concat(F.lit("&#0*"), n, F.lit(";")), F.replace(F.replace(letter(n), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
+    for name, char in NAMED.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
+def text_of(markup: Column) -> Column:
+    """The text of a piece of markup: comments, scripts, styles and tags removed, references decoded."""
+    bare = F.regexp_replace(markup, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", "")
+    return decoded(bare)
+
+
 def first_text(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """Text of the first ``tag`` element (optionally with a class); NULL if there is none."""
-    if css_class:
-        attrs = rf'[^>]*class="[^"]*{css_class}[^"]*"[^>]*'
-    else:
-        attrs = r"(?:\s[^>]*)?"
-    return F.get(F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}{attrs}>(.*?)</{tag}>"), 1), F.lit(0))
+    """Text of the first ``tag`` element (optionally with a class); NULL if there is none.
+
+    The element ends at the first closing tag of its name.
+    """
+    attrs = rf'\s[^>]*class="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"[^>]*' if css_class else r"(?:\s[^>]*)?"
+    pattern = rf"(?s)<{tag}{attrs}>(.*?)</{tag}>"
+    return F.when(F.regexp_like(html, F.lit(pattern)), text_of(F.regexp_extract(html, pattern, 1)))
 
 
 def links(html: Column) -> Column:

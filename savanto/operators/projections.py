@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,3 +58,25 @@ def point_lookup(rows: DataFrame, key: str, value) -> DataFrame:
     found = rows.where(F.col(key) == F.lit(value)).agg(F.max(F.struct(*rows.columns)).alias("r"))
     missing = F.raise_error(F.lit(f"no row with {key} = {value}")).cast("boolean")
     return found.where(F.when(F.col("r").isNotNull(), F.lit(True)).otherwise(missing)).select("r.*")
+
+
+@dataclass(frozen=True)
+class Field:
+    """A declared field: its name, the (dotted) source it is taken from, a conversion, and, for a list of
+    records, the fields of each."""
+
+    name: str
+    source: str | None = None
+    convert: Callable[[Column], Column] | None = None
+    many: tuple[Field, ...] = ()
+
+    def of(self, record: Callable[[str], Column]) -> Column:
+        value = record(self.source or self.name)
+        if self.many:
+            value = F.transform(value, lambda item: F.struct(*[f.of(lambda path: item.getField(path)) for f in self.many]))
+        return (self.convert(value) if self.convert else value).alias(self.name)
+
+
+def declared(rows: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """The declared fields of every row: renamed, converted, and lists of records field by field."""
+    return rows.select(*[f.of(F.col) for f in fields])

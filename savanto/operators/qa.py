@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from savanto.operators.paging import top_per_group
@@ -199,6 +199,35 @@ def favorited_by(questions: DataFrame, favorites: DataFrame, user_id) -> DataFra
     return questions.join(marked, "question_id", "left_semi")
 
 
+def asked_by(questions: DataFrame, user_ids: DataFrame) -> DataFrame:
+    """Questions of the asked users; ``user_ids``: owner."""
+    return questions.join(user_ids.select("owner"), "owner", "left_semi")
+
+
+def answered_by(questions: DataFrame, answers: DataFrame, user_ids: DataFrame) -> DataFrame:
+    """Questions that one of the asked users answered, each once."""
+    theirs = answers.join(user_ids.select("owner"), "owner", "left_semi").select("question_id")
+    return questions.join(theirs, "question_id", "left_semi")
+
+
+def timeline(posts: DataFrame, kind: str, key: str, user: str, ts: str) -> DataFrame:
+    """``(timeline_type, post_id, user_id, creation_date)``: events of one kind; union them for a timeline."""
+    return posts.select(F.lit(kind).alias("timeline_type"), F.col(key).alias("post_id"), F.col(user).alias("user_id"), F.col(ts).alias("creation_date"))
+
+
+def revisions(edits: DataFrame) -> DataFrame:
+    """``(post_id, revision_number, user_id, creation_date)`` from ``post_id, user_id, creation_date, revision_id``:
+    edits of a post numbered in time."""
+    order = Window.partitionBy("post_id").orderBy("creation_date", "revision_id")
+    return edits.select("post_id", F.row_number().over(order).alias("revision_number"), "user_id", "creation_date")
+
+
+def synonym_list(synonyms: DataFrame, applied: DataFrame) -> DataFrame:
+    """``(from_tag, to_tag, applied_count)``: how many posts (``post_id, tag``) carry each synonym."""
+    counts = applied.groupBy(F.col("tag").alias("from_tag")).agg(F.count(F.lit(1)).alias("applied_count"))
+    return synonyms.join(counts, "from_tag", "left").select("from_tag", "to_tag", F.coalesce("applied_count", F.lit(0)).alias("applied_count"))
+
+
 # ---- posts ----
 
 

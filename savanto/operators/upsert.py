@@ -59,7 +59,3 @@ def zset_last_wins(rows: DataFrame, key: Sequence[str], score: str, ts: str | Co
     """Sorted-set semantics: the last score of each member."""
     return rows.groupBy(*key).agg(F.max_by(score, ts).alias(score))
 
-
-def stamped(df: DataFrame, column: str, now) -> DataFrame:
-    """Record when the rows were crawled."""
-    return df.withColumn(column, F.lit(now).cast("timestamp"))

@@ -24,9 +24,22 @@ def read_feed(spark: SparkSession, path: str, schema, files_per_batch: int | Non
     return reader.parquet(path)
 
 
-def dedup(feed: DataFrame, key: Sequence[str], ts: str, horizon: str) -> DataFrame:
-    """First item of each key within the horizon; older state is dropped."""
-    return feed.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(list(key))
+def dedup(feed: DataFrame, key: Sequence[str], known: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write items with keys that neither ``known`` (a stored table) nor the feed had before to ``path``.
+
+    What was written is what is remembered, so a key is never forgotten. A micro-batch that is tried again
+    overwrites its own folder and does not look at it.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(list(key)).join(known.select(*key), list(key), "left_anti")
+        if batch_id:
+            spark = batch.sparkSession
+            earlier = spark.read.schema(batch.select(*key).schema).parquet(*[f"{path}/batch={i}" for i in range(batch_id)])
+            new = new.join(earlier, list(key), "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def quota(feed: DataFrame, ts: str, width: str, limit: int) -> DataFrame:

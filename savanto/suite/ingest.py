@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from savanto.functions import values as vx
 from savanto.operators import paging, projections, upsert
 from savanto.session import new_path
+from savanto.skew import global_rank
 from savanto.sources import stored
 from savanto.suite.registry import Tables, case, with_views
 from savanto.suite.scalars import concat, now
@@ -408,3 +409,44 @@ def join_lists(t: Tables):
     sizes = list_texts(t.lists()).select("list_id", F.length("text").alias("n"))
     joined = t.member_of().join(sizes, "list_id")
     return joined.groupBy("user_id").agg(F.count(F.lit(1)).alias("lists"), F.sum("n").alias("letters"))
+
+
+@case(
+    "append_edges",
+    with_views("select follower, followee, count(*) as n from (select * from follows union all select * from follows) group by 1, 2"),
+)
+def append_edges(t: Tables):
+    """The follow graph appended to a table twice."""
+    path = new_path(t.spark, "edge-table")
+    for _ in range(2):
+        stored.append_edges(t.follows(), path)
+    return t.spark.read.parquet(path).groupBy("follower", "followee").agg(F.count(F.lit(1)).alias("n"))
+
+
+@case(
+    "declared_fields",
+    """select conv_id as id, count(*) as n_turns, string_agg(upper(role) || ':' || length(text), '|' order by turn) as turns
+       from conversations group by 1""",
+)
+def declared_fields(t: Tables):
+    """Conversations as records with a list of turns: renamed, converted, lists field by field."""
+    records = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    fields = [
+        projections.Field("id", "conv_id"),
+        projections.Field("n_turns", "turns", lambda c: F.size(c).cast("bigint")),
+        projections.Field("turns", many=(projections.Field("speaker", "role", F.upper), projections.Field("length", "text", F.length))),
+    ]
+    rows = projections.declared(records, fields)
+    shown = F.transform("turns", lambda x: F.concat_ws(":", x["speaker"], x["length"].cast("string")))
+    return rows.select("id", "n_turns", F.array_join(shown, "|").alias("turns"))
+
+
+@case(
+    "seeded_shuffle",
+    """select user_id, row_number() over (order by md5('7|' || user_id), user_id) as place
+       from (select distinct c_custkey as user_id from customer)""",
+)
+def seeded_shuffle(t: Tables):
+    """Every customer with its place in a repeatable random order."""
+    users = t.customer.select(F.col("c_custkey").alias("user_id"))
+    return global_rank(users, paging.shuffle_order("user_id", 7), "place").select("user_id", "place")

@@ -492,3 +492,104 @@ def favorited_by(t: Tables):
 def moderators(t: Tables):
     kind = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("moderator")).otherwise(F.lit("registered"))
     return op.moderators(t.customer.select(F.col("c_custkey").alias("user_id"), kind.alias("user_type"))).select("user_id")
+
+
+def sort_sql() -> str:
+    columns = {"activity": "activity", "views": "views", "creation": "creation_date", "votes": "votes"}
+    return " union all ".join(
+        f"""select * from (select '{sort}' as sort, question_id, row_number() over (order by {column} desc, question_id) as place
+            from i) where place <= 10"""
+        for sort, column in columns.items()
+    )
+
+
+ITEMS_SQL = """select question_id, o.creation_date, count(*) as views, max(ts) as activity, sum(score) as votes
+    from questions o join answers using (question_id) group by 1, 2"""
+
+
+@case("items_sorted", with_views(sort_sql(), *QA[:2], ("i", ITEMS_SQL)))
+def items_sorted(t: Tables):
+    """The first ten questions by each of the four sorts."""
+    totals = answers(t).groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("view_count"), F.max("ts").alias("last_activity"), F.sum("score").alias("score")
+    )
+    items = questions(t).join(totals, "question_id")
+    parts = []
+    for sort in op.SORTS:
+        first = op.sorted_by(items, sort, "question_id").limit(10).agg(F.collect_list("question_id").alias("ids"))
+        # ten ids in the order of the sort
+        parts.append(first.select(F.lit(sort).alias("sort"), F.posexplode("ids").alias("at", "question_id")))
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return found.select("sort", "question_id", (F.col("at") + 1).cast("bigint").alias("place"))
+
+
+@case(
+    "asked_by",
+    with_views("select question_id, owner from questions where owner in (select s_suppkey from supplier)", *QA[:1]),
+)
+def asked_by(t: Tables):
+    """Questions of the customers that have a supplier's number."""
+    return op.asked_by(questions(t), t.supplier.select(F.col("s_suppkey").alias("owner"))).select("question_id", "owner")
+
+
+@case(
+    "answered_by",
+    with_views(
+        """select question_id, owner from questions where question_id in (select question_id from answers
+           where owner in (select s_suppkey from supplier where s_acctbal > (select avg(s_acctbal) from supplier)))""",
+        *QA[:2],
+    ),
+)
+def answered_by(t: Tables):
+    """Questions answered by the suppliers whose balance is above the average."""
+    mean = t.supplier.agg(F.avg("s_acctbal").alias("mean")).first()[0]
+    users = t.supplier.where(F.col("s_acctbal") > F.lit(mean)).select(F.col("s_suppkey").alias("owner"))
+    return op.answered_by(questions(t), answers(t), users).select("question_id", "owner")
+
+
+@case(
+    "timeline",
+    with_views(
+        """select 'question' as timeline_type, question_id as post_id, owner as user_id, creation_date from questions
+           union all select 'answer', answer_id, owner, ts from answers
+           union all select 'accepted_answer', answer_id, owner, ts from answers where is_accepted""",
+        *QA[:2],
+    ),
+)
+def timeline(t: Tables):
+    rows = answers(t)
+    parts = [
+        op.timeline(questions(t), "question", "question_id", "owner", "creation_date"),
+        op.timeline(rows, "answer", "answer_id", "owner", "ts"),
+        op.timeline(rows.where("is_accepted"), "accepted_answer", "answer_id", "owner", "ts"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@case(
+    "revisions",
+    with_views(
+        """select question_id as post_id, row_number() over (partition by question_id order by ts, answer_id) as revision_number,
+           owner as user_id, ts as creation_date from answers""",
+        *QA[1:2],
+    ),
+)
+def revisions(t: Tables):
+    """Lines play edits of their order."""
+    edits = answers(t).select(
+        F.col("question_id").alias("post_id"), F.col("owner").alias("user_id"), F.col("ts").alias("creation_date"), F.col("answer_id").alias("revision_id")
+    )
+    return op.revisions(edits)
+
+
+@case(
+    "synonym_list",
+    with_views(
+        """select from_tag, to_tag, count(tag) as applied_count from syn left join post_tags on tag = from_tag group by 1, 2""",
+        *QA,
+        ("syn", SYNONYMS),
+    ),
+)
+def synonym_list(t: Tables):
+    one_digit = t.part.where(F.length("p_brand") == 7).select(F.col("p_brand").alias("from_tag")).distinct()
+    return op.synonym_list(one_digit.withColumn("to_tag", F.lit("Brand")), post_tags(t))

@@ -191,12 +191,19 @@ def object_urls(t: Tables):
     )
 
 
+def between_sql(opening: str, closing: str) -> str:
+    """The text between two marks, tags cut out and references decoded, without a pattern for elements."""
+    inner = f"split_part(split_part(html, '{opening}', 2), '{closing}', 1)"
+    plain = f"regexp_replace({inner}, '<[^<>]+>', '', 'g')"
+    for mark, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        plain = f"replace({plain}, '&{mark};', '{char}')"
+    return f"case when contains(html, '{opening}') then {plain} end"
+
+
 @case(
     "html_fields",
-    """select page_id, nullif(regexp_extract(html, '(?s)<title(?:\\s[^>]*)?>(.*?)</title>', 1), '') as title,
-       nullif(regexp_extract(html, '(?s)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1), '') as heading,
-       nullif(regexp_extract(html, '(?s)<div[^>]*class="[^"]*ad[^"]*"[^>]*>(.*?)</div>', 1), '') as box
-       from pages""",
+    f"""select page_id, {between_sql("<title>", "</title>")} as title, {between_sql("<h1>", "</h1>")} as heading,
+        {between_sql('<div class="ad">', "</div>")} as box, {between_sql("<article>", "</article>")} as body from pages""",
 )
 def html_fields(t: Tables):
     html = F.col("html")
@@ -205,17 +212,41 @@ def html_fields(t: Tables):
         hx.first_text(html, "title").alias("title"),
         hx.first_text(html, "h1").alias("heading"),
         hx.first_text(html, "div", "ad").alias("box"),
+        hx.first_text(html, "article").alias("body"),
     )
 
 
 @case(
     "html_items",
-    """select page_id, cast(generate_subscripts(h, 1) - 1 as integer) as position, unnest(h) as target from (
-       select page_id, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) as h from pages)""",
+    """select page_id, cast(generate_subscripts(h, 1) - 1 as integer) as position, unnest(h) as target, unnest(x) as label
+       from (select page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) as h,
+         regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) as x from pages)""",
 )
 def html_items(t: Tables):
-    items = hx.page_items(t.pages, "page_id", "html", ("li", ""), {"target": ("a", "", "href")})
-    return items.select("page_id", "position", "target")
+    items = hx.page_items(t.pages, "page_id", "html", ("li", ""), {"target": ("a", "", "href"), "label": ("a", "", "text")})
+    return items.select("page_id", "position", "target", "label")
+
+
+def marked_pages(t: Tables):
+    """Pages whose menu entries to words in ``th`` are related topics, and those to ``in`` the next page."""
+    html = F.replace("html", F.lit('<li><a href="/th'), F.lit('<li><a class="topic related" href="/th'))
+    return t.pages.withColumn("html", F.replace(html, F.lit('<li><a href="/in"'), F.lit('<li><a rel="next" href="/in"')))
+
+
+@case(
+    "related_links",
+    """select page_id, unnest(regexp_extract_all(html, '<li><a href="(/th[^"]*)"', 1)) as target from pages""",
+)
+def related_links(t: Tables):
+    return marked_pages(t).select("page_id", F.explode(hx.links_with_class(F.col("html"), "related")).alias("target"))
+
+
+@case(
+    "next_page",
+    """select page_id, case when len(string_split(html, '<li><a href="/in"')) = 2 then '/in' end as target from pages""",
+)
+def next_page(t: Tables):
+    return marked_pages(t).select("page_id", hx.next_page(F.col("html")).alias("target"))
 
 
 @case(

@@ -144,14 +144,11 @@ def test_edges_skip_bad_lines(spark, tmp_path):
     assert got == {(1, 2), (3000000000, 4), (6, 7)}
 
 
-def test_privileges_long_list_uses_the_join(spark, monkeypatch):
+def test_privileges(spark):
     users = spark.createDataFrame([(1, 0), (2, 15), (3, 100000), (4, -5)], "user_id bigint, reputation bigint")
     steps = spark.createDataFrame([(f"p{r}", r) for r in (0, 1, 15, 16, 500)], "short_description string, reputation bigint")
     want = {(1, "p0"), (2, "p0"), (2, "p1"), (2, "p15")} | {(3, f"p{r}") for r in (0, 1, 15, 16, 500)}
-    short = {(r.user_id, r.privilege) for r in qa.privileges_of(users, steps).collect()}
-    monkeypatch.setattr(qa, "PRIVILEGE_ROWS", 2)
-    joined = {(r.user_id, r.privilege) for r in qa.privileges_of(users, steps).collect()}
-    assert short == want == joined
+    assert {(r.user_id, r.privilege) for r in qa.privileges_of(users, steps).collect()} == want
 
 
 def test_site_stats_of_an_empty_site(spark):
@@ -166,3 +163,34 @@ def test_versus_counts_each_site_once(spark):
     pairs = spark.createDataFrame([(1, 2)], "user_1 bigint, user_2 bigint")
     got = {r.site: (r.winner, r.margin) for r in qa.versus(reps, pairs).collect()}
     assert got == {"x": (1, 5), "y": (2, 8), "z": (2, 2), None: (2, 5)}
+
+
+def test_text_of_nested_and_decoded_markup(spark):
+    pages = [
+        ('<div class="shadow">no</div><div class="ad">a <b>x</b> &amp; y</div>', "a x & y"),
+        ('<div id="1" class="big ad">&lt;p&gt; &#233;&#0039; <!-- c --><script>1</script>z</div><div class="ad">late</div>', "<p> é' z"),
+        ('<div class="ad">&amp;lt; $1 \\</div>', "&lt; $1 \\"),
+        ('<div class="ad"></div>', ""),
+        ("<p>none</p>", None),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "i int, html string")
+    got = df.select("i", hx.first_text(F.col("html"), "div", "ad").alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [t for _, t in pages]
+
+
+def test_declared_fields(spark):
+    rows = spark.createDataFrame([(1, [("a", 2)]), (2, [])], "pk int, items array<struct<n:string,k:int>>")
+    fields = [projections.Field("id", "pk"), projections.Field("things", "items", many=(projections.Field("name", "n", F.upper),))]
+    got = projections.declared(rows, fields).orderBy("id").collect()
+    assert [(r.id, [x.name for x in r.things]) for r in got] == [(1, ["A"]), (2, [])]
+
+
+def test_stored_tables_can_be_discarded(spark):
+    from savanto import session
+
+    first = session.written(spark.range(3).toDF("i"), "t")
+    table = session.bucketed(spark.range(30).toDF("i"), ["i"], "b", 30)
+    assert (first.count(), table.count()) == (3, 30)
+    before = {t.name for t in spark.catalog.listTables() if t.name.startswith("savanto_")}
+    assert before and session.discard(spark) >= 2 and session.discard(spark) == 0
+    assert not {t.name for t in spark.catalog.listTables() if t.name.startswith("savanto_")}
