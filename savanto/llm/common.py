@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 23
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

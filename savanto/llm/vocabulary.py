@@ -12,7 +12,8 @@ import functools
 import hashlib
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 #: Pieces kept in memory by one worker: two generations of this many.
-GENERATION = 250_000
+GENERATION = 300_000
 #: Characters of one text that are cut into pieces at once.
 STRETCH = 1 << 20
 
@@ -81,15 +82,19 @@ class Memory:
         self.old: dict[str, bytes] = {}
 
     def of(self, pieces: list[str]) -> list[bytes]:
+        """The values of distinct pieces."""
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = [p for p in pieces if p not in young]
-        if old:
-            young.update({p: old[p] for p in missing if p in old})
-            missing = [p for p in missing if p not in old]
-        young.update(zip(missing, self.make(missing), strict=True))
-        return [young[p] for p in pieces]
+        values = list(map(self.young.get, pieces))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        names = [pieces[i] for i in gaps]
+        kept = list(map(self.old.get, names))
+        made = iter(self.make([p for p, v in zip(names, kept, strict=True) if v is None]))
+        filled = [next(made) if v is None else v for v in kept]
+        self.young.update(zip(names, filled, strict=True))
+        for i, v in zip(gaps, filled, strict=True):
+            values[i] = v
+        return values
 
 
 class TextEncoder:
@@ -116,7 +121,7 @@ class TextEncoder:
         """Texts whose pieces are parted by single blanks: each distinct piece is looked up once."""
         lists = pc.split_pattern(pc.binary_join_element_wise("\x00", texts, ""), " ")
         coded = pc.dictionary_encode(lists.flatten())
-        values = self.memory.of([p[1:] if p[:1] == "\x00" else " " + p for p in coded.dictionary.to_pylist()])
+        values = self.memory.of([p[1:] if p[:1] == "\x00" else " " + p for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()])
         sizes = np.array([len(v) // 4 for v in values], np.int64)
         starts = np.cumsum(sizes) - sizes
         at = coded.indices.to_numpy(zero_copy_only=False)
@@ -183,9 +188,9 @@ class WordEncoder:
         return [self.piece(p) for p in pieces]
 
 
-def packed(ids: Iterable[int]) -> bytes:
+def packed(ids: Sequence[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def text_encoder(path: str, encode: Callable[[str], list[int]]) -> TextEncoder:
