@@ -150,21 +150,23 @@ def enrich_profiles(ranking: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def enrich_external(enriched: DataFrame, se_profiles: DataFrame, q_profiles: DataFrame) -> DataFrame:
-    """External profile fields by screen name, where the flag names that network.
+    """External profile fields by screen name, of every network that contributed to a row.
 
     ``se_profiles``: screen_name, so_display_name, so_url, so_reputation; ``q_profiles``:
-    screen_name, q_name, q_num_views. One row per screen name each.
+    screen_name, q_name, q_num_views. One row per screen name each. A network's mark tells whether it
+    contributed; where the ranking has none, the flag does, which names the last network only.
     """
 
-    def only(column: str, *flags: int) -> Column:
-        return F.when(F.col("flag").isin(*flags), F.col(column)).alias(column)
+    def only(column: str, mark: str, *flags: int) -> Column:
+        given = F.col(mark) if mark in enriched.columns else F.col("flag").isin(*flags)
+        return F.when(given, F.col(column)).alias(column)
 
     keep = enriched.columns
     joined = enriched.join(se_profiles, "screen_name", "left").join(q_profiles, "screen_name", "left")
     return joined.select(
         *keep,
-        *[only(c, SE_MERGED, SE_ADDED) for c in ("so_display_name", "so_url", "so_reputation")],
-        *[only(c, Q_MERGED, Q_ADDED) for c in ("q_name", "q_num_views")],
+        *[only(c, "from_se", SE_MERGED, SE_ADDED) for c in ("so_display_name", "so_url", "so_reputation")],
+        *[only(c, "from_q", Q_MERGED, Q_ADDED) for c in ("q_name", "q_num_views")],
         F.when(
             F.col("flag").isin(Q_MERGED, Q_ADDED) & F.col("q_name").isNotNull(),
             F.concat(F.lit("https://www.quora.com/profile/"), tx.profile_slug(F.col("q_name"))),

@@ -115,9 +115,9 @@ ENRICHED = [
     ),
     (
         "full_rows",
-        """select e.*, case when flag in (1, 2) then so_display_name end as so_display_name,
-           case when flag in (1, 2) then so_url end as so_url,
-           case when flag in (1, 2) then so_reputation end as so_reputation,
+        """select e.*, case when from_se then so_display_name end as so_display_name,
+           case when from_se then so_url end as so_url,
+           case when from_se then so_reputation end as so_reputation,
            case when flag in (3, 4) then q_name end as q_name,
            case when flag in (3, 4) then q_num_views end as q_num_views,
            case when flag in (3, 4) then 'https://www.quora.com/profile/' || replace(q_name, ' ', '-') end as q_url

@@ -218,13 +218,10 @@ def stem_tokens(t: Tables):
         array_to_string({topic_tokens_sql("text")}, ' ') as kept from documents""",
 )
 def remove_stopwords(t: Tables):
-    text = F.col("text")
-    return t.documents.select(
-        "doc_id",
-        F.size(tx.raw_tokens(text)).alias("before"),
-        F.size(tx.topic_tokens(text)).alias("after"),
-        F.array_join(tx.topic_tokens(text), " ").alias("kept"),
-    )
+    # generated rather than projected, so that the tokens of a text are built once
+    raw = t.documents.select("doc_id", F.explode(F.array(tx.raw_tokens(F.col("text")))).alias("raw"))
+    kept = raw.select("doc_id", F.size("raw").alias("before"), F.explode(F.array(tx.drop_stop_words(F.col("raw")))).alias("kept"))
+    return kept.select("doc_id", "before", F.size("kept").alias("after"), F.array_join("kept", " ").alias("kept"))
 
 
 @case(
