@@ -25,7 +25,7 @@ from savanto.llm.common import whole_text
 from savanto.session import new_path, written
 
 #: Digests in a bucket, about. A bucket's keys and filter are what one task holds at once.
-BUCKET = 8192
+BUCKET = 2048
 #: A digest is hot with this share of all rows or more; so there are at most HOT_DIGESTS of them.
 HOT_DIGESTS = 1024
 
