@@ -40,10 +40,12 @@ class Training:
     """Bounds and parameters of the fit."""
 
     rows: int = 20_000
-    #: Entries of each lexicon, the fewest toxic rows that have one, and their least share of its rows.
+    #: Entries of each lexicon; the fewest toxic rows that have one, and the least part of all toxic rows;
+    #: and the least share of toxic rows among those that have it.
     entries: int = 1000
     least_rows: int = 3
-    least_share: float = 0.6
+    least_part: float = 0.01
+    least_share: float = 0.8
     #: Letters of a word beginning.
     beginning: int = 4
     trees: int = 20
@@ -116,11 +118,13 @@ def features(docs: DataFrame, lexicon: Lexicon) -> tuple[DataFrame, list[str]]:
 def learn_lexicon(rows: DataFrame, training: Training) -> Lexicon:
     """Entries that toxic rows have and others hardly do, the surest first."""
 
+    least = max(training.least_rows, training.least_part * rows.agg(F.sum("toxic")).first()[0])
+
     def entries(of_row: Column) -> tuple[str, ...]:
         units = rows.select("toxic", F.explode(F.array_distinct(of_row)).alias("entry")).where("entry is not null")
         n = units.groupBy("entry").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
         share = F.col("bad") / F.col("n")
-        best = n.where((F.col("bad") >= training.least_rows) & (share >= training.least_share))
+        best = n.where((F.col("bad") >= least) & (share >= training.least_share))
         return tuple(r["entry"] for r in best.orderBy(F.desc(share * F.log1p("bad")), "entry").limit(training.entries).collect())
 
     words = plain_words(F.col("text"))
