@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from savanto.session import local_session
+from savanto.session import discard, local_session
 from savanto.suite import load
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -50,6 +50,7 @@ def main(names: list[str]) -> None:
         start = time.perf_counter()
         cases[name].run(spark, FOLDER).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        discard(spark)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

@@ -5,9 +5,16 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from savanto.session import local_session  # noqa: E402
+from savanto.session import discard, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("tests")
+def spark(tmp_path_factory):
+    return local_session("tests", folder=str(tmp_path_factory.mktemp("shared")))
+
+
+@pytest.fixture(scope="module", autouse=True)
+def stored_tables(spark):
+    """What a module stores goes with it."""
+    yield
+    discard(spark)
