@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -28,7 +28,9 @@ from savanto.llm import vocabulary
 from savanto.llm.common import slices, whole_text
 
 #: Pairs of tokens whose compatibility one worker remembers.
-KNOWN_PAIRS = 1 << 19
+KNOWN_PAIRS = 1 << 18
+#: A generation of pieces: smaller than the library's, as the automaton and the pairs take memory too.
+PIECES = 150_000
 
 
 class Merges:
@@ -106,7 +108,7 @@ def merges(path: str) -> Merges:
 @functools.cache
 def encoder(path: str) -> vocabulary.TextEncoder:
     """Whole texts to packed ids."""
-    return vocabulary.text_encoder(path, merges(path).encode)
+    return vocabulary.text_encoder(path, merges(path).encode, PIECES)
 
 
 @functools.cache
@@ -120,8 +122,8 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and the ids of ``text`` as an array of integers."""
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if not given) and the ids of ``text`` as an array of integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(tokenizer)
@@ -131,9 +133,9 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.view("<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], ids])
 
-    kept = docs.drop(ids)
+    kept = docs.select(*[c for c in (docs.columns if keep is None else keep) if c != ids])
     out = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return kept.withColumn("__text", whole_text(text)).mapInArrow(run, out)
+    return docs.select(*kept.columns, whole_text(text).alias("__text")).mapInArrow(run, out)
 
 
 def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

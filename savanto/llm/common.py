@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,7 +23,8 @@ def whole_text(text: str | Column = "text") -> Column:
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch, each with about ``size`` bytes of text or one row."""
+    """Parts of a batch, each with about ``size`` bytes of text or one row; what a part needed is given
+    back to the system after the batch."""
     start = held = 0
     for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
         if held and held + n > size:
@@ -32,3 +33,4 @@ def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()

@@ -40,7 +40,7 @@ LOSS = 1e-6
 #: Documents, and shingles, of a block, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 18
 #: Hashes of words that one worker remembers.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 18
 
 _known: dict[bytes, int] = {}
 

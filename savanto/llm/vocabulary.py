@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 #: The characters with the Unicode property White_Space (fixed values).
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-#: Pieces kept in memory by one worker: two generations of this many.
-GENERATION = 300_000
+#: Pieces kept in memory by one worker: two generations of this many, and as many words.
+GENERATION = 250_000
 #: Characters of one text that are cut into pieces at once.
 STRETCH = 1 << 20
 
@@ -100,8 +100,8 @@ class Memory:
 class TextEncoder:
     """Whole texts to ids; ``make`` gives the packed ids of pieces, ``special`` those of added tokens."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], special: dict[str, bytes]) -> None:
-        self.memory, self.special = Memory(make), special
+    def __init__(self, make: Callable[[list[str]], list[bytes]], special: dict[str, bytes], size: int = GENERATION) -> None:
+        self.memory, self.special = Memory(make, size), special
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         # texts that blanks alone would not cut into pieces, or that hold the mark of the first piece
         self.uneven = f"[{WHITE_SPACE}] |\x00" + "".join("|" + re.escape(t) for t in special)
@@ -122,12 +122,14 @@ class TextEncoder:
         lists = pc.split_pattern(pc.binary_join_element_wise("\x00", texts, ""), " ")
         coded = pc.dictionary_encode(lists.flatten())
         values = self.memory.of([p[1:] if p[:1] == "\x00" else " " + p for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()])
-        sizes = np.array([len(v) // 4 for v in values], np.int64)
-        starts = np.cumsum(sizes) - sizes
+        # a slice has fewer than 2**31 ids
+        sizes = np.array([len(v) // 4 for v in values], np.int32)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         at = coded.indices.to_numpy(zero_copy_only=False)
         size = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        where = np.repeat(starts[at] - ends[:-1], size) + np.arange(ends[-1])
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int32)]).astype(np.int32)
+        where = np.repeat(starts[at] - ends[:-1], size)
+        where += np.arange(ends[-1], dtype=np.int32)
         ids = np.frombuffer(b"".join(values), "<u4")[where]
         n_pieces = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
         return ids, ends[n_pieces.astype(np.int64)]
@@ -166,14 +168,14 @@ LETTERS = {byte: letter for letter, byte in byte_letters().items()}
 class WordEncoder:
     """Packed ids of pieces, by way of their words in byte letters; words are remembered."""
 
-    def __init__(self, path: str, encode: Callable[[str], list[int]]) -> None:
-        self.split, self.encode = library(path).pre_tokenizer.pre_tokenize_str, encode
+    def __init__(self, path: str, encode: Callable[[str], list[int]], size: int = GENERATION) -> None:
+        self.split, self.encode, self.size = library(path).pre_tokenizer.pre_tokenize_str, encode, size
         self.known: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= GENERATION:
+            if len(self.known) >= self.size:
                 self.known.clear()
             found = self.known[word] = packed(self.encode(word))
         return found
@@ -193,11 +195,11 @@ def packed(ids: Sequence[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def text_encoder(path: str, encode: Callable[[str], list[int]]) -> TextEncoder:
-    """Whole texts to ids; ``encode`` gives the ids of a word in byte letters."""
+def text_encoder(path: str, encode: Callable[[str], list[int]], size: int = GENERATION) -> TextEncoder:
+    """Whole texts to ids; ``encode`` gives the ids of a word in byte letters, ``size`` is a generation."""
     if not byte_level(path):
         raise ValueError(f"{path} is no plain byte-level tokeniser")
-    return TextEncoder(WordEncoder(path, encode).pieces, {t: packed([i]) for t, i in added_tokens(path).items()})
+    return TextEncoder(WordEncoder(path, encode, size).pieces, {t: packed([i]) for t, i in added_tokens(path).items()}, size)
 
 
 @functools.cache
