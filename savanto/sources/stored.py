@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savanto import schemas
+PROFILES = (
+    "user_id bigint, screen_name string, name string, description string, verified boolean, "
+    "profile_image_url string, listed_count bigint, location string, created_at timestamp, last_crawled timestamp"
+)
 
 
 def read_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -37,7 +40,7 @@ def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
 
 def read_profiles(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Stored profiles; only the asked columns are read."""
-    df = spark.read.schema(schemas.PROFILES).parquet(path)
+    df = spark.read.schema(PROFILES).parquet(path)
     return df.select(*columns) if columns else df
 
 

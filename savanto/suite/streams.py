@@ -43,6 +43,19 @@ def stream_dedup(t: Tables):
     return t.spark.read.parquet(f"{out}/rows").select("user_id", "event_type")
 
 
+def leaderboard_feed(t: Tables) -> str:
+    """Users play writers named like suppliers; those with a linked account enter the leaderboard. The tables' folder."""
+    out = new_path(t.spark, "leaderboard")
+    feed = split_feed(t, f"{out}/feed", t.events).select(
+        F.concat(F.lit("Supplier#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("expert"),
+        F.col("event_type").alias("topic"),
+        F.col("value").alias("views"),
+        "ts",
+    )
+    feeds.finish(feeds.leaderboard_update(feed, t.crosswalk(), f"{out}/tables", f"{out}/checkpoint"))
+    return f"{out}/tables"
+
+
 @case(
     "stream_leaderboard",
     with_views(
@@ -52,16 +65,12 @@ def stream_dedup(t: Tables):
     ),
 )
 def stream_leaderboard(t: Tables):
-    """Users play writers named like suppliers; those with a linked account enter the leaderboard."""
-    out = new_path(t.spark, "leaderboard")
-    feed = split_feed(t, f"{out}/feed", t.events).select(
-        F.concat(F.lit("Supplier#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("expert"),
-        F.col("event_type").alias("topic"),
-        F.col("value").alias("views"),
-        "ts",
-    )
-    feeds.finish(feeds.leaderboard_update(feed, t.crosswalk(), f"{out}/tables", f"{out}/checkpoint"))
-    return feeds.read_leaderboard(t.spark, f"{out}/tables")
+    return feeds.read_leaderboard(t.spark, leaderboard_feed(t))
+
+
+@case("stream_topics", "select distinct 'Supplier#' || lpad(user_id::varchar, 9, '0') as expert, event_type as topic from events")
+def stream_topics(t: Tables):
+    return feeds.read_topics(t.spark, leaderboard_feed(t))
 
 
 @case("stream_resume", "select user_id, count(*) as n from events group by 1")
