@@ -30,7 +30,9 @@ from savanto.llm.common import slices, whole_text
 #: Pairs of tokens whose compatibility one worker remembers.
 KNOWN_PAIRS = 1 << 18
 #: A generation of pieces: smaller than the library's, as the automaton and the pairs take memory too.
-PIECES = 150_000
+PIECES = 100_000
+#: Bytes of text encoded at once.
+SLICE = 1 << 21
 
 
 class Merges:
@@ -115,7 +117,9 @@ def encoder(path: str) -> vocabulary.TextEncoder:
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of every id; ids without a token have none."""
     letters = vocabulary.byte_letters()
-    tokens = merges(path).ids | vocabulary.added_tokens(path)
+    with open(path, encoding="utf-8") as file:  # not by way of merges(): decoding needs neither pairs nor automaton
+        tokens = json.load(file)["model"]["vocab"]
+    tokens |= vocabulary.added_tokens(path)
     out = [b""] * (max(tokens.values()) + 1)
     for token, i in tokens.items():
         out[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
@@ -128,7 +132,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE):
                 found, ends = to_ids.flat(part.column("__text"))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.view("<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], ids])
