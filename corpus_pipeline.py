@@ -44,8 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the text decoded from them, as digests."""
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(docs, path, keep=["doc_id"])
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.encode(docs, path, keep=["doc_id"], decoded="decoded"))
 
 
 STAGES = [

@@ -126,19 +126,33 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all, if not given) and the ids of ``text`` as an array of integers."""
+def _texts(found: np.ndarray, ends: np.ndarray, table: list[bytes]) -> list[str]:
+    """The texts that runs of ids stand for."""
+    all_ids = found.tolist()
+    return [b"".join([table[i] for i in all_ids[a:b]]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def encode(
+    docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None, decoded: str | None = None
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if not given) and the ids of ``text`` as an array of integers.
+
+    With ``decoded``, also the text that the ids stand for, made from the ids by the same workers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(tokenizer)
+        to_ids, table = encoder(tokenizer), token_bytes(tokenizer) if decoded else []
         for batch in batches:
             for part in slices(batch, "__text", SLICE):
                 found, ends = to_ids.flat(part.column("__text"))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.view("<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*part.schema.names[:-1], ids])
+                back = [pa.array(_texts(found, ends, table), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *back], names)
 
-    kept = docs.select(*[c for c in (docs.columns if keep is None else keep) if c != ids])
-    out = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    kept = docs.select(*[c for c in (docs.columns if keep is None else keep) if c not in (ids, decoded)])
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    out = T.StructType([*kept.schema.fields, *made])
+    names = out.names
     return docs.select(*kept.columns, whole_text(text).alias("__text")).mapInArrow(run, out)
 
 
@@ -154,9 +168,8 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decod
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 lists = part.column(ids)
-                all_ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
-                ends = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).cumsum().tolist()
-                texts = [b"".join([table[i] for i in all_ids[a:b]]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                texts = _texts(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]), table)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text])
 
     kept = rows.drop(text)

@@ -223,8 +223,7 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents and the texts decoded from them, as digests."""
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(table(spark, folder, "documents"), path, keep=["doc_id"])
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), path, keep=["doc_id"], decoded="decoded"))
 
 
 def exact_dedup_query(spark: SparkSession, folder: str) -> DataFrame:

@@ -130,6 +130,8 @@ def test_encode_and_decode(spark):
     text = odd_rows()[0][1]
     ids = ",".join(map(str, library_ids(text)))
     assert (0, len(library_ids(text)), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) in digests
+    at_once = bpe.digests(bpe.encode(docs, PATH, keep=["doc_id"], decoded="decoded"))
+    assert {tuple(r) for r in at_once.collect()} == digests
     assert bpe.decode(bpe.encode(no_docs(spark), PATH), PATH).count() == 0
 
 
