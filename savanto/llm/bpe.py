@@ -30,7 +30,7 @@ from savanto.llm.common import slices, whole_text
 #: Pairs of tokens whose compatibility one worker remembers.
 KNOWN_PAIRS = 1 << 18
 #: A generation of pieces: smaller than the library's, as the automaton and the pairs take memory too.
-PIECES = 100_000
+PIECES = 150_000
 #: Bytes of text encoded at once.
 SLICE = 1 << 21
 
