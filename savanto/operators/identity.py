@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from savanto.functions import values as vx
 from savanto.functions.similarity import jaro_winkler, may_reach
 from savanto.operators import upsert
+from savanto.skew import hot_keys, replicate_for_salts, salt_rows
 
 # Decision thresholds.
 NAME_ABOVE = 0.80
 SIGNATURE_BELOW = 0.50
+# Rows of a search key that go to one part, about.
+COMMON = 10_000
 
 
 def name_blocks(name: Column) -> Column:
@@ -23,29 +26,31 @@ def name_blocks(name: Column) -> Column:
 
 
 def candidate_pairs(sources: DataFrame, accounts: DataFrame, compare: str = "name") -> DataFrame:
-    """Every source row with the accounts that share its rarest search key, or its whole name.
+    """Every source row with the accounts that share any of its search keys.
 
     ``sources`` and ``accounts``: id, name, location, signature, blocks; ``compare`` names the column of
-    ``accounts`` that is held against the source's name. Keys are ordered by the number of accounts that
-    have them, then by themselves: of a source's keys the first that any account has, and the whole name,
-    are looked up. No key is too common to be looked up; a common one is split by the skew join.
+    ``accounts`` that is held against the source's name. A pair is formed at the first key the two share
+    only. No key is too common to be looked up: the rows of a common one are dealt to parts on both sides,
+    and the parts are paired. The names go along, so that a test of them alone runs before the other
+    columns are joined.
     """
-    keyed = accounts.select("id", F.explode("blocks").alias("block"))
-    counts = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    whole = F.element_at("blocks", -1)
-    asked = sources.select("id", F.explode("blocks").alias("block"), whole.alias("whole")).join(counts, "block")
-    rarest = asked.groupBy("id").agg(F.min_by("block", F.struct("n", "block")).alias("rarest"), F.max(F.when(F.col("block") == F.col("whole"), F.col("block"))).alias("whole"))
-    keys = rarest.select(F.col("id").alias("src_id"), F.explode(F.array_distinct(F.array_compact(F.array("rarest", "whole")))).alias("block"))
-    met = keys.join(keyed.withColumnRenamed("id", "match_id"), "block").select("src_id", "match_id").distinct()
+    asked = sources.select(F.col("id").alias("src_id"), F.col("name").alias("src_name"), F.col("blocks").alias("src_blocks"), F.explode("blocks").alias("block"))
+    keyed = accounts.select(F.col("id").alias("match_id"), F.col(compare).alias("match_name"), F.col("blocks").alias("match_blocks"), F.explode("blocks").alias("block"))
+    # at most one row for every COMMON rows
+    common_asked, common_keyed = (F.broadcast(hot_keys(df, "block", COMMON)) for df in (asked, keyed))
+    asked = salt_rows(asked, common_asked, "block", "src_id").withColumnRenamed("salt", "src_part")
+    asked = replicate_for_salts(asked, common_keyed, "block").withColumnRenamed("salt", "match_part")
+    keyed = salt_rows(keyed, common_keyed, "block", "match_id").withColumnRenamed("salt", "match_part")
+    keyed = replicate_for_salts(keyed, common_asked, "block").withColumnRenamed("salt", "src_part")
+    first = F.array_intersect("src_blocks", "match_blocks")[0] == F.col("block")
+    met = asked.join(keyed, ["block", "src_part", "match_part"]).where(first).select("src_id", "src_name", "match_id", "match_name")
     left = sources.select(
         F.col("id").alias("src_id"),
-        F.col("name").alias("src_name"),
         F.col("location").alias("src_location"),
         F.col("signature").alias("src_signature"),
     )
     right = accounts.select(
         F.col("id").alias("match_id"),
-        F.col(compare).alias("match_name"),
         F.col("location").alias("match_location"),
         F.col("signature").alias("match_signature"),
     )

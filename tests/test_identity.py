@@ -68,6 +68,27 @@ def test_names_that_many_accounts_share(spark):
     assert (2, 300) in names and {m for s, m in names if s == 1} == set(range(3, 20))
 
 
+@pytest.mark.parametrize("common", [identity.COMMON, 2])
+def test_every_shared_word_makes_a_candidate(spark, monkeypatch, common):
+    monkeypatch.setattr(identity, "COMMON", common)
+    words = ["john", "smith", "ann", "lee", "Li-Ng", ""]
+    rng = random.Random(5)
+    named = lambda first, n: [(first + i, " ".join(rng.choices(words, k=rng.randint(1, 3))), None, SIG) for i in range(n)]
+    src, dst = accounts(spark, [(1, "John Smith", None, SIG), (2, "Ann Lee", None, SIG), *named(10, 12)]), accounts(
+        spark, [(100, "John Smith", None, SIG), (101, "John W Smith", None, SIG), (102, "ANN LEE", None, SIG), (103, "Zed Lee", None, SIG), *named(200, 30)]
+    )
+    got = [(r.src_id, r.match_id) for r in identity.candidate_pairs(src, dst).collect()]
+    blocks = lambda df: {r.id: set(r.blocks) for r in df.collect()}
+    want = {(a, b) for a, x in blocks(src).items() for b, y in blocks(dst).items() if x & y}
+    assert len(got) == len(want) and set(got) == want and (1, 101) in want and (2, 103) in want
+
+
+def test_a_longer_namesake_closes_the_gate(spark):
+    src = accounts(spark, [(1, "John Smith", None, SIG), (2, "Ann Lee", None, SIG)])
+    dst = accounts(spark, [(10, "John Smith", None, SIG), (11, "John W Smith", None, SIG), (20, "Ann Lee", None, SIG), (21, "Bo Lee", None, SIG)])
+    assert [(r.src_id, r.match_id) for r in identity.fuzzy_match(src, dst).collect()] == [(2, 20)]
+
+
 def test_unlinked_sources_keep_their_row_and_linked_ones_take_fields_over(spark):
     src = accounts(spark, [(1, "ann", None, SIG), (2, "zoe", None, SIG)]).withColumn("so_name", F.lit("old"))
     dst = accounts(spark, [(9, "ann", "Oslo", SIG)])
