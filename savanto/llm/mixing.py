@@ -20,6 +20,7 @@ empty result. All other columns are kept; columns named like the results are rep
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from savanto.llm.common import whole_text
 from savanto.session import written
+from savanto.skew import broadcast_if_small
 
 #: Documents in a block, about.
 BLOCK = 4096
-#: Sources at most; their shares are put in order at the driver.
-MOST_SOURCES = 100_000
-STEPS = 60
+#: Halvings of the exponent, and those decided by one pass over the sources.
+STEPS, AT_ONCE = 60, 6
 
 
 def words(text: Column) -> Column:
@@ -66,25 +67,45 @@ def quotas(tokens: list[int], exponent: float, budget: int | None) -> list[int]:
 
 def exponent(tokens: list[int], target: Target) -> float:
     """The exponent that meets the target, by bisection."""
+    shares = [t / sum(tokens) for t in tokens]
 
-    def flat_enough(e: float) -> bool:
-        w = weights(tokens, e)
-        return -sum(x * math.log(x) for x in w) >= target.entropy
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        return [(math.fsum(p**e for p in shares), math.fsum(p**e * math.log(p) for p in shares)) for e in exponents]
 
-    def few_repeats(e: float) -> bool:
-        w = weights(tokens, e)
-        whole = max(t / x for t, x in zip(tokens, w, strict=True)) if target.budget is None else target.budget
-        return max(x * whole / t for t, x in zip(tokens, w, strict=True)) <= target.repeats
+    return _bisected(target, sum(tokens), min(tokens), max(tokens), sums)
 
+
+def _bisected(target: Target, total: int, least: int, most: int, sums: Callable[[list[float]], list[tuple[float, float]]]) -> float:
+    """The exponent, from the tokens of all sources, of the smallest and of the largest, and from the sums
+    over the sources of ``p ** e`` and ``p ** e * ln p`` at several exponents at a time."""
+    low, high = least / total, most / total
     by_entropy = target.entropy is not None
-    good = flat_enough if by_entropy else few_repeats
+
+    def good(exponents: list[float]) -> dict[float, bool]:
+        if by_entropy:
+            kept = [math.log(s) - e * d / s >= target.entropy for e, (s, d) in zip(exponents, sums(exponents), strict=True)]
+        elif target.budget is None:
+            # per token the smallest source is repeated most, the largest once
+            kept = [(low**e / low) / (high**e / high) <= target.repeats for e in exponents]
+        else:
+            kept = [low**e / s * target.budget / least <= target.repeats for e, (s, _) in zip(exponents, sums(exponents), strict=True)]
+        return dict(zip(exponents, kept, strict=True))
+
+    def middles(best: float, other: float, depth: int) -> set[float]:
+        if not depth:
+            return set()
+        middle = (best + other) / 2
+        return {middle} | middles(middle, other, depth - 1) | middles(best, middle, depth - 1)
+
     # entropy falls with the exponent: the largest good one; repeats fall too: the smallest good one
     best, other = (0.0, 1.0) if by_entropy else (1.0, 0.0)
-    if good(other):
+    if good([other])[other]:
         return other
-    for _ in range(STEPS):
-        middle = (best + other) / 2
-        best, other = (middle, other) if good(middle) else (best, middle)
+    for _ in range(STEPS // AT_ONCE):
+        decided = good(sorted(middles(best, other, AT_ONCE)))
+        for _ in range(AT_ONCE):
+            middle = (best + other) / 2
+            best, other = (middle, other) if decided[middle] else (best, middle)
     return best
 
 
@@ -94,15 +115,25 @@ def _hash(*parts: Column | str | int) -> Column:
 
 
 def plan(docs: DataFrame, target: Target) -> DataFrame:
-    """``(source, tokens, docs, quota, n_blocks)`` for each source."""
-    spark = docs.sparkSession
-    found = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).orderBy("source").limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    live = [r["tokens"] for r in found if r["tokens"]]
-    of_live = iter(quotas(live, exponent(live, target), target.budget) if live else [])
-    rows = [(r["source"], r["tokens"], r["docs"], next(of_live) if r["tokens"] else 0, -(-r["docs"] // BLOCK)) for r in found]
-    return spark.createDataFrame(rows, "source string, tokens bigint, docs bigint, quota bigint, n_blocks bigint")
+    """``(source, tokens, docs, quota, n_blocks)`` for each source; the driver sees sums over them only."""
+    found = written(docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixing-sources")
+    live = found.where("tokens > 0")
+    total, least, most = live.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    quota = F.lit(0).cast("long")
+    if total:
+        share = F.col("tokens") / F.lit(float(total))
+
+        def sums(exponents: list[float]) -> list[tuple[float, float]]:
+            raised = live.select(share.alias("p"), F.explode(F.array(*map(F.lit, exponents))).alias("e")).withColumn("r", F.pow("p", "e"))
+            rows = raised.groupBy("e").agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.log("p")).alias("d")).collect()
+            at = {r["e"]: (r["s"], r["d"]) for r in rows}
+            return [at[e] for e in exponents]
+
+        e = _bisected(target, total, least, most, sums)
+        all_ = sums([e])[0][0]
+        whole = most / ((most / total) ** e / all_) if target.budget is None else target.budget
+        quota = F.when(F.col("tokens") > 0, F.floor(F.pow(share, F.lit(e)) / F.lit(all_) * F.lit(float(whole)) + 0.5)).otherwise(quota)
+    return found.select("source", "tokens", "docs", quota.alias("quota"), F.ceil(F.col("docs") / BLOCK).alias("n_blocks"))
 
 
 def mix(docs: DataFrame, target: Target = Target(), seed: int = 1, tokens: Column | None = None) -> DataFrame:  # noqa: B008
@@ -111,7 +142,7 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 1, tokens: Colum
     measure = words(whole_text()) if tokens is None else tokens
     sized = docs.drop("n_tokens", "epoch", "place").withColumn("n_tokens", measure)
     light = written(sized.select("source", "doc_id", F.col("n_tokens").alias("tokens")), "mixing-sizes")
-    sources = F.broadcast(plan(light, target))  # at most MOST_SOURCES rows
+    sources = broadcast_if_small(plan(light, target))
     same = lambda df: df["source"].eqNullSafe(sources["source"])
 
     dealt = F.pmod(F.conv(F.substring(_hash(seed, F.coalesce("doc_id", F.lit(-1))), 1, 8), 16, 10).cast("long"), F.col("n_blocks"))

@@ -313,6 +313,12 @@ def test_exponent():
     assert mixing.exponent([5, 5], mixing.Target(repeats=1.0)) == 0.0
 
 
+def test_mixture_of_very_many_sources(spark):
+    docs = spark.range(100_001).selectExpr("id as doc_id", "if(id % 2 = 0, 'a', 'a b') as text", "string(id) as source")
+    got = mixing.mix(docs, mixing.Target(repeats=1.0)).groupBy("epoch").count().collect()
+    assert [tuple(r) for r in got] == [(0, 100_001)]
+
+
 def test_mixture_of_odd_rows(spark):
     docs = odd_docs(spark)
     out = mixing.mix(docs)
