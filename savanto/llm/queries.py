@@ -32,8 +32,10 @@ SLOTS = 2053
 
 
 def sharding_query(spark: SparkSession, folder: str) -> DataFrame:
-    """The slot and shard of every document."""
-    return sharding.place(table(spark, folder, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
+    """The slot and shard of every document, from the shards that the documents were written to."""
+    docs, files = table(spark, folder, "documents"), new_path(spark, "shards")
+    sharding.write_shards(docs, "doc_id", SHARDS, SLOTS, files)
+    return sharding.read_shards(spark, files, docs.schema).select("doc_id", "slot", "shard")
 
 
 SHARDING_SQL = f"""

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Slots of a table, at most; the table is broadcast.
 MOST_SLOTS = 1 << 20
@@ -73,3 +74,9 @@ def place(rows: DataFrame, key: str, shards: Sequence[str], size: int) -> DataFr
 def write_shards(rows: DataFrame, key: str, shards: Sequence[str], size: int, folder: str) -> None:
     """One folder for each shard. A shard may be larger than a task: its rows stay in the partitions they are in."""
     place(rows, key, shards, size).write.partitionBy("shard").parquet(folder)
+
+
+def read_shards(spark: SparkSession, folder: str, columns: StructType) -> DataFrame:
+    """The rows of all shards, as :func:`write_shards` wrote them; ``columns`` are those of its ``rows``."""
+    kept = [c for c in columns.fields if c.name not in ("slot", "shard")]
+    return spark.read.schema(StructType([*kept, StructField("slot", IntegerType()), StructField("shard", StringType())])).parquet(folder)

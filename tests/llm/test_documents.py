@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from savanto.llm import exact_dedup, fuse, imatch, line_dedup, minhash, mixing, sharding, toxicity
+from savanto.llm import exact_dedup, fuse, imatch, line_dedup, minhash, mixing, queries, sharding, toxicity
 from savanto.llm.components import components
 from tests.llm.data import no_docs, odd_docs, odd_rows, unique_docs
 
@@ -255,6 +256,33 @@ def test_placement(spark):
     assert sharding.place(no_docs(spark), "doc_id", shards, 31).count() == 0
 
 
+def test_shards_hold_whole_documents(spark, tmp_path):
+    shards = ["01", "b", "c"]
+    docs = odd_docs(spark)
+    sharding.write_shards(docs, "doc_id", shards, 31, str(tmp_path / "shards"))
+    back = sharding.read_shards(spark, str(tmp_path / "shards"), docs.schema)
+    placed = sharding.place(docs, "doc_id", shards, 31)
+    rows = lambda df: collections.Counter(tuple(r) for r in df.select(*placed.columns).collect())
+    assert rows(back) == rows(placed)
+    for s in shards:
+        assert spark.read.parquet(str(tmp_path / "shards" / f"shard={s}")).count() == placed.where(F.col("shard") == s).count() > 0
+    sharding.write_shards(no_docs(spark), "doc_id", shards, 31, str(tmp_path / "none"))
+    assert sharding.read_shards(spark, str(tmp_path / "none"), docs.schema).count() == 0
+
+
+def test_sharding_query_writes_balanced_shards(spark):
+    folder = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+    placed = queries.sharding_query(spark, folder)
+    files = placed.inputFiles()
+    assert {f.split("shard=")[1].split("/")[0] for f in files} == set(queries.SHARDS)
+    written_ = spark.read.parquet(files[0].split("/shard=")[0])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert written_.select(docs.columns).exceptAll(docs).count() == 0 == docs.exceptAll(written_.select(docs.columns)).count()
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    mean = sum(sizes) / len(queries.SHARDS)
+    assert max(sizes) - mean < 6 * mean**0.5 and mean - min(sizes) < 6 * mean**0.5
+
+
 def test_placement_runs_without_python(spark):
     plan = sharding.place(odd_docs(spark, False), "doc_id", ["a", "b"], 31)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and not re.search("Python|Arrow|Pandas", plan)
