@@ -5,8 +5,9 @@ to the terms of all documents, it has at most (mean distinct terms of a document
 that bound does not grow with the corpus. A document keeps its distinct lexicon terms in sorted order and
 hashes them once for each of ``SLOTS`` subsets: the first is the whole lexicon, the others keep an
 eighth, a sixteenth, ... of it at random, so that some hold a few terms of any document, short or long. Likeness is the share of equal slots among those that either document
-fills. A document without lexicon terms uses all its terms for every slot, so that documents which share
-no terms are not alike; documents without terms (null, empty, only marks) are alike to each other only.
+fills. A document without lexicon terms uses its own terms in place of the lexicon's, all for the first slot
+and the same random subsets for the others; documents without terms (null, empty, only marks) are alike to
+each other only.
 
 All steps are built-in functions. Texts are exchanged once, to bring each document to its successor.
 Equal texts have equal fingerprints. Repeated rows are documents of their own, ordered by a hash of the
@@ -42,6 +43,11 @@ def terms(text: Column) -> Column:
 TERM_BITS = 56
 
 
+def _rate(slot: int) -> int:
+    """The bits of a term's hash that must be zero for a slot to keep the term."""
+    return (1 << (FIRST_STEP + (slot - 1) % STEPS)) - 1 if slot else 0
+
+
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """``(term, entries)``: terms of the band, each with its entry in every subset that keeps it (about two
     and a half)."""
@@ -52,8 +58,7 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     entry = F.col("term").bitwiseAND(F.lit((1 << TERM_BITS) - 1))
     kept = [entry]
     for slot in range(1, SLOTS):
-        rate = (1 << (FIRST_STEP + (slot - 1) % STEPS)) - 1
-        kept.append(F.when(F.xxhash64("term", F.lit(slot)).bitwiseAND(F.lit(rate)) == 0, entry + F.lit(slot << TERM_BITS)))
+        kept.append(F.when(F.xxhash64("term", F.lit(slot)).bitwiseAND(F.lit(_rate(slot))) == 0, entry + F.lit(slot << TERM_BITS)))
     return written(band.select("term", F.array_compact(F.array(*kept)).alias("entries")), "lexicon")
 
 
@@ -77,12 +82,12 @@ def fingerprints(rows: DataFrame, lexicon_: DataFrame, keys: list[str], texts: d
     """
     none = F.lit(None).cast("long")
     parts = [F.struct(F.lit(i).alias("which"), terms(F.col(c)).alias("terms")) for i, c in enumerate(texts.values())]
-    everything = F.hash(F.array_sort("p.terms"))
+    everything = F.array_sort("p.terms")
     held = F.struct(*[F.col(c) for c in others or []]) if others else F.struct(F.lit(0).alias("__none"))
     spread = (
         rows.withColumn("__held", held)
         .select(*keys, "__held", F.explode(F.array(*parts)).alias("p"))
-        # one row without a term carries the other columns and the hash of all terms
+        # one row without a term carries the other columns and all terms
         .select(*keys, "__held", F.col("p.which").alias("which"), everything.alias("all"), F.explode(F.concat(F.array(none), F.col("p.terms"))).alias("term"))
         .select(*keys, "which", "term", F.when(F.col("term").isNull(), F.struct("__held", "all")).alias("row"))
     )
@@ -91,7 +96,7 @@ def fingerprints(rows: DataFrame, lexicon_: DataFrame, keys: list[str], texts: d
     found = lambda i: F.flatten(F.collect_list(F.when(F.col("which") == i, F.col("entries"))))
     alone = lambda i: F.max(F.when(F.col("which") == i, F.col("row.all")))
     gathered = matched.groupBy(*keys).agg(
-        F.max("row").alias("__row"), *[found(i).alias(f"__found{i}") for i in range(len(parts))], *[alone(i).alias(f"__all{i}") for i in range(len(parts))]
+        F.max("row.__held").alias("__held"), *[found(i).alias(f"__found{i}") for i in range(len(parts))], *[alone(i).alias(f"__all{i}") for i in range(len(parts))]
     )
     for i in range(len(parts)):
         # in order of slots, and of terms in each; then one line of text for each slot
@@ -101,13 +106,21 @@ def fingerprints(rows: DataFrame, lexicon_: DataFrame, keys: list[str], texts: d
 
     def fingerprint(i: int) -> Column:
         line = lambda slot: F.try_element_at(F.col(f"__slots{i}"), slot.cast("string"))
-        whole = F.transform(numbers, lambda slot: F.hash(F.col(f"__all{i}"), slot))
-        return F.when(F.size(f"__found{i}") == 0, whole).otherwise(F.transform(numbers, lambda slot: F.when(line(slot).isNotNull(), F.hash(line(slot)))))
+        empty = F.transform(numbers, lambda slot: F.hash(F.hash(F.col(f"__all{i}")), slot))
+        alone = F.when(F.size(f"__all{i}") == 0, empty).otherwise(F.transform(numbers, lambda slot: _own(F.col(f"__all{i}"), slot)))
+        return F.when(F.size(f"__found{i}") == 0, alone).otherwise(F.transform(numbers, lambda slot: F.when(line(slot).isNotNull(), F.hash(line(slot)))))
 
-    carried = [F.col(f"__row.__held.{c}").alias(c) for c in others or []]
+    carried = [F.col(f"__held.{c}").alias(c) for c in others or []]
     return gathered.select(*keys, *carried, *[fingerprint(i).alias(name) for i, name in enumerate(texts)])
 
 
+def _own(all_terms: Column, slot: Column) -> Column:
+    """Hash of the terms that a slot's subset keeps, null where it keeps none."""
+    rate = F.get(F.array(*[F.lit(_rate(s)) for s in range(SLOTS)]), slot)
+    kept = F.filter(all_terms, lambda t: F.xxhash64(t, slot).bitwiseAND(rate) == 0)
+    return F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, F.hash(k)))[0]
+
+
 def _terms_of_slots(entries: str) -> Column:
     """A map from each slot to its terms, joined in order, from sorted entries."""
 

@@ -215,6 +215,17 @@ def test_likeness_counts_filled_slots(spark):
     assert rows.select(imatch.likeness(F.col("a"), F.col("b")).alias("x")).first().x == pytest.approx(1 / 3)
 
 
+def test_documents_without_lexicon_terms_agree_in_part(spark):
+    a = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, a, a.replace("word7 ", "other ")), (2, a, " ".join(f"far{i}" for i in range(60))), (3, a, a.upper()), (4, "", "..."), (5, "", a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, second string")
+    none = imatch.lexicon(docs).where("false")
+    found = imatch.fingerprints(docs, none, ["doc_id"], {"a": "text", "b": "second"})
+    got = {r.doc_id: r for r in found.select("*", imatch.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert 0.8 < got[1].x < 1 and [got[i].x for i in (2, 3, 4, 5)] == [0, 1, 1, 0]
+    assert got[1].a[0] != got[1].b[0] and len(got[1].a) == imatch.SLOTS
+
+
 def test_lexicon_band(spark):
     docs = spark.createDataFrame([(i, f"common word{i % 5} rare{i}") for i in range(40)], "doc_id bigint, text string")
     band = imatch.lexicon(docs, 0.05, 0.5)
