@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savanto.llm import bpe, exact_dedup, imatch, line_dedup, minhash, mixing, sharding, token_counts, token_files, toxicity
+from savanto.llm import bpe, exact_dedup, imatch, line_dedup, minhash, mixing, phrases, sharding, token_counts, token_files, toxicity
 from savanto.llm.common import table
 from savanto.session import new_path
 
@@ -242,6 +242,50 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+#: Candidates of the query, and how many of each language are returned.
+COLLOCATION, COLLOCATIONS = phrases.Rule(longest=3, least=10, covered=50), 2000
+
+
+def phrases_query(spark: SparkSession, folder: str) -> DataFrame:
+    """The first collocations of each language."""
+    return phrases.collocations(table(spark, folder, "documents"), COLLOCATIONS, COLLOCATION)
+
+
+PHRASES_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS size)
+), f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= {COLLOCATION.least}),
+cuts AS (
+  SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < size
+), cut_scores AS (
+  SELECT cuts.lang, cuts.size, cuts.phrase, a, k, p.n AS l, q.n AS r,
+         CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(p.n AS HUGEINT) * q.n) AS BIGINT) AS score
+  FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = first JOIN f q ON q.lang = cuts.lang AND q.phrase = rest
+), weakest AS (
+  SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), covers AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE size = 3
+  ) GROUP BY lang, phrase
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM weakest LEFT JOIN covers USING (lang, phrase)
+  WHERE size = 3 OR longer IS NULL OR 100 * longer < {COLLOCATION.covered} * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {COLLOCATIONS}
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts_query,
     "op2_sharding": sharding_query,
@@ -253,6 +297,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": minhash_query,
     "op9_bpe": bpe_query,
     "op10_exact_dedup": exact_dedup_query,
+    "op11_phrases": phrases_query,
 }
 
 SQL: dict[str, str] = {
@@ -261,4 +306,5 @@ SQL: dict[str, str] = {
     "op7_mixing": MIXING_SQL,
     "op8_minhash": MINHASH_SQL,
     "op10_exact_dedup": EXACT_DEDUP_SQL,
+    "op11_phrases": PHRASES_SQL,
 }
