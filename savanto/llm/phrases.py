@@ -153,9 +153,15 @@ def _unpack(stored: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _opened(words: bytes, forward: bytes, reverse: bytes) -> tuple[list[bytes], WordIndex]:
-    names = words.split(b"\n")
-    return names, WordIndex(_from_planes(forward), _from_planes(reverse), len(names) + 1)
+def _opened(row: dict) -> tuple[list[bytes], WordIndex]:
+    names, reverse = row["words"].split(b"\n"), row.get("reverse")
+    return names, WordIndex(_from_planes(row["forward"]), reverse and _from_planes(reverse), len(names) + 1)
+
+
+def _one_by_one(rows: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """Rows that hold a shard each, never two of them as Python objects."""
+    for i in range(rows.num_rows):
+        yield rows.slice(i, 1).to_pylist()[0]
 
 
 def _screener(rule: Rule, n_ranges: int, bits: int):
@@ -163,8 +169,8 @@ def _screener(rule: Rule, n_ranges: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                words, index = _opened(row["words"], row["forward"], row["reverse"])
+            for row in _one_by_one(batch):
+                words, index = _opened(row)
                 found = [(_hashed(words, row["lang"], p.words, bits), np.minimum(p.n, rule.least)) for p in index.phrases(rule.longest)]
                 keys, counts = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
                 order = np.argsort(keys)
@@ -206,8 +212,8 @@ def _teller(rule: Rule, bits: int):
     def run(shard: pa.Table, kept: pa.Table) -> pa.Table:
         langs, phrases, sizes, counts = [], [], [], []
         keys = np.concatenate([_unpack(k) for k in kept.column("keys").to_pylist()] or [np.empty(0, np.uint64)])
-        for row in shard.to_pylist():
-            words, index = _opened(row["words"], row["forward"], row["reverse"])
+        for row in _one_by_one(shard):
+            words, index = _opened(row)
             names = np.array([b"", *words], object)
             for p in index.phrases(rule.longest):
                 chosen = np.isin(_hashed(words, row["lang"], p.words, bits), keys)
@@ -229,10 +235,10 @@ def frequent(docs: DataFrame, rule: Rule = Rule(), sizes: Sizes = Sizes()) -> tu
     index = written(rows.mapInArrow(_indexer(rule, sizes.shard), INDEX), "word-indexes")
     total = index.agg(F.sum("n_phrases")).first()[0] or 0
     n_ranges = max(1, -(-total // sizes.range))
-    stored = index.select("shard", "lang", "words", "forward", "reverse")
-    screened = stored.mapInArrow(_screener(rule, n_ranges, sizes.bits), "shard bigint, range bigint, keys binary, counts binary")
+    screened = index.select("shard", "lang", "words", "forward", "reverse").mapInArrow(_screener(rule, n_ranges, sizes.bits), "shard bigint, range bigint, keys binary, counts binary")
     kept = screened.groupBy("range").applyInArrow(_summer(rule), "shard bigint, keys binary")
-    told = stored.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(_teller(rule, sizes.bits), "lang string, size int, phrase string, n bigint")
+    # the texts of phrases need one transform only
+    told = index.select("shard", "lang", "words", "forward").groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(_teller(rule, sizes.bits), "lang string, size int, phrase string, n bigint")
     counted = told.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= rule.least)
     return written(counted, "phrases"), index.groupBy("lang").agg(F.sum("n_words").alias("n"))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from savanto.llm import bpe, exact_dedup, imatch, line_dedup, minhash, mixing, phrases, sharding, token_counts, token_files, toxicity
+from savanto.llm import bpe, exact_dedup, imatch, line_dedup, minhash, mixing, phrases, quality, sharding, spelling, token_counts, token_files, toxicity
 from savanto.llm.common import table
 from savanto.session import new_path
 
@@ -255,7 +255,8 @@ PHRASES_SQL = rf"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents
 ), w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 grams AS (
@@ -286,6 +287,23 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 """
 
 
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels").where(~quality.held_out()))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+#: Words of the query; one run in 199 loses a letter.
+SPELLING = spelling.Spelling(letters=6, least=5, drop=199, times=5)
+
+
+def spelling_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its form and its root."""
+    found = spelling.variants(table(spark, folder, "documents"), SPELLING)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts_query,
     "op2_sharding": sharding_query,
@@ -298,6 +316,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": bpe_query,
     "op10_exact_dedup": exact_dedup_query,
     "op11_phrases": phrases_query,
+    "op12_quality": quality_query,
+    "op13_spelling": spelling_query,
 }
 
 SQL: dict[str, str] = {

@@ -40,7 +40,7 @@ class Phrases:
 class WordIndex:
     """``n_symbols`` counts the 0 between pieces as well."""
 
-    def __init__(self, forward: np.ndarray, reverse: np.ndarray, n_symbols: int) -> None:
+    def __init__(self, forward: np.ndarray, reverse: np.ndarray | None, n_symbols: int) -> None:
         self.forward, self.reverse, self.n_symbols = forward, reverse, n_symbols
 
     @classmethod
@@ -71,10 +71,10 @@ class WordIndex:
         before = np.cumsum(size[by_parent]) - size[by_parent]
         head = np.concatenate([[True], parent[by_parent][1:] != parent[by_parent][:-1]]) if len(parent) else np.empty(0, bool)
         first = np.maximum.accumulate(np.where(head, before, 0)) if len(parent) else before
-        twin = np.empty(len(starts), np.int64)
+        twin = np.empty(len(starts), np.int32)
         twin[by_parent] = other[parent[by_parent]] + before - first
         real = symbol > 0
-        return starts[real], twin[real], size[real], parent[real], symbol[real]
+        return starts[real].astype(np.int32), twin[real], size[real].astype(np.int32), parent[real], symbol[real]
 
     def to_left(self, p: Phrases) -> Phrases:
         """The phrases with each word that stands before them."""
@@ -87,9 +87,10 @@ class WordIndex:
         return Phrases(np.column_stack([p.words[parent], symbol]).astype(np.int32), twin, low, n)
 
     def phrases(self, longest: int) -> Iterator[Phrases]:
-        """All phrases of 1 to ``longest`` words, grown to the left and to the right by turns."""
+        """All phrases of 1 to ``longest`` words, grown to the left and to the right by turns; only to the left
+        where the reverse transform is not at hand."""
         found = self.single()
         yield found
         for size in range(2, longest + 1):
-            found = self.to_left(found) if size % 2 == 0 else self.to_right(found)
+            found = self.to_left(found) if size % 2 == 0 or self.reverse is None else self.to_right(found)
             yield found
