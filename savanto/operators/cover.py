@@ -17,6 +17,7 @@ from savanto.functions import text as tx
 from savanto.skew import broadcast_if_small
 
 KAPPA = 3.0  # fixed value: covers up to this length score 1
+DIGITS = 9  # decimals by which two scores are told apart
 KEPT_DOCUMENTS = 20  # fixed value: documents a search shows per query
 
 
@@ -76,7 +77,11 @@ def _per_level(found: DataFrame, key: Sequence[str], *also: Column) -> DataFrame
     A group holds the hits of one document, so its size is bounded by that of a row of the input.
     """
     hit = F.struct(F.col("pos").cast("int").alias("pos"), F.col("slot").cast("int").alias("slot"))
-    grouped = found.groupBy("query_id", *key).agg(F.array_sort(F.collect_list(hit)).alias("hits"), *also)
+    return _levels_of(found.groupBy("query_id", *key).agg(F.array_sort(F.collect_list(hit)).alias("hits"), *also))
+
+
+def _levels_of(grouped: DataFrame) -> DataFrame:
+    """The levels of rows with the sorted ``hits (pos, slot)`` of a document."""
     numbered = F.transform(
         _walk(F.col("hits")),
         lambda s, i: F.struct((i + 1).alias("level"), s["covers"].alias("covers"), s["score"].alias("score")),
@@ -117,12 +122,19 @@ def _top_level(per_doc: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
+def top_level_of(grouped: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``(query_id, *key, level, score)`` of rows with the sorted ``hits (pos, slot)`` of a document."""
+    return _top_level(_levels_of(grouped), key)
+
+
 def keep_ranked(scored: DataFrame, group: Sequence[str], tie: str, limit: int | None = None) -> DataFrame:
     """Rank by level, then score, then ``tie``; keep the first ``limit`` of each group, or all.
 
+    Scores are compared to ``DIGITS`` decimals: the last bits of a sum depend on the order of its parts.
+
     With a limit Spark drops all but the first rows of a group before the shuffle already.
     """
-    order = Window.partitionBy(*group).orderBy(F.desc("level"), F.desc("score"), tie)
+    order = Window.partitionBy(*group).orderBy(F.desc("level"), F.desc(F.round("score", DIGITS)), tie)
     ranked = scored.withColumn("rank", F.row_number().over(order))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 

@@ -217,8 +217,8 @@ def timeline(posts: DataFrame, kind: str, key: str, user: str, ts: str) -> DataF
 
 def revisions(edits: DataFrame) -> DataFrame:
     """``(post_id, revision_number, user_id, creation_date)`` from ``post_id, user_id, creation_date, revision_id``:
-    edits of a post numbered in time."""
-    order = Window.partitionBy("post_id").orderBy("creation_date", "revision_id")
+    edits of a post numbered in time; those of one time by id, then by user."""
+    order = Window.partitionBy("post_id").orderBy("creation_date", "revision_id", "user_id")
     return edits.select("post_id", F.row_number().over(order).alias("revision_number"), "user_id", "creation_date")
 
 

@@ -1,8 +1,9 @@
-"""Item feeds: dedup, last-crawled state, quota windows and leaderboard updates.
+"""Item feeds: last-crawled state, quota windows and leaderboard updates.
 
 Results are kept as append-only deltas, one folder per micro-batch, already reduced to one row per
 key. Rewriting a folder on a retry makes a batch idempotent, and a reader reduces the deltas again.
-So no batch rewrites the whole table, and a restart goes on from the checkpoint.
+So no batch rewrites the whole table, and a restart goes on from the checkpoint. The leaderboard's
+deltas are compacted (:mod:`savanto.streaming.compaction`).
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from savanto.operators.upsert import zset_last_wins
+from savanto.streaming.compaction import BATCH, Deltas
 
 
 def read_feed(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -24,24 +27,6 @@ def read_feed(spark: SparkSession, path: str, schema, files_per_batch: int | Non
     return reader.parquet(path)
 
 
-def dedup(feed: DataFrame, key: Sequence[str], known: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write items with keys that neither ``known`` (a stored table) nor the feed had before to ``path``.
-
-    What was written is what is remembered, so a key is never forgotten. A micro-batch that is tried again
-    overwrites its own folder and does not look at it.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(list(key)).join(known.select(*key), list(key), "left_anti")
-        if batch_id:
-            spark = batch.sparkSession
-            earlier = spark.read.schema(batch.select(*key).schema).parquet(*[f"{path}/batch={i}" for i in range(batch_id)])
-            new = new.join(earlier, list(key), "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def quota(feed: DataFrame, ts: str, width: str, limit: int) -> DataFrame:
     """Tumbling windows with more than ``limit`` requests: ``(start, requests)``. Batch or stream."""
     counts = feed.groupBy(F.window(ts, width)).agg(F.count(F.lit(1)).alias("requests"))
@@ -97,23 +82,30 @@ def read_deltas(spark: SparkSession, path: str, key: Sequence[str], value: str,
     return zset_last_wins(spark.read.parquet(path), key, value, order)
 
 
-def leaderboard_update(
-    feed: DataFrame, matched: DataFrame, path: str, checkpoint: str
-) -> StreamingQuery:
-    """Items ``(expert, topic, views, ts)`` into three delta tables: expert profiles, the topics of
-    each expert, and the leaderboard of linked experts."""
+EXPERTS = "expert string, views double, ts timestamp"
+TOPICS = "expert string, topic string"
+LEADERBOARD = "topic string, expert string, views double, ts timestamp"
+
+
+def leaderboard_tables(path: str, every: int = 8) -> dict[str, Deltas]:
+    """The newest profile of each expert, the topics of each expert, and the leaderboard: by event time."""
+    newest = lambda *key: lambda rows: rows.groupBy(*key).agg(F.max_by(F.struct("views", "ts", BATCH), "ts").alias("r")).select(*key, "r.*")
+    return {
+        "experts": Deltas(f"{path}/experts", StructType.fromDDL(EXPERTS), newest("expert"), every),
+        "topics": Deltas(f"{path}/topics", StructType.fromDDL(TOPICS), lambda rows: rows.groupBy("expert", "topic").agg(F.min(BATCH).alias(BATCH)), every),
+        "leaderboard": Deltas(f"{path}/leaderboard", StructType.fromDDL(LEADERBOARD), newest("topic", "expert"), every),
+    }
+
+
+def leaderboard_update(feed: DataFrame, matched: DataFrame, path: str, checkpoint: str, every: int = 8) -> StreamingQuery:
+    """Items ``(expert, topic, views, ts)`` into three delta tables, compacted every few batches: expert profiles, the
+    topics of each expert, and the leaderboard of linked experts."""
+    tables = leaderboard_tables(path, every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        part = f"batch={batch_id}"
-        newest = batch.groupBy("expert").agg(F.max_by(F.struct("views", "ts"), "ts").alias("r"))
-        newest.select("expert", "r.*").write.mode("overwrite").parquet(f"{path}/experts/{part}")
-        pairs = batch.select("expert", "topic").distinct()
-        pairs.write.mode("overwrite").parquet(f"{path}/topics/{part}")
-        linked = batch.join(matched.select("expert"), "expert", "left_semi")
-        best = linked.groupBy("topic", "expert").agg(
-            F.max_by("views", "ts").alias("views"), F.max("ts").alias("ts")
-        )
-        best.write.mode("overwrite").parquet(f"{path}/leaderboard/{part}")
+        tables["experts"].write(batch, batch_id)
+        tables["topics"].write(batch, batch_id)
+        tables["leaderboard"].write(batch.join(matched.select("expert"), "expert", "left_semi"), batch_id)
 
     return (
         feed.writeStream.foreachBatch(write)
@@ -124,10 +116,10 @@ def leaderboard_update(
 
 
 def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
-    """``(topic, expert, views)`` by event time over all deltas."""
-    return read_deltas(spark, f"{path}/leaderboard", ["topic", "expert"], "views", "ts")
+    """``(topic, expert, views)`` by event time."""
+    return leaderboard_tables(path)["leaderboard"].read(spark).select("topic", "expert", "views")
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """The set of topics of every expert."""
-    return spark.read.parquet(f"{path}/topics").select("expert", "topic").distinct()
+    return leaderboard_tables(path)["topics"].read(spark).select("expert", "topic")

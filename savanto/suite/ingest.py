@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from savanto.functions import values as vx
 from savanto.operators import paging, projections, upsert
+from savanto.operators.bucket_store import BucketStore
 from savanto.session import new_path
 from savanto.skew import global_rank
 from savanto.sources import stored
@@ -208,6 +209,21 @@ def zset_last_wins(t: Tables):
     return upsert.zset_last_wins(rows, ["topic", "member"], "score", "event_id")
 
 
+@case(
+    "upsert_delta",
+    "select user_id, event_type, arg_max(value, ts) as value, max(ts) as ts from events group by 1, 2",
+)
+def upsert_delta(t: Tables):
+    """A stored table of events of one kind after another, each kind a delta that touches its own buckets."""
+    newest = t.events.groupBy("user_id", "event_type").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
+    even = t.events.where("event_id % 2 = 0").groupBy("user_id", "event_type").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
+    store = BucketStore(new_path(t.spark, "bucket-store"), ("user_id", "event_type"), 32)
+    store.create(even)
+    for kinds in (["click", "view"], ["purchase", "signup", "error"]):
+        store.upsert(newest.where(F.col("event_type").isin(kinds)), "ts")
+    return store.read(t.spark)
+
+
 # ---- projections and filters ----
 
 

@@ -569,7 +569,7 @@ def timeline(t: Tables):
 @case(
     "revisions",
     with_views(
-        """select question_id as post_id, row_number() over (partition by question_id order by ts, answer_id) as revision_number,
+        """select question_id as post_id, row_number() over (partition by question_id order by ts, answer_id, owner) as revision_number,
            owner as user_id, ts as creation_date from answers""",
         *QA[1:2],
     ),

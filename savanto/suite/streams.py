@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from savanto.session import new_path
-from savanto.streaming import feeds
+from savanto.streaming import feeds, state
 from savanto.suite.registry import Tables, case, with_views
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -32,15 +32,45 @@ def split_feed(t: Tables, path: str, events):
     ),
 )
 def stream_dedup(t: Tables):
-    """Users and kinds of events that the stored names lack, each once over three micro-batches."""
+    """Users and kinds of events that the stored names lack, each once: half the feed, a stop, and the rest."""
     out = new_path(t.spark, "dedup")
     name = F.concat(F.lit("Supplier#"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
-    feed = split_feed(t, f"{out}/feed", t.events).select("user_id", "event_type")
     digits = t.region.select(F.col("r_regionkey").cast("string").alias("last"))
     linked = t.crosswalk().withColumn("last", F.substring("expert", -1, 1)).join(digits, "last", "left_semi")
-    known = t.events.join(linked, name == F.col("expert"), "left_semi").select("user_id", "event_type").distinct()
-    feeds.finish(feeds.dedup(feed, ["user_id", "event_type"], known, f"{out}/rows", f"{out}/checkpoint"))
-    return t.spark.read.parquet(f"{out}/rows").select("user_id", "event_type")
+    stored = t.events.join(linked, name == F.col("expert"), "left_semi").select("user_id", "event_type").distinct()
+    stored.write.parquet(f"{out}/stored")
+    for half in (0, 1):
+        feed = split_feed(t, f"{out}/feed", t.events.where(F.col("event_id") % 2 == half)).select("user_id", "event_type")
+        known = feeds.read_feed(t.spark, f"{out}/stored", stored.schema)
+        feeds.finish(state.dedup(feed, ["user_id", "event_type"], known, f"{out}/rows", f"{out}/checkpoint"))
+    return t.spark.read.schema(stored.schema).parquet(f"{out}/rows")
+
+
+DUE_SECONDS = 7 * 24 * 3600
+
+
+@case(
+    "recrawl_schedule",
+    f"""with g as (select user_id || ':' || event_type as page, ts,
+           lead(ts) over (partition by user_id, event_type order by ts) as next, max(ts) over () as newest from events)
+       select page, strftime(ts, '%Y-%m-%d %H:%M:%S') as crawled,
+       strftime(ts + interval {DUE_SECONDS} second, '%Y-%m-%d %H:%M:%S') as due
+       from g where coalesce(next, newest) >= ts + interval {DUE_SECONDS} second""",
+)
+def recrawl_schedule(t: Tables):
+    """Pages (kinds of a user's events) that were not crawled again within seven days, over a restart."""
+    out = new_path(t.spark, "recrawl")
+    pages = t.events.select(F.concat_ws(":", "user_id", "event_type").alias("page"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = pages.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    cuts = [None, *[first + (last - first) * k // 3 for k in (1, 2)], None]
+    for low, high in zip(cuts, cuts[1:], strict=False):  # one file after another, each run goes on from the one before
+        at = F.unix_micros("ts")
+        part = pages.where((F.lit(low is None) | (at >= F.lit(low or 0))) & (F.lit(high is None) | (at < F.lit(high or 0))))
+        part.coalesce(1).write.mode("append").parquet(f"{out}/feed")
+        feed = feeds.read_feed(t.spark, f"{out}/feed", pages.schema)
+        feeds.finish(state.start_recrawls(feed, "page", "ts", DUE_SECONDS, f"{out}/rows", f"{out}/checkpoint"))
+    rows = t.spark.read.schema("page string, crawled timestamp, due timestamp").parquet(f"{out}/rows")
+    return rows.select("page", F.date_format("crawled", STAMP).alias("crawled"), F.date_format("due", STAMP).alias("due"))
 
 
 def leaderboard_feed(t: Tables) -> str:
@@ -52,7 +82,7 @@ def leaderboard_feed(t: Tables) -> str:
         F.col("value").alias("views"),
         "ts",
     )
-    feeds.finish(feeds.leaderboard_update(feed, t.crosswalk(), f"{out}/tables", f"{out}/checkpoint"))
+    feeds.finish(feeds.leaderboard_update(feed, t.crosswalk(), f"{out}/tables", f"{out}/checkpoint", every=2))
     return f"{out}/tables"
 
 

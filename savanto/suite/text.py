@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from savanto.functions import text as tx
-from savanto.operators import cover, topics
-from savanto.session import written
+from savanto.operators import cover, positional, topics
+from savanto.session import new_path, written
 from savanto.suite.registry import Tables, case, with_views
 
 QUERY = "the and of"
@@ -69,7 +69,7 @@ DOCS = "select doc_id, text from documents"
     "cover_density",
     with_views(
         """select query_id, doc_id, level, round(score, 6) as score, rnk as rank from (
-           select *, row_number() over (partition by query_id order by level desc, score desc, doc_id) as rnk
+           select *, row_number() over (partition by query_id order by level desc, round(score, 9) desc, doc_id) as rnk
            from tops) where rnk <= 20""",
         *cover_sql(DOCS, DOC_TERMS),
     ),
@@ -79,6 +79,28 @@ def cover_density(t: Tables):
     return ranked.withColumn("score", F.round("score", 6))
 
 
+SEARCHES = ["the and of", "de la", "und", "licensed under", "this nosuchword"]
+SEARCH_TERMS = "select * from (values " + ", ".join(
+    f"({i}, {k}, '{word}')" for i, query in enumerate(SEARCHES) for k, word in enumerate(query.split())
+) + ") v(query_id, slot, term)"
+
+
+@case(
+    "positional_search",
+    with_views(
+        """select query_id, doc_id, level, round(score, 6) as score, rnk as rank from (
+           select *, row_number() over (partition by query_id order by level desc, round(score, 9) desc, doc_id) as rnk
+           from tops) where rnk <= 20""",
+        *cover_sql(DOCS, SEARCH_TERMS),
+    ),
+)
+def positional_search(t: Tables):
+    """The first documents of several searches, from postings stored before."""
+    index = positional.build(t.documents, new_path(t.spark, "positional"))
+    found = positional.search(index, cover.make_queries(t.spark, SEARCHES))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @case(
     "cover_density_levels",
     with_views(
