@@ -11,8 +11,8 @@ At most ``Training.rows`` labelled rows are used, taken in hash order of their i
 and the fit is one task over their indicators. Scoring is one pass over whole texts and exchanges nothing.
 
 Null and empty texts, like very long ones, get a score like any other. Labels that are null are not used; of
-labels that repeat an id the largest counts; rows that repeat an id are scored each. If either label is missing in a part, all scores are
-the share of good rows that was found (0 without any). Columns named like the results are replaced, all
+labels that repeat an id the largest counts; rows that repeat an id are scored each. If either label is missing
+in a part, all scores are the share of good rows that was found (0 without any). Columns named like the results are replaced, all
 others are kept. An empty table gives an empty result.
 """
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -179,9 +180,9 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         keys, ends = indicators(texts, self.training.bits)
-        starts = np.concatenate([[0], ends[:-1]])
-        # sums over each text's indicators: of weighted ratios, and of squared ones for the length
-        sums = lambda of: np.diff(np.concatenate([[0.0], np.cumsum(of[keys])])[np.concatenate([starts, ends[-1:]])])
+        text = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], ends])))
+        # added up in the order of a text's own indicators, so that equal texts have equal scores
+        sums = lambda of: np.bincount(text, of[keys].astype(np.float64), len(texts))
         output = sums(self.weights * self.ratios) / np.maximum(np.sqrt(sums(self.ratios**2)), 1e-12) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * output + self.offset, -500, 500)))
 
@@ -238,11 +239,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         @F.pandas_udf("double")
-        def scored(texts):  # noqa: ANN001, ANN202
+        def scored(texts: pd.Series) -> pd.Series:
             rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
             done = [shared.value.scores(part.column("text")) for part in slices(rows)]
-            import pandas as pd
-
             return pd.Series(np.concatenate(done) if done else np.empty(0))
 
         out = kept.withColumn("score", scored(whole_text(kept["text"])))

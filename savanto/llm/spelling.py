@@ -7,9 +7,9 @@ deficit, for many words at once: at a node those go on whose budget the child's
 the leaves the words themselves are compared.
 
 The upper ``TOP`` levels of the trie are the keys by which tries are dealt to tasks: a word is sent to each
-key that its budget reaches, of which there are at most 31, if the key has words. Keys with many words or many searches are
-dealt to several tries and several rows of searches, so no task holds more than ``PART`` words and ``SEARCHES``
-searches at once. Every near pair is found where its words meet, once for each of the two.
+key that its budget reaches, of which there are at most 31, if the key has words. Keys with many words or many
+searches are dealt to several tries and several rows of searches, so no task holds more than about ``PART``
+words and ``SEARCHES`` searches at once. Every near pair is found where its words meet, once for each of the two.
 
 Words are counted over whole texts; null and empty texts have none, repeated rows count as often as they stand
 there, a null id counts as an empty one. Very long runs of letters are words like any other. Extra columns are
@@ -57,6 +57,10 @@ class Spelling:
     drop: int = 0
     times: int = 5
 
+    def __post_init__(self) -> None:
+        if self.times < 2:
+            raise ValueError("words of equal frequency would be forms of each other")
+
 
 def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
     """A long text in parts that end where no run goes on."""
