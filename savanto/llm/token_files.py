@@ -6,12 +6,14 @@ a block the minimum is subtracted, the differences are packed at the width that
 them, and the rest go to an exception list (position and high bits). Each segment indexes where its
 blocks start, so a document is read without the blocks before it.
 
-Null texts count as empty; an empty document has the end id alone. Rows with equal ids are ordered by
-text. An empty table gives an empty folder and an empty result.
+Null texts count as empty; an empty document has the end id alone; a very long one is a segment of its own.
+Rows with equal ids are ordered by text. Columns other than the id and the text are not looked at. An empty
+table gives an empty folder and an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,9 @@ BLOCK = 128
 #: Share of a block's differences that the packed width must hold.
 PACKED_SHARE = 0.9
 #: Ids after which a segment ends (at the end of a document).
-SEGMENT_IDS = 1 << 16
+SEGMENT_IDS = 1 << 18
+#: Bytes of text that are encoded together: each distinct piece of them is looked up once.
+SLICE = 1 << 23
 
 SEGMENT = """part int, segment int, first bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>,
  minima binary, widths binary, starts binary, payload binary, patch_counts binary, patch_places binary, patch_values binary"""
@@ -38,6 +42,35 @@ def bit_widths(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
 
 
+def _lanes(width: int):
+    """Values whose bits lie alike in their 64-bit lane: (value, step between such values, lane, shift, step of lanes)."""
+    period = 64 // math.gcd(width, 64)
+    for k in range(min(period, BLOCK)):
+        yield k, period, k * width // 64, k * width % 64, period * width // 64
+
+
+def _pack_lanes(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``BLOCK`` values, each below ``2**width``, as rows of 64-bit lanes, lowest bits first."""
+    wide = values.astype(np.uint64)
+    out = np.zeros((len(values), BLOCK * width // 64), np.uint64)
+    for k, step, lane, shift, lanes in _lanes(width):
+        out[:, lane::lanes] |= wide[:, k::step] << np.uint64(shift)
+        if shift + width > 64:
+            out[:, lane + 1 :: lanes] |= wide[:, k::step] >> np.uint64(64 - shift)
+    return out.astype("<u8", copy=False)
+
+
+def _unpack_lanes(packed: np.ndarray, width: int) -> np.ndarray:
+    out = np.empty((len(packed), BLOCK), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for k, step, lane, shift, lanes in _lanes(width):
+        part = packed[:, lane::lanes] >> np.uint64(shift)
+        if shift + width > 64:
+            part = part | (packed[:, lane + 1 :: lanes] << np.uint64(64 - shift))
+        out[:, k::step] = part & mask
+    return out
+
+
 def pack(ids: np.ndarray) -> dict[str, bytes]:
     """The blocks of a segment as named byte strings."""
     n_blocks = -(-len(ids) // BLOCK)
@@ -56,11 +89,10 @@ def pack(ids: np.ndarray) -> dict[str, bytes]:
     sizes = widths.astype(np.int64) * (BLOCK // 8)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)
     payload = np.zeros(int(starts[-1]), np.uint8)
-    for width in np.unique(widths):
+    for width in np.unique(widths).tolist():
         if width:
             rows = np.flatnonzero(widths == width)
-            bits = ((rest[rows][:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+            packed = _pack_lanes(rest[rows] & np.uint32((1 << width) - 1), width).view(np.uint8)
             payload[starts[rows][:, None] + np.arange(packed.shape[1])] = packed
     return {
         "minima": minima.astype("<u4").tobytes(),
@@ -81,15 +113,11 @@ def unpack(segment: dict[str, bytes], n_ids: int, first: int = 0, last: int | No
     starts = np.frombuffer(segment["starts"], "<u4")[low:high].astype(np.int64)
     payload = np.frombuffer(segment["payload"], np.uint8)
     out = np.zeros((len(widths), BLOCK), np.uint32)
-    for width in np.unique(widths):
+    for width in np.unique(widths).tolist():
         if width:
             rows = np.flatnonzero(widths == width)
-            packed = payload[starts[rows][:, None] + np.arange(int(width) * (BLOCK // 8))]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(width))
-            values = np.zeros((len(rows), BLOCK), np.uint32)
-            for bit in range(int(width)):
-                values |= bits[:, :, bit].astype(np.uint32) << np.uint32(bit)
-            out[rows] = values
+            packed = payload[starts[rows][:, None] + np.arange(width * (BLOCK // 8))]
+            out[rows] = _unpack_lanes(packed.view("<u8"), width)
     counts = np.frombuffer(segment["patch_counts"], "<u2").astype(np.int64)
     before = int(counts[:low].sum())
     counts = counts[low:high]
@@ -119,11 +147,14 @@ def _writer(path: str, end: np.ndarray):
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(pieces)
-            row = {"part": part, "segment": segment, "first": first, "n_ids": len(ids), "doc_ids": doc_ids, "lengths": [len(p) for p in pieces]}
-            return pa.RecordBatch.from_pylist([row | pack(ids)], schema=fields)
+            packed = pack(ids)
+            whole = pa.array([0, len(doc_ids)], pa.int32())
+            lists = [pa.ListArray.from_arrays(whole, pa.array(x, pa.int64())) for x in (doc_ids, [len(p) for p in pieces])]
+            row = [pa.array([x], f.type) for x, f in zip((part, segment, first, len(ids)), fields, strict=False)]
+            return pa.RecordBatch.from_arrays([*row, *lists, *[pa.array([packed[name]], pa.binary()) for name in BYTES]], schema=fields)
 
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, size=SLICE):
                 ids, ends = encoder.flat(rows.column("text"))
                 for doc_id, a, b in zip(rows.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
                     doc_ids.append(doc_id)

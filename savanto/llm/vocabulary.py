@@ -163,6 +163,9 @@ def byte_letters() -> dict[str, int]:
 
 
 LETTERS = {byte: letter for letter, byte in byte_letters().items()}
+BLANK = LETTERS[32]
+#: Marks of :data:`SIMPLE` that end sentences and clauses.
+MARKS = frozenset(".,;:!?")
 
 
 class WordEncoder:
@@ -181,6 +184,15 @@ class WordEncoder:
         return found
 
     def piece(self, piece: str) -> bytes:
+        if piece and piece.isascii():
+            # a blank and letters, perhaps a comma or the like behind them: in byte letters only the blank differs
+            if (rest := piece[1:]).isalpha():
+                if piece[0] == " ":
+                    return self.word(BLANK + rest)
+                if piece[0].isalpha():
+                    return self.word(piece)
+            elif piece[0] == " " and piece[-1] in MARKS and (rest := piece[1:-1]).isalpha():
+                return self.word(BLANK + rest) + self.word(piece[-1])
         simple = SIMPLE.fullmatch(piece)
         if simple is None:
             return b"".join([self.word(word) for word, _ in self.split(piece)])
