@@ -3,14 +3,18 @@
 The lines of a text that are not blank, trimmed, form a sequence. A run of ``Runs.lines`` consecutive lines
 that stood earlier in the corpus is deleted; so is a single line of ``Runs.words`` words or more that did.
 Earlier means a smaller id, then (for rows that share an id) a smaller digest of the text, then an earlier
-line. Longer repeats are runs that overlap: deleting all of them extends a match both ways as far as it goes.
-
-Of every window of ``Runs.lines`` line hashes the least one is a fingerprint, so every run contains one.
-Fingerprints alone are counted over the corpus; only around those that occur twice are the lines beside
-them looked at: the runs whose least line they are, first occurrences by a minimum that is combined before
-the exchange. A very frequent line therefore costs one small row for each occurrence, never a pair.
-
-Null texts count as empty. Wholly repeated rows (same id, same text) count as one document, and each of
+line. Ids must be numbers.
+
+A line of ``Runs.words`` words or more is a window, and a fingerprint, of its own. Of every window of
+``Runs.lines`` line hashes that has a shorter line in it the least one is selected as its fingerprint, so every
+run contains one. Selected lines are posted with their positions and counted over the corpus; those that occur
+twice are joined with their positions again and extended both ways, to the windows whose least line they are.
+Of equal windows the first position is a minimum that is combined before the exchange, and all later ones are
+deleted; a longer match is extended from one selected line to the next, by windows that overlap. A very
+frequent line therefore costs one small row for each occurrence, never a pair. The plan is the same at every
+size: joins are sorted, and texts are exchanged once.
+
+Null texts count as empty; very long ones are cut into lines like any other. Wholly repeated rows (same id, same text) count as one document, and each of
 them is returned. Blank lines between deleted lines of a run go with it. An empty table gives an empty
 result. All other columns are kept; columns named like the results are replaced.
 """
@@ -38,7 +42,7 @@ class Runs:
     """What is deleted: runs of this many lines, and single lines of this many words."""
 
     lines: int = 2
-    words: int = 50
+    words: int = 5
 
 
 def fingerprints_of(text: str, runs: Runs) -> list[tuple[int, int, int, bytes]]:
@@ -47,15 +51,15 @@ def fingerprints_of(text: str, runs: Runs) -> list[tuple[int, int, int, bytes]]:
     kept = [(i, s) for i, line in enumerate(text.split("\n")) if (s := line.strip(TRIMMED))]
     raw = [s.encode("utf-8", "surrogatepass") for _, s in kept]
     hashes = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-    found = [
-        (int(hashes[j]), i, i, xxhash.xxh3_128_digest(r)) for j, ((i, s), r) in enumerate(zip(kept, raw, strict=True)) if s.count(" ") + 1 >= runs.words
-    ]
+    digests = [xxhash.xxh3_128_digest(r) for r in raw]
+    alone = [s.count(" ") + 1 >= runs.words for _, s in kept]
+    found = [(int(hashes[j]), i, i, digests[j]) for j, (i, _) in enumerate(kept) if alone[j]]
     if len(kept) >= runs.lines:
         least = np.lib.stride_tricks.sliding_window_view(hashes, runs.lines).min(axis=1)
-        digests = [xxhash.xxh3_128_digest(r) for r in raw]
         found += [
             (int(least[j]), kept[j][0], kept[j + runs.lines - 1][0], xxhash.xxh3_128_digest(b"".join(digests[j : j + runs.lines]) + b"run"))
             for j in range(len(least))
+            if not all(alone[j : j + runs.lines])  # a repeat of long lines only is one of each of them
         ]
     return found
 
@@ -93,11 +97,11 @@ def repeated(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:  # noqa: B008
     posted = written(_runs(docs, runs), "line-fingerprints")
     # a fingerprint may be repeated within one document: count its runs
     often = posted.groupBy("fingerprint").agg(F.sum(F.size("runs")).alias("n")).where("n > 1").select("fingerprint")
-    found = posted.join(often, "fingerprint").select("doc", F.explode("runs").alias("r")).select("doc", "r.*")
+    found = posted.join(often.hint("merge"), "fingerprint").select("doc", F.explode("runs").alias("r")).select("doc", "r.*")
     place = F.struct("doc.id", "doc.text", "first")
     met = written(found.withColumn("place", place), "line-runs")
     firsts = met.groupBy("digest").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = met.join(firsts, "digest").where(~F.col("place").eqNullSafe(F.col("earliest")))
+    later = met.join(firsts.hint("merge"), "digest").where(~F.col("place").eqNullSafe(F.col("earliest")))
     return later.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
@@ -108,7 +112,7 @@ def deduplicated(docs: DataFrame, runs: Runs = Runs()) -> DataFrame:  # noqa: B0
     key = _key(kept["doc_id"], kept["text"])
     marked = kept.withColumn("__id", F.coalesce(key["id"], F.lit(0))).withColumn("__none", key["id"].isNull()).withColumn("__text", key["text"])
     named = spans.select(F.coalesce("doc.id", F.lit(0)).alias("__id"), F.col("doc.id").isNull().alias("__none"), F.col("doc.text").alias("__text"), F.col("spans").alias("__spans"))
-    joined = marked.join(named, ["__id", "__none", "__text"], "left").withColumn("__lines", F.split(whole_text(), "\n", -1))
+    joined = marked.join(named.hint("merge"), ["__id", "__none", "__text"], "left").withColumn("__lines", F.split(whole_text(), "\n", -1))
     filled = lambda line: F.trim(line, F.lit(TRIMMED)) != ""
     inside = lambda i: F.exists("__spans", lambda s: (s["first"] <= i) & (i <= s["last"]))
     left = F.when(F.col("__spans").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda line, i: ~inside(i)))

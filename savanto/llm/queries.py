@@ -72,8 +72,8 @@ def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-#: Runs of the query: two lines, or one of fifty words.
-RUNS = line_dedup.Runs(lines=2, words=50)
+#: Runs of the query: two lines, or one of five words.
+RUNS = line_dedup.Runs(lines=2, words=5)
 
 
 def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:

@@ -160,10 +160,10 @@ def brute_lines(rows, lines, words):
     return out
 
 
-@pytest.mark.parametrize("lines, words", [(2, 50), (3, 12), (1, 9)])
+@pytest.mark.parametrize("lines, words", [(2, 50), (2, 5), (3, 12), (1, 9), (2, 1)])
 def test_line_runs(spark, lines, words):
     rng = random.Random(lines)
-    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 3, 12]))) for _ in range(40)]
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([2, 3, 5, 12, 49]))) for _ in range(40)]
     rows = [(i, "\n".join(rng.choice([*pool, "", "  ", f"own {i} {k}"]) for k in range(rng.randint(0, 25)))) for i in range(60)]
     shared = "\n".join(pool[:6])
     rows += [(60 + i, f"intro {i}\n{shared}\n\nend {i}") for i in range(5)] + [(70, "x\nx\nx\nx"), (71, None), (72, "")]
