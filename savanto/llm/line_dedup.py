@@ -6,8 +6,7 @@ Earlier means a smaller id, then (for rows that share an id) a smaller digest of
 line. Ids must be numbers.
 
 A line of ``Runs.words`` words or more is a window, and a fingerprint, of its own. Of every window of
-``Runs.lines`` line hashes that has a shorter line in it the least one is selected as its fingerprint, so every
-run contains one. Selected lines are posted with their positions and counted over the corpus; those that occur
+``Runs.lines`` line hashes the least one is selected as its fingerprint, so every run contains one. Selected lines are posted with their positions and counted over the corpus; those that occur
 twice are joined with their positions again and extended both ways, to the windows whose least line they are.
 Of equal windows the first position is a minimum that is combined before the exchange, and all later ones are
 deleted; a longer match is extended from one selected line to the next, by windows that overlap. A very
@@ -52,14 +51,12 @@ def fingerprints_of(text: str, runs: Runs) -> list[tuple[int, int, int, bytes]]:
     raw = [s.encode("utf-8", "surrogatepass") for _, s in kept]
     hashes = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
     digests = [xxhash.xxh3_128_digest(r) for r in raw]
-    alone = [s.count(" ") + 1 >= runs.words for _, s in kept]
-    found = [(int(hashes[j]), i, i, digests[j]) for j, (i, _) in enumerate(kept) if alone[j]]
+    found = [(int(hashes[j]), i, i, digests[j]) for j, (i, s) in enumerate(kept) if s.count(" ") + 1 >= runs.words]
     if len(kept) >= runs.lines:
         least = np.lib.stride_tricks.sliding_window_view(hashes, runs.lines).min(axis=1)
         found += [
             (int(least[j]), kept[j][0], kept[j + runs.lines - 1][0], xxhash.xxh3_128_digest(b"".join(digests[j : j + runs.lines]) + b"run"))
             for j in range(len(least))
-            if not all(alone[j : j + runs.lines])  # a repeat of long lines only is one of each of them
         ]
     return found
 
