@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from savanto.functions import values as vx
 from savanto.operators import paging, projections, upsert
 from savanto.operators.bucket_store import BucketStore
+from savanto.operators.seek import StoredOrder
 from savanto.session import new_path
 from savanto.skew import global_rank
 from savanto.sources import stored
@@ -389,8 +390,29 @@ def paginate(t: Tables):
     with_views("select user_id, listed_count from profiles where listed_count > 10 order by user_id limit 50 offset 20"),
 )
 def offset_batch(t: Tables):
+    """One batch of the users in order, from an order stored before."""
     listed = t.profiles().where("listed_count > 10").select("user_id", "listed_count")
-    return paging.batch(listed, [F.col("user_id")], 20, 50)
+    stored_order = StoredOrder.build(listed, [F.col("user_id")], new_path(t.spark, "user-order"))
+    return stored_order.page(t.spark, 20, 50)
+
+
+@case(
+    "seek_pages",
+    """select o_orderkey, page from (select o_orderkey, n // 25 as page, o_total from (
+         select o_orderkey, o_totalprice as o_total, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as n,
+         count(*) over () as total from orders) where n < 25 or n // 25 = (total // 2) // 25 or n // 25 = (total - 1) // 25)""",
+)
+def seek_pages(t: Tables):
+    """The first, the middle and the last page of all orders by price."""
+    rows = t.orders.select("o_orderkey", "o_totalprice")
+    pages = StoredOrder.build(rows, [F.desc("o_totalprice"), F.col("o_orderkey")], new_path(t.spark, "price-order"), range_rows=4096)
+    total = pages.total(t.spark)
+    chosen = sorted({0, total // 2 // 25, max(total - 1, 0) // 25})
+    found = [pages.page(t.spark, 25 * n, 25).select("o_orderkey", F.lit(n).cast("bigint").alias("page")) for n in chosen]
+    out = found[0]
+    for page in found[1:]:
+        out = out.unionByName(page)
+    return out
 
 
 @case(
