@@ -14,7 +14,8 @@ themselves, so a source with most of the documents is spread like any other.
 
 Null texts have no tokens; a source without tokens is passed once, whole. A null source is a source.
 Rows that repeat are documents of their own; equal hashes are ordered by text. An empty table gives an
-empty result. All other columns are kept; columns named like the results are replaced.
+empty result. All other columns are kept; columns named like the results are replaced, and no
+column may be named ``__mix_`` and something. Long texts are rows like any other; a block is a number of documents.
 """
 
 from __future__ import annotations
@@ -145,10 +146,10 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 1, tokens: Colum
     sources = broadcast_if_small(plan(light, target))
     same = lambda df: df["source"].eqNullSafe(sources["source"])
 
-    dealt = F.pmod(F.conv(F.substring(_hash(seed, F.coalesce("doc_id", F.lit(-1))), 1, 8), 16, 10).cast("long"), F.col("n_blocks"))
+    in_blocks = lambda n: F.pmod(F.conv(F.substring(_hash(seed, F.coalesce("doc_id", F.lit(-1))), 1, 8), 16, 10).cast("long"), F.col(n))
     blocks = (
         light.join(sources.select("source", "n_blocks"), same(light))
-        .select(light["source"], "tokens", dealt.alias("block"))
+        .select(light["source"], "tokens", in_blocks("n_blocks").alias("block"))
         .groupBy("source", "block")
         .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     )
@@ -163,20 +164,26 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 1, tokens: Colum
     )
     before = Window.partitionBy("source", "epoch").orderBy(_hash(seed, F.col("epoch"), "block", F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("quota") - F.col("epoch") * F.col("of_source") - F.coalesce(F.sum("tokens").over(before), F.lit(0))
+    # one block name for the join and the window, so that texts move once
+    name = lambda source, block: F.concat_ws(":", block.cast("string"), F.coalesce(source, F.lit("")), source.isNull().cast("string"))
     schedule = (
         passes.select("source", "block", "epoch", "of_source", left.alias("left"), F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("first"))
         .where("left > 0 or of_source = 0")
-        .select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), "epoch", "of_source", "left", "first")
+        # names that no column of the documents is likely to have
+        .select(
+            name(F.col("source"), F.col("block")).alias("__mix_block"), F.col("epoch").alias("__mix_epoch"), (F.col("of_source") == 0).alias("__mix_whole"),
+            F.col("left").alias("__mix_left"), F.col("first").alias("__mix_first"),
+        )
     )
     schedule = written(schedule, "mixing-schedule")
 
-    spread = sized.join(sources.select(F.col("source").alias("p_source"), "n_blocks"), sized["source"].eqNullSafe(F.col("p_source")))
-    # one block name for the join and the window, so that texts move once
-    name = lambda source, block: F.concat_ws(":", block.cast("string"), F.coalesce(source, F.lit("")), source.isNull().cast("string"))
-    spread = spread.withColumn("__block", name(F.col("source"), dealt)).drop("p_source", "n_blocks")
-    chosen = spread.join(schedule.select(name(F.col("s_source"), F.col("s_block")).alias("__block"), "epoch", "of_source", "left", "first"), "__block")
-    in_block = Window.partitionBy("__block", "epoch").orderBy(_hash(seed, F.col("epoch"), "doc", F.coalesce("doc_id", F.lit(-1))), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    out = chosen.withColumn("__used", F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0))).withColumn(
-        "place", F.col("first") + F.coalesce(F.count(F.lit(1)).over(in_block), F.lit(0))
+    of_blocks = sources.select(F.col("source").alias("__mix_source"), F.col("n_blocks").alias("__mix_blocks"))
+    spread = sized.join(of_blocks, sized["source"].eqNullSafe(F.col("__mix_source")))
+    spread = spread.withColumn("__mix_block", name(F.col("source"), in_blocks("__mix_blocks"))).drop("__mix_source", "__mix_blocks")
+    chosen = spread.join(schedule, "__mix_block")
+    order = [_hash(seed, F.col("__mix_epoch"), "doc", F.coalesce("doc_id", F.lit(-1))), F.col("doc_id"), F.col("text")]
+    in_block = Window.partitionBy("__mix_block", "__mix_epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = chosen.withColumn("__mix_used", F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0))).withColumn(
+        "place", F.col("__mix_first") + F.coalesce(F.count(F.lit(1)).over(in_block), F.lit(0))
     )
-    return out.where("__used < left or of_source = 0").select(*sized.columns, "epoch", "place")
+    return out.where("__mix_used < __mix_left or __mix_whole").select(*sized.columns, F.col("__mix_epoch").alias("epoch"), "place")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = [a + b for a in ("ka", "lo", "mi", "tu", "re", "so") for b in ("n", "st", "ra", "del", "")]
 #: Columns that operators use for themselves.
-CLASHING = "ids decoded score predicted slot shard epoch place n_tokens component_id kept digest block stored bucket clean_text n_lines n_removed term mask hot tokens part toxic __x".split()
+CLASHING = "ids decoded score predicted slot shard epoch place n_tokens component_id kept digest block stored bucket clean_text n_lines n_removed term mask hot tokens part toxic left first of_source n_blocks p_source quota docs n search word other phrase rank label quality __x".split()
 
 
 def prose(rng, n):
