@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from html.parser import HTMLParser
+from collections.abc import Callable, Mapping
+from html.entities import name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-# Named references; the ampersand comes last, so that nothing is decoded twice.
-NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
+#: A piece of a page: a comment, a script or style element, a tag, text, or a lone bracket.
+PIECES = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-z][^>]*>|<[!?][^>]*>|[^<]+|<"
+#: A piece of text: a character reference, text without any, or a lone ampersand.
+REFERENCES = r"(?s)&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|[^&]+|&"
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; NULL where there is none."""
+    usable = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number < 0x110000))
+    return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
 
 def decoded(text: Column) -> Column:
-    """Text with its character references replaced; decimal ones of the basic plane, and the named ones."""
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#0*([1-9][0-9]{0,4});"), 1))
-    usable = F.filter(numbers, lambda n: n.cast("int") < 65536)
-    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 4, "0")), "UTF-16BE")
-    out = F.aggregate(usable, text, lambda done, n: F.regexp_replace(done, F.concat(F.lit("&#0*"), n, F.lit(";")), F.replace(F.replace(letter(n), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
-    for name, char in NAMED.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    """Text with its character references replaced, each once: decimal, hexadecimal and named ones."""
+    named = F.create_map(*[F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (name, chr(code))])
+
+    def one(piece: Column) -> Column:
+        inner = F.substr(piece, F.lit(2), F.length(piece) - 2)
+        number = F.when(inner.rlike("^#[0-9]"), F.substr(inner, F.lit(2)).cast("long")).otherwise(F.conv(F.substr(inner, F.lit(3)), 16, 10).cast("long"))
+        char = F.when(F.startswith(inner, F.lit("#")), _character(number)).otherwise(F.try_element_at(named, inner))
+        return F.when(F.startswith(piece, F.lit("&")) & (F.length(piece) > 1), F.coalesce(char, piece)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(REFERENCES), 0)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def text_of(markup: Column) -> Column:
@@ -31,14 +41,77 @@ def text_of(markup: Column) -> Column:
     return decoded(bare)
 
 
-def first_text(html: Column, tag: str, css_class: str | None = None) -> Column:
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of an opening tag, references decoded; NULL if it has none by that name."""
+    pattern = rf"(?is)^<[^>]*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+    values = [F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]
+    return F.when(tag.rlike(pattern), decoded(F.concat(*values)))
+
+
+def _opens(piece: Column, tag: str) -> Column:
+    return piece.rlike(rf"(?i)^<{tag}[\s/>]")
+
+
+def _closes(piece: Column, tag: str) -> Column:
+    return piece.rlike(rf"(?i)^</{tag}[\s>]")
+
+
+def _spans(pieces: Column, tag: str, starts: Callable[[Column], Column]) -> Column:
+    """``(first, last)`` places of the outermost ``tag`` elements whose opening tag ``starts`` holds for.
+
+    A fold over the pieces counts the elements of that name that are open; an element ends where its own closing
+    tag stands. Elements that are never closed are none.
+    """
+    spans = F.array().cast("array<struct<first:int,last:int>>")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("first"), spans.alias("spans"))
+
+    def step(state: Column, at: Column) -> Column:
+        piece, inside = at["piece"], state["open"] > 0
+        more = F.when(_opens(piece, tag) & (inside | starts(piece)), 1).when(inside & _closes(piece, tag), -1).otherwise(0)
+        now = state["open"] + more
+        ends = inside & (now == 0)
+        return F.struct(
+            now.alias("open"),
+            F.when(~inside & (now == 1), at["i"]).otherwise(state["first"]).alias("first"),
+            F.when(ends, F.concat(state["spans"], F.array(F.struct(state["first"].alias("first"), at["i"].alias("last"))))).otherwise(state["spans"]).alias("spans"),
+        )
+
+    # text has no part in the counting
+    placed = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("piece"))), lambda x: _opens(x["piece"], tag) | _closes(x["piece"], tag))
+    return F.aggregate(placed, start, step, lambda state: state["spans"])
+
+
+def _has_class(piece: Column, css_class: str | None, part: bool = False) -> Column:
+    if not css_class:
+        return F.lit(True)
+    value = F.coalesce(_attribute(piece, "class"), F.lit(""))
+    return F.contains(value, F.lit(css_class)) if part else F.array_contains(F.split(value, r"\s+"), css_class)
+
+
+def elements(html: Column, tag: str, css_class: str | None = None, part: bool = False) -> Column:
+    """The markup between the tags of every outermost ``tag`` element (with a class, or a class that has
+    ``css_class`` as a part), in page order."""
+    pieces = F.regexp_extract_all(html, F.lit(PIECES), 0)
+    inner = lambda all_, s: F.array_join(F.slice(all_, s["first"] + 2, s["last"] - s["first"] - 1), "")
+    # bound once by a one-element array, so that a page is cut once
+    return F.transform(
+        F.array(pieces), lambda all_: F.transform(_spans(all_, tag, lambda p: _has_class(p, css_class, part)), lambda s: inner(all_, s))
+    )[0]
+
+
+def first_text(html: Column, tag: str, css_class: str | None = None, part: bool = False) -> Column:
     """Text of the first ``tag`` element (optionally with a class); NULL if there is none.
 
-    The element ends at the first closing tag of its name.
+    The element ends at its own closing tag, whatever elements of its name it holds.
     """
-    attrs = rf'\s[^>]*class="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"[^>]*' if css_class else r"(?:\s[^>]*)?"
-    pattern = rf"(?s)<{tag}{attrs}>(.*?)</{tag}>"
-    return F.when(F.regexp_like(html, F.lit(pattern)), text_of(F.regexp_extract(html, pattern, 1)))
+    return F.transform(F.array(F.get(elements(html, tag, css_class, part), F.lit(0))), text_of)[0]
+
+
+def first_attribute(html: Column, tag: str, css_class: str | None, name: str, part: bool = False) -> Column:
+    """An attribute of the first ``tag`` (optionally with a class) that has it; NULL if none has."""
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>"), 0)
+    values = F.transform(F.filter(tags, lambda t: _has_class(t, css_class, part)), lambda t: _attribute(t, name))
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
 def links(html: Column) -> Column:
@@ -63,72 +136,19 @@ def without_query(url: Column) -> Column:
     return F.get(F.split(url, r"\?"), F.lit(0))
 
 
-def _reader():
-    """The item reader class; built in a function, so executors need no installed package."""
-    void = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    class ItemReader(HTMLParser):
-        """Collects, for every item element, the first value of each wanted field inside it."""
-
-        def __init__(self, item: tuple[str, str], fields: Mapping[str, tuple[str, str, str]]):
-            super().__init__(convert_charrefs=True)
-            self.item, self.fields = item, fields
-            self.rows: list[dict] = []
-            self.depth = 0  # open elements inside the current item
-            self.row: dict | None = None
-            self.texts: list[tuple[str, int]] = []  # fields whose text is being read
-
-        def handle_starttag(self, tag, attrs):
-            attrs = {k: v or "" for k, v in attrs}
-            if self.row is None:
-                if tag == self.item[0] and self.item[1] in attrs.get("class", ""):
-                    self.row, self.depth, self.texts = {}, 1, []
-                return
-            if tag not in void:
-                self.depth += 1
-            for name, (want_tag, want_class, attr) in self.fields.items():
-                if name in self.row or tag != want_tag or want_class not in attrs.get("class", ""):
-                    continue
-                if attr == "text":
-                    self.row[name] = ""
-                    self.texts.append((name, self.depth))
-                elif attr in attrs:
-                    self.row[name] = attrs[attr]
-
-        def handle_data(self, data):
-            for name, _ in self.texts:
-                self.row[name] += data
-
-        def handle_endtag(self, tag):
-            if self.row is None or tag in void:
-                return
-            self.texts = [(n, d) for n, d in self.texts if d < self.depth]
-            self.depth -= 1
-            if self.depth == 0:
-                self.rows.append(self.row)
-                self.row = None
-
-    return ItemReader
-
-
 def page_items(
     pages: DataFrame, key: str, html: str, item: tuple[str, str], fields: Mapping[str, tuple[str, str, str]]
 ) -> DataFrame:
     """One row per item element of every page.
 
     ``item`` is ``(tag, class)``; ``fields`` maps a column to ``(tag, class, attribute)`` where
-    the attribute ``text`` asks for the element's text. An empty class matches any element.
+    the attribute ``text`` asks for the element's text. A class is met by any that has it as a part, an empty one
+    by any element. Items within an item belong to it; the first element of a field counts.
     """
-    names, make = list(fields), _reader()
-    schema = f"{key} bigint, position int, " + ", ".join(f"{n} string" for n in names)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, page in zip(batch[key], batch[html]):
-                reader = make(item, fields)
-                reader.feed(page or "")
-                out += [(k, i, *(r.get(n) for n in names)) for i, r in enumerate(reader.rows)]
-            yield pd.DataFrame(out, columns=[key, "position", *names])
-
-    return pages.select(F.col(key).cast("bigint").alias(key), html).mapInPandas(read, schema)
+    found = pages.select(F.col(key).cast("bigint").alias(key), F.posexplode(elements(F.col(html), *item, part=True)).alias("position", "__item"))
+    body = F.col("__item")
+    made = [
+        (first_text(body, tag, css, part=True) if attribute == "text" else first_attribute(body, tag, css, attribute, part=True)).alias(name)
+        for name, (tag, css, attribute) in fields.items()
+    ]
+    return found.select(key, "position", *made)

@@ -171,6 +171,11 @@ def test_text_of_nested_and_decoded_markup(spark):
         ('<div id="1" class="big ad">&lt;p&gt; &#233;&#0039; <!-- c --><script>1</script>z</div><div class="ad">late</div>', "<p> é' z"),
         ('<div class="ad">&amp;lt; $1 \\</div>', "&lt; $1 \\"),
         ('<div class="ad"></div>', ""),
+        ('<div class="ad">a <div>b</div> c</div><div class="ad">d</div>', "a b c"),
+        ("<DIV><div class='x ad'>1<div><div class=\"ad\">2</div></div>3</div>4</DIV>", "123"),
+        ('<div class="ad">&#x41;&#X1f600;&#128512;&eacute;&euro;&nosuch;&#0;&#xD800;&AMP & x</div>', "A\U0001f600\U0001f600é€&nosuch;&#0;&#xD800;&AMP & x"),
+        ('<div class="ad">open <div>never closed</div>', None),
+        ('<!-- <div class="ad">no</div> --><divider class="ad">no</divider><div class="ad"><!-- </div> -->a<script>"</div>"</script>b</div>', "ab"),
         ("<p>none</p>", None),
     ]
     df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "i int, html string")
@@ -178,6 +183,17 @@ def test_text_of_nested_and_decoded_markup(spark):
     assert [r.t for r in got] == [t for _, t in pages]
 
 
+def test_items_within_items_and_attributes(spark):
+    page = (
+        "<ul><li class='row'><a href='/a?x=1&amp;y=2' >one <ul><li class='row'>inner</li></ul></a></li>"
+        "<li>not a row</li><LI class=\"big row\"><a>no target</a><a href=/b>two</a></LI></ul><li class=row><img alt=''>"
+    )
+    df = spark.createDataFrame([(7, page), (8, "")], "page_id bigint, html string")
+    fields = {"target": ("a", "", "href"), "label": ("a", "", "text"), "alt": ("img", "", "alt")}
+    rows = hx.page_items(df, "page_id", "html", ("li", "row"), fields).orderBy("position").collect()
+    assert [tuple(r) for r in rows] == [(7, 0, "/a?x=1&y=2", "one inner", None), (7, 1, "/b", "no target", None)]
+
+
 def test_declared_fields(spark):
     rows = spark.createDataFrame([(1, [("a", 2)]), (2, [])], "pk int, items array<struct<n:string,k:int>>")
     fields = [projections.Field("id", "pk"), projections.Field("things", "items", many=(projections.Field("name", "n", F.upper),))]
