@@ -113,6 +113,11 @@ def top_users(posts: DataFrame, k: int) -> DataFrame:
     return top_per_group(totals, ["tag"], [F.desc("score"), F.col("user_id")], k)
 
 
+def users_named(users: DataFrame, part: str, column: str = "name") -> DataFrame:
+    """Users whose name contains a text, in any case."""
+    return users.where(F.contains(F.lower(column), F.lit(part.lower())))
+
+
 def top_in_tag(posts: DataFrame, k: int) -> DataFrame:
     """Each user's best posts within a tag. ``posts``: tag, user_id, post_id, score."""
     return top_per_group(posts, ["user_id", "tag"], [F.desc("score"), F.col("post_id")], k)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from savanto.functions import text as tx
 from savanto.functions import values as vx
 from savanto.operators import cover
+from savanto.operators.labels import LabelIndex
+from savanto.session import written
 from savanto.skew import broadcast_if_small
 
 # Provenance of a ranking row.
@@ -47,18 +49,26 @@ def rank_users(queries: DataFrame, postings: DataFrame, profiles: DataFrame) ->
     )
 
 
-def topic_match(queries: DataFrame, topics: DataFrame, how: str, limit: int | None = None) -> DataFrame:
+def topic_match(queries: DataFrame, topics: DataFrame | LabelIndex, how: str, limit: int | None = None) -> DataFrame:
     """``(query_id, topic, level, score)`` of the topics that match each query, or the first ``limit``.
 
-    ``topics`` holds distinct labels. ``how`` is ``contains`` or ``prefix``: the raw query, lower
-    case and without wildcards, must occur in the label or start it. A topic without a query term
-    scores nothing and drops out, so terms find the topics and the text test only filters.
+    ``topics`` holds distinct labels, or is their stored index. ``how`` is ``contains`` or ``prefix``: the raw
+    query, lower case and without wildcards, must occur in the label or start it. A topic without a query term
+    scores nothing and drops out.
+
+    With an index the text test finds the topics, and only these are scored; otherwise terms find them among
+    all labels and the text test filters.
     """
-    labelled = topics.select("topic", tx.normal_label(F.col("topic")).alias("label"))
-    scored = cover.cover_scores(labelled, queries, ["topic", "label"], "label")
-    raw = F.lower(F.trim(F.col("query")))
-    where = F.contains(F.col("label"), raw) if how == "contains" else F.startswith(F.col("label"), raw)
-    kept = scored.join(broadcast_if_small(queries), "query_id").where(where)
+    if isinstance(topics, LabelIndex):
+        met = written(topics.lookup(queries, how), "labels-met")
+        scored = cover.cover_scores(met.select("topic", "label").distinct(), queries, ["topic", "label"], "label")
+        kept = scored.join(met.select("query_id", "topic"), ["query_id", "topic"])
+    else:
+        labelled = topics.select("topic", tx.normal_label(F.col("topic")).alias("label"))
+        scored = cover.cover_scores(labelled, queries, ["topic", "label"], "label")
+        raw = F.lower(F.trim(F.col("query")))
+        where = F.contains(F.col("label"), raw) if how == "contains" else F.startswith(F.col("label"), raw)
+        kept = scored.join(broadcast_if_small(queries), "query_id").where(where)
     if limit is not None:
         kept = cover.keep_ranked(kept, ["query_id"], "topic", limit)
     return kept.select("query_id", "topic", "level", "score")
@@ -71,6 +81,7 @@ def external_scores(
     crosswalk: DataFrame,
     profiles: DataFrame,
     how: str,
+    labels: LabelIndex | None = None,
 ) -> DataFrame:
     """``(query_id, user_id, external)``: another network's scores on the scale of the base ranking.
 
@@ -79,8 +90,7 @@ def external_scores(
     scores; a user known under several topics keeps the highest. Queries with an empty base
     ranking get nothing.
     """
-    topics = topic_experts.select("topic").distinct()
-    matched = topic_match(queries, topics, how)
+    matched = topic_match(queries, labels or topic_experts.select("topic").distinct(), how)
     rescaled = topic_experts.select("topic", "expert", F.col("score").alias("native")).join(matched, "topic")
     per_expert = rescaled.groupBy("query_id", "expert").agg(
         F.max(F.col("native") * F.col("score")).alias("high"), F.min(F.col("native") * F.col("score")).alias("low")
@@ -129,15 +139,15 @@ def fuse(base: DataFrame, external: DataFrame, merged_flag: int, added_flag: int
     )
 
 
-def fuse_se(base, queries, topic_experts, crosswalk, profiles) -> DataFrame:
+def fuse_se(base, queries, topic_experts, crosswalk, profiles, labels: LabelIndex | None = None) -> DataFrame:
     """Add the question-and-answer network: topics containing the query."""
-    external = external_scores(queries, base, topic_experts, crosswalk, profiles, "contains")
+    external = external_scores(queries, base, topic_experts, crosswalk, profiles, "contains", labels)
     return fuse(base, external, SE_MERGED, SE_ADDED, "from_se")
 
 
-def fuse_q(ranking, base, queries, topic_experts, crosswalk, profiles) -> DataFrame:
+def fuse_q(ranking, base, queries, topic_experts, crosswalk, profiles, labels: LabelIndex | None = None) -> DataFrame:
     """Add the writers' network: topics starting with the query, on the scale of ``base``."""
-    external = external_scores(queries, base, topic_experts, crosswalk, profiles, "prefix")
+    external = external_scores(queries, base, topic_experts, crosswalk, profiles, "prefix", labels)
     return fuse(ranking, external, Q_MERGED, Q_ADDED, "from_q")
 
 

@@ -141,3 +141,9 @@ def candidates(queries: DataFrame, index: DataFrame, vectors: DataFrame) -> Data
     terms = queries.select("query_id", F.explode(words).alias("word"))
     found = index.join(broadcast_if_small(terms), "word").select("query_id", "user_id").distinct()
     return found.join(vectors.select("user_id"), "user_id", "left_semi").select("query_id", "user_id")
+
+
+def vector_totals(vectors: DataFrame, users: DataFrame) -> DataFrame:
+    """``(user_id, total)``: the sum of each user's vector, 0 for users without topics."""
+    totals = vectors.groupBy("user_id").agg(F.sum("freq").alias("total"))
+    return users.select("user_id").join(totals, "user_id", "left").select("user_id", F.coalesce("total", F.lit(0)).alias("total"))

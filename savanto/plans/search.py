@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from savanto.operators import ranking
+from savanto.operators.labels import LabelIndex
 from savanto.session import cut_lineage
 
 
@@ -22,6 +23,8 @@ class Sources:
     crosswalk: DataFrame  # expert, screen_name
     se_profiles: DataFrame | None = None
     q_profiles: DataFrame | None = None
+    se_labels: LabelIndex | None = None  # stored labels of the topics of either network
+    q_labels: LabelIndex | None = None
 
 
 def rank(queries: DataFrame, src: Sources, include_se: bool = False, include_q: bool = False) -> DataFrame:
@@ -35,9 +38,9 @@ def rank(queries: DataFrame, src: Sources, include_se: bool = False, include_q:
     base = cut_lineage(base)
     out = base
     if include_se:
-        out = ranking.fuse_se(base, queries, src.se_topic_experts, src.crosswalk, src.profiles)
+        out = ranking.fuse_se(base, queries, src.se_topic_experts, src.crosswalk, src.profiles, src.se_labels)
     if include_q:
-        out = ranking.fuse_q(out, base, queries, src.q_topic_experts, src.crosswalk, src.profiles)
+        out = ranking.fuse_q(out, base, queries, src.q_topic_experts, src.crosswalk, src.profiles, src.q_labels)
     return out
 
 

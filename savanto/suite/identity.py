@@ -255,15 +255,15 @@ def refresh_profiles(t: Tables):
 
 @case(
     "near_words",
-    with_views(
-        """select distinct a as token, b as token_2, round(jaro_winkler_similarity(a, b), 6) as similarity
-           from (select distinct a, b from (select unnest(toks) as a, toks from list_toks), unnest(toks) u(b))
-           where a < b and jaro_winkler_similarity(a, b) > 0.8 and jaro_winkler_similarity(a, b) < 1""",
-        *VECTOR_VIEWS[:1],
-    ),
+    """with w as (select list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) as toks from benchmark),
+         pairs as (select distinct a, b from (select unnest(toks) as a, toks from w), unnest(toks) u(b) where a < b)
+       select a as token, b as token_2, round(jaro_winkler_similarity(a, b), 6) as similarity
+       from pairs where jaro_winkler_similarity(a, b) > 0.8 and jaro_winkler_similarity(a, b) < 1""",
 )
 def near_words(t: Tables):
-    found = op.near_words(topics.list_tokens(t.lists()))
+    """Words of one passage that look alike."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    found = op.near_words(t.benchmark.select(F.col("item_id").alias("list_id"), words.alias("tokens")))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -241,6 +241,21 @@ def project_prefixed(t: Tables):
     return projections.project_prefixed(records, "twitter_", F.date_format(now(), "yyyy-MM-dd HH:mm:ss"))
 
 
+@case(
+    "project_networks",
+    """select s_suppkey as so_user_id, s_name as so_display_name, s_acctbal as so_reputation, '2024-01-31 00:00:00' as so_last_crawled,
+       s_name as q_name, s_suppkey * 1000 as q_num_views, '2024-01-31 00:00:00' as q_last_crawled from supplier""",
+)
+def project_networks(t: Tables):
+    """The kept fields of records of the other two networks, side by side."""
+    stamp = F.date_format(now(), "yyyy-MM-dd HH:mm:ss")
+    name, number = F.col("s_name"), F.col("s_suppkey")
+    records = t.supplier.select(number.alias("user_id"), name.alias("display_name"), F.col("s_acctbal").alias("reputation"), F.col("s_nationkey").alias("badge_counts"))
+    profiles = t.supplier.select(name.alias("name"), (number * 1000).alias("num_views"), F.col("s_nationkey").alias("followers"))
+    one, two = projections.project_prefixed(records, "so_", stamp), projections.project_prefixed(profiles, "q_", stamp)
+    return one.join(two, F.col("so_display_name") == F.col("q_name"))
+
+
 @case(
     "project_unprefixed",
     "select s_suppkey as user_id, s_name as display_name, s_acctbal as reputation, s_nationkey as other from supplier",

@@ -340,6 +340,30 @@ def top_answerers(t: Tables):
     return op.top_users(tagged(t), 5)
 
 
+@case(
+    "top_askers",
+    with_views(
+        """select tag, user_id, score, post_count, place from (select *, row_number() over (partition by tag
+             order by score desc, user_id) as place from (
+               select o_orderpriority as tag, o_custkey as user_id, sum(n) as score, count(*) as post_count
+               from orders join (select question_id, count(*) as n from answers group by 1) on question_id = o_orderkey group by 1, 2))
+           where place <= 5""",
+        *QA[1:2],
+    ),
+)
+def top_askers(t: Tables):
+    """Who asked the most answered questions of every priority."""
+    n = answers(t).groupBy("question_id").agg(F.count(F.lit(1)).alias("score"))
+    asked = t.orders.select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("tag"), F.col("o_custkey").alias("user_id"))
+    return op.top_users(asked.join(n, "question_id").select("tag", "user_id", "score"), 5)
+
+
+@case("users_named", "select c_custkey as user_id, c_name as name from customer where contains(lower(c_name), 'r#00000001')")
+def users_named(t: Tables):
+    users = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return op.users_named(users, "R#00000001")
+
+
 @case(
     "top_answerers_month",
     with_views(

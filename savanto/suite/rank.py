@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from savanto.functions import values as vx
 from savanto.operators import cover, ranking, topics
+from savanto.operators.labels import LabelIndex
 from savanto.plans import search as plan
 from savanto.session import new_path, written
 from savanto.sources import stored
@@ -146,14 +147,17 @@ def sources(t: Tables) -> plan.Sources:
         F.replace("s_name", F.lit("#"), F.lit(" ")).alias("q_name"),
         (F.col("s_suppkey") * 1000).alias("q_num_views"),
     )
+    se, q = (written(df, "leaderboard") for df in (t.se_topic_experts(), t.q_topic_experts()))
     return plan.Sources(
         postings=index(t),
         profiles=t.profiles(),
-        se_topic_experts=written(t.se_topic_experts(), "leaderboard"),
-        q_topic_experts=written(t.q_topic_experts(), "leaderboard"),
+        se_topic_experts=se,
+        q_topic_experts=q,
         crosswalk=t.crosswalk(),
         se_profiles=se_profiles,
         q_profiles=q_profiles,
+        se_labels=LabelIndex.build(se, new_path(t.spark, "labels")),
+        q_labels=LabelIndex.build(q, new_path(t.spark, "labels")),
     )
 
 
@@ -258,6 +262,31 @@ def merge_stats(t: Tables):
     return ranking.merge_stats(rows)
 
 
+LABELS_SQL = """with l as (select distinct s_name as topic, replace(lower(s_name), '-', ' ') as label from supplier
+    union select distinct c_name, replace(lower(c_name), '-', ' ') from customer),
+    a as (select distinct 'contains' as how, right(s_name, 3) as query from supplier
+    union select distinct 'prefix', left(lower(c_name), 16) from customer)
+    select how, query, count(topic) as labels, min(topic) as first from a left join l
+    on case when how = 'contains' then contains(label, query) else starts_with(label, query) end group by 1, 2"""
+
+
+@case("label_lookup", LABELS_SQL)
+def label_lookup(t: Tables):
+    """Names of suppliers and customers that contain the last digits of one, or start like one."""
+    names = t.supplier.select(F.col("s_name").alias("topic")).unionByName(t.customer.select(F.col("c_name").alias("topic")))
+    labels = LabelIndex.build(names, new_path(t.spark, "labels"))
+    parts = []
+    for how, asked in (
+        ("contains", t.supplier.select(F.right("s_name", F.lit(3)).alias("query"))),
+        ("prefix", t.customer.select(F.left(F.lower("c_name"), F.lit(16)).alias("query"))),
+    ):
+        queries = asked.distinct().withColumn("query_id", F.col("query"))
+        found = labels.lookup(queries, how).groupBy("query_id").agg(F.count(F.lit(1)).alias("labels"), F.min("topic").alias("first"))
+        joined = queries.join(found, "query_id", "left")
+        parts.append(joined.select(F.lit(how).alias("how"), "query", F.coalesce("labels", F.lit(0)).alias("labels"), "first"))
+    return parts[0].unionByName(parts[1])
+
+
 @case(
     "log_weight",
     with_views(

@@ -298,3 +298,21 @@ def query_vector(t: Tables):
 def vector_storage(t: Tables):
     """Vectors written as JSON maps and read back."""
     return topics.decode_vectors(topics.encode_vectors(written(vectors(t), "vectors")))
+
+
+@case(
+    "vector_total",
+    with_views(
+        """select user_id, coalesce(total, 0) as total, round(case when coalesce(total, 0) = 0 then 0
+             else best / total end, 6) as score
+           from profiles left join (select user_id, sum(freq) as total, max(freq) as best from vectors group by 1) using (user_id)""",
+        *VECTOR_VIEWS,
+    ),
+)
+def vector_total(t: Tables):
+    """The total of every user's vector, and the share of its largest entry; no topics, no score."""
+    stored = written(vectors(t), "vectors")
+    totals = topics.vector_totals(stored, t.profiles())
+    best = stored.groupBy("user_id").agg(F.max("freq").alias("best"))
+    share = F.coalesce(F.try_divide(F.col("best"), F.col("total")), F.lit(0.0))
+    return totals.join(best, "user_id", "left").select("user_id", "total", F.round(share, 6).alias("score"))
