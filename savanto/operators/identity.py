@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from savanto.functions import values as vx
 from savanto.functions.similarity import jaro_winkler, may_reach
 from savanto.operators import upsert
-from savanto.skew import hot_keys, replicate_for_salts, salt_rows
+from savanto.session import written
+from savanto.skew import broadcast_if_small, hot_keys, replicate_for_salts, salt_rows
 
 # Decision thresholds.
 NAME_ABOVE = 0.80
@@ -36,8 +37,8 @@ def candidate_pairs(sources: DataFrame, accounts: DataFrame, compare: str = "nam
     """
     asked = sources.select(F.col("id").alias("src_id"), F.col("name").alias("src_name"), F.col("blocks").alias("src_blocks"), F.explode("blocks").alias("block"))
     keyed = accounts.select(F.col("id").alias("match_id"), F.col(compare).alias("match_name"), F.col("blocks").alias("match_blocks"), F.explode("blocks").alias("block"))
-    # at most one row for every COMMON rows
-    common_asked, common_keyed = (F.broadcast(hot_keys(df, "block", COMMON)) for df in (asked, keyed))
+    # at most one row for every COMMON rows; broadcast only if that is little
+    common_asked, common_keyed = (broadcast_if_small(written(hot_keys(df, "block", COMMON), "common-words")) for df in (asked, keyed))
     asked = salt_rows(asked, common_asked, "block", "src_id").withColumnRenamed("salt", "src_part")
     asked = replicate_for_salts(asked, common_keyed, "block").withColumnRenamed("salt", "match_part")
     keyed = salt_rows(keyed, common_keyed, "block", "match_id").withColumnRenamed("salt", "match_part")
