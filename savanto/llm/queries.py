@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from savanto.llm import bpe, exact_dedup, imatch, line_dedup, minhash, mixing, phrases, quality, sharding, spelling, token_counts, token_files, toxicity
-from savanto.llm.common import table
+from savanto.llm.common import table, whole_text
 from savanto.session import new_path
 
 #: The tokeniser file of the queries.
@@ -123,13 +123,16 @@ def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-#: The mixture of the query: the flattest that goes through no source more than one and a half times.
-MIXTURE = mixing.Target(repeats=1.5)
+#: The mixture of the query: weights of this entropy in nats, as many tokens as the documents have.
+ENTROPY = 2.9
 
 
 def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
     """Every document of the mixture, with its pass and its place in it."""
-    return mixing.mix(table(spark, folder, "documents"), MIXTURE).select("doc_id", "source", "n_tokens", "epoch", "place")
+    docs = table(spark, folder, "documents")
+    total = docs.agg(F.sum(mixing.words(whole_text()))).first()[0] or 0
+    mixture = mixing.Target(entropy=ENTROPY, budget=total)
+    return mixing.mix(docs, mixture).select("doc_id", "source", "n_tokens", "epoch", "place")
 
 
 MIXING_SQL = f"""
@@ -144,22 +147,23 @@ WITH RECURSIVE d AS (
   SELECT source, tokens, tokens / CAST(sum(tokens) OVER () AS DOUBLE) AS p FROM s WHERE tokens > 0
 ), all_shares AS (SELECT list(p) AS l FROM live),
 steps(n, best, other) AS (
-  SELECT 0, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE)
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
   UNION ALL
   SELECT n + 1, CASE WHEN good THEN middle ELSE best END, CASE WHEN good THEN other ELSE middle END
   FROM (
     SELECT n, best, other, (best + other) / 2 AS middle,
-           list_max(list_transform(l, lambda x: pow(x, (best + other) / 2) / x))
-           / list_min(list_transform(l, lambda x: pow(x, (best + other) / 2) / x)) <= {MIXTURE.repeats} AS good
+           ln(list_sum(list_transform(l, lambda x: pow(x, (best + other) / 2))))
+           - (best + other) / 2 * list_sum(list_transform(l, lambda x: pow(x, (best + other) / 2) * ln(x)))
+           / list_sum(list_transform(l, lambda x: pow(x, (best + other) / 2))) >= {ENTROPY} AS good
     FROM steps, all_shares WHERE n < {mixing.STEPS}
   )
 ), e AS (
-  SELECT CASE WHEN list_max(l) / list_min(l) <= {MIXTURE.repeats} THEN 0 ELSE best END AS e
+  SELECT CASE WHEN -list_sum(list_transform(l, lambda x: x * ln(x))) >= {ENTROPY} THEN 1 ELSE best END AS e
   FROM steps, all_shares WHERE n = {mixing.STEPS}
 ), w AS (
   SELECT source, tokens, pow(p, e) / sum(pow(p, e)) OVER () AS w FROM live, e
 ), q AS (
-  SELECT source, CAST(floor(w * max(tokens / w) OVER () + 0.5) AS BIGINT) AS quota FROM w
+  SELECT source, CAST(floor(w * sum(tokens) OVER () + 0.5) AS BIGINT) AS quota FROM w
 ), plan AS (
   SELECT s.source, s.tokens AS of_source, n_blocks, coalesce(quota, 0) AS quota,
          CASE WHEN s.tokens > 0 THEN CAST(ceil(coalesce(quota, 0) / s.tokens) AS BIGINT) ELSE 1 END AS n_epochs
