@@ -11,7 +11,8 @@ each other only.
 
 All steps are built-in functions. Texts are exchanged once, to bring each document to its successor.
 Equal texts have equal fingerprints. Repeated rows are documents of their own, ordered by a hash of the
-text where ids are equal; null ids come last. An empty table gives an empty result.
+text where ids are equal; null ids come last. Very long texts are used whole. Other columns are not looked at.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

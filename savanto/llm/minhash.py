@@ -14,8 +14,9 @@ instead of once per pair, and every task holds two blocks.
 
 Documents with the same shingle set are folded before all this. Documents without words (null, empty or
 blank text) have an empty set and are linked with nothing; with fewer words than a shingle has, the whole
-sequence is the one shingle. Rows that repeat an id are one document, to what any of its texts is alike to; rows without an id stay by themselves. An empty table gives an
-empty result.
+sequence is the one shingle. Rows that repeat an id are one document, alike to what
+any of its texts is alike to; rows without an id stay by themselves. Very long texts are used whole. Other columns
+are not looked at, and kept by :func:`deduplicated`. An empty table gives an empty result.
 """
 
 from __future__ import annotations

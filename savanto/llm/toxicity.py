@@ -11,7 +11,8 @@ the trees on the second, and an isotonic calibration of their output on the thir
 
 Null and empty texts have the features of no words and get a score like any other. Labels that are null
 are not used; rows that repeat an id are scored each. If either label is missing in a part, all scores are
-the share of toxic rows that was found (0 without any). An empty table gives an empty result.
+the share of toxic rows that was found (0 without any). Very long texts are used whole. Columns named like the
+results are replaced, all others are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
