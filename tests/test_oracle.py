@@ -22,3 +22,19 @@ def test_same_rows_as_sql(spark, con, name):
         assert case.run(spark, FOLDER).count() >= 0
     else:
         assert differences(case.run(spark, FOLDER), con, case.sql) is None
+
+
+#: Queries whose ties and orders showed on larger tables only.
+LARGER = ["cover_density", "positional_search", "revisions", "timeline", "top_in_tag", "fk_deref", "seek_pages", "upsert_delta", "near_words"]
+LARGER_FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def larger():
+    return connect(LARGER_FOLDER)
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_same_rows_as_sql_on_larger_tables(spark, larger, name):
+    case = load()[name]
+    assert differences(case.run(spark, LARGER_FOLDER), larger, case.sql) is None
