@@ -143,14 +143,30 @@ def _hashed(words: list[bytes], lang: str, ids: np.ndarray, bits: int) -> np.nda
     return out >> np.uint64(64 - bits) << np.uint64(8 * KEY_BYTES - bits)
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+@dataclass(frozen=True)
+class Ranges:
+    """Equal ranges of the keys; a key is stored as its distance from where its range starts."""
+
+    n: int
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(8 * KEY_BYTES - 32)) * np.uint64(self.n)) >> np.uint64(32)
+
+    def start(self, number: int) -> np.uint64:
+        return np.uint64(-(-(number << 32) // self.n) << (8 * KEY_BYTES - 32))
+
+    @property
+    def width(self) -> int:
+        """Bytes of a distance."""
+        return -(-(8 * KEY_BYTES - (self.n.bit_length() - 1)) // 8)
 
+    def pack(self, distances: np.ndarray) -> bytes:
+        return np.ascontiguousarray(distances.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : self.width].tobytes()
 
-def _unpack(stored: bytes) -> np.ndarray:
-    out = np.zeros((len(stored) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(stored, np.uint8).reshape(-1, KEY_BYTES)
-    return out.view("<u8").reshape(-1)
+    def unpack(self, stored: bytes) -> np.ndarray:
+        out = np.zeros((len(stored) // self.width, 8), np.uint8)
+        out[:, : self.width] = np.frombuffer(stored, np.uint8).reshape(-1, self.width)
+        return out.view("<u8").reshape(-1)
 
 
 def _opened(row: dict) -> tuple[list[bytes], WordIndex]:
@@ -164,7 +180,7 @@ def _one_by_one(rows: pa.RecordBatch | pa.Table) -> Iterator[dict]:
         yield rows.slice(i, 1).to_pylist()[0]
 
 
-def _screener(rule: Rule, n_ranges: int, bits: int):
+def _screener(rule: Rule, ranges: Ranges, bits: int):
     """Packed hashes and capped counts of a shard's phrases, one row for each hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +191,13 @@ def _screener(rule: Rule, n_ranges: int, bits: int):
                 keys, counts = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
                 order = np.argsort(keys)
                 keys, counts = keys[order], counts[order].astype(np.uint8)
-                of = ((keys >> np.uint64(8 * KEY_BYTES - 32)) * np.uint64(n_ranges)) >> np.uint64(32)
+                of = ranges.of(keys).astype(np.int64)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["shard"]] * (len(cuts) - 1), pa.int64()),
-                        pa.array(of[cuts[:-1]].astype(np.int64)),
-                        pa.array([_pack(keys[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                        pa.array(of[cuts[:-1]]),
+                        pa.array([ranges.pack(keys[a:b] - ranges.start(int(of[a]))) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
                         pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
                     ],
                     ["shard", "range", "keys", "counts"],
@@ -190,28 +206,29 @@ def _screener(rule: Rule, n_ranges: int, bits: int):
     return run
 
 
-def _summer(rule: Rule):
+def _summer(rule: Rule, ranges: Ranges):
     """Of one hash range, the keys of each shard whose counts over all shards reach the least one."""
 
     def run(rows: pa.Table) -> pa.Table:
-        keys = [_unpack(k) for k in rows.column("keys").to_pylist()]
+        keys = [ranges.unpack(k) for k in rows.column("keys").to_pylist()]
         counts = np.concatenate([np.frombuffer(c, np.uint8) for c in rows.column("counts").to_pylist()])
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         kept = np.bincount(at, counts)[at] >= rule.least
         ends = np.cumsum([len(k) for k in keys])
-        left = [_pack(k[kept[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
-        out = pa.table([rows.column("shard"), pa.array(left, pa.binary())], ["shard", "keys"])
+        left = [ranges.pack(k[kept[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)]
+        out = pa.table([rows.column("shard"), rows.column("range"), pa.array(left, pa.binary())], ["shard", "range", "keys"])
         return out.filter(pc.greater(pc.binary_length(out.column("keys")), 0))
 
     return run
 
 
-def _teller(rule: Rule, bits: int):
+def _teller(rule: Rule, ranges: Ranges, bits: int):
     """The texts and occurrences of a shard's phrases that may be frequent."""
 
     def run(shard: pa.Table, kept: pa.Table) -> pa.Table:
         langs, phrases, sizes, counts = [], [], [], []
-        keys = np.concatenate([_unpack(k) for k in kept.column("keys").to_pylist()] or [np.empty(0, np.uint64)])
+        of_ranges = zip(kept.column("range").to_pylist(), kept.column("keys").to_pylist(), strict=True)
+        keys = np.concatenate([np.empty(0, np.uint64), *[ranges.unpack(k) + ranges.start(r) for r, k in of_ranges]])
         for row in _one_by_one(shard):
             words, index = _opened(row)
             names = np.array([b"", *words], object)
@@ -234,11 +251,11 @@ def frequent(docs: DataFrame, rule: Rule = Rule(), sizes: Sizes = Sizes()) -> tu
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text(docs["text"]).alias("text"))
     index = written(rows.mapInArrow(_indexer(rule, sizes.shard), INDEX), "word-indexes")
     total = index.agg(F.sum("n_phrases")).first()[0] or 0
-    n_ranges = max(1, -(-total // sizes.range))
-    screened = index.select("shard", "lang", "words", "forward", "reverse").mapInArrow(_screener(rule, n_ranges, sizes.bits), "shard bigint, range bigint, keys binary, counts binary")
-    kept = screened.groupBy("range").applyInArrow(_summer(rule), "shard bigint, keys binary")
+    ranges = Ranges(max(1, -(-total // sizes.range)))
+    screened = index.select("shard", "lang", "words", "forward", "reverse").mapInArrow(_screener(rule, ranges, sizes.bits), "shard bigint, range bigint, keys binary, counts binary")
+    kept = screened.groupBy("range").applyInArrow(_summer(rule, ranges), "shard bigint, range bigint, keys binary")
     # the texts of phrases need one transform only
-    told = index.select("shard", "lang", "words", "forward").groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(_teller(rule, sizes.bits), "lang string, size int, phrase string, n bigint")
+    told = index.select("shard", "lang", "words", "forward").groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(_teller(rule, ranges, sizes.bits), "lang string, size int, phrase string, n bigint")
     counted = told.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= rule.least)
     return written(counted, "phrases"), index.groupBy("lang").agg(F.sum("n_words").alias("n"))
 

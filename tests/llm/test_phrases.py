@@ -93,3 +93,13 @@ def test_long_texts_are_parted_at_piece_ends():
     for p in parts:
         total += counts([p.decode()], 3)
     assert total == counts([text.decode()], 3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 255, 256, 257, 1000, 65536, 70001])
+def test_keys_of_ranges(n):
+    ranges, rng = phrases.Ranges(n), np.random.default_rng(n)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 48, 5000, np.uint64), np.array([0, (1 << 48) - 1], np.uint64)]))
+    starts = np.array([ranges.start(int(r)) for r in ranges.of(keys)], np.uint64)
+    assert (keys >= starts).all() and (ranges.of(starts) == ranges.of(keys)).all()
+    assert (ranges.unpack(ranges.pack(keys - starts)) + starts == keys).all()
+    assert ranges.width == (6 if n < 256 else 5 if n < 65536 else 4)
