@@ -51,7 +51,7 @@ class Rule:
 class Sizes:
     """Bytes of text of a shard, about; phrases of a hash range; bits of a hash that count."""
 
-    shard: int = 8 << 20
+    shard: int = 6 << 20
     range: int = 1 << 19
     bits: int = 8 * KEY_BYTES
 
@@ -76,11 +76,15 @@ def word_ids(raw: bytes) -> tuple[list[bytes], np.ndarray]:
 
 def _planes(numbers: np.ndarray) -> bytes:
     """32-bit numbers with their lowest bytes first, then the next ones: the upper ones are mostly zero."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    n = 3 if not len(numbers) or numbers.max() < 1 << 24 else 4
+    return bytes([n]) + numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:n].tobytes()
 
 
 def _from_planes(stored: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(stored, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int32)
+    planes = np.frombuffer(stored, np.uint8, offset=1).reshape(stored[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<i4").reshape(-1)
 
 
 def stretches(text: bytes, size: int) -> Iterator[bytes]:
@@ -189,6 +193,7 @@ def _screener(rule: Rule, ranges: Ranges, bits: int):
                 words, index = _opened(row)
                 found = [(_hashed(words, row["lang"], p.words, bits), np.minimum(p.n, rule.least)) for p in index.phrases(rule.longest)]
                 keys, counts = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+                del found, index
                 order = np.argsort(keys)
                 keys, counts = keys[order], counts[order].astype(np.uint8)
                 of = ranges.of(keys).astype(np.int64)
