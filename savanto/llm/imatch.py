@@ -83,13 +83,12 @@ def fingerprints(rows: DataFrame, lexicon_: DataFrame, keys: list[str], texts: d
     """
     none = F.lit(None).cast("long")
     parts = [F.struct(F.lit(i).alias("which"), terms(F.col(c)).alias("terms")) for i, c in enumerate(texts.values())]
-    everything = F.array_sort("p.terms")
     held = F.struct(*[F.col(c) for c in others or []]) if others else F.struct(F.lit(0).alias("__none"))
     spread = (
         rows.withColumn("__held", held)
         .select(*keys, "__held", F.explode(F.array(*parts)).alias("p"))
         # one row without a term carries the other columns and all terms
-        .select(*keys, "__held", F.col("p.which").alias("which"), everything.alias("all"), F.explode(F.concat(F.array(none), F.col("p.terms"))).alias("term"))
+        .select(*keys, "__held", F.col("p.which").alias("which"), F.col("p.terms").alias("all"), F.explode(F.concat(F.array(none), F.col("p.terms"))).alias("term"))
         .select(*keys, "which", "term", F.when(F.col("term").isNull(), F.struct("__held", "all")).alias("row"))
     )
     # at most (mean terms of a document) / LOW rows
@@ -108,7 +107,9 @@ def fingerprints(rows: DataFrame, lexicon_: DataFrame, keys: list[str], texts: d
     def fingerprint(i: int) -> Column:
         line = lambda slot: F.try_element_at(F.col(f"__slots{i}"), slot.cast("string"))
         empty = F.transform(numbers, lambda slot: F.hash(F.hash(F.col(f"__all{i}")), slot))
-        alone = F.when(F.size(f"__all{i}") == 0, empty).otherwise(F.transform(numbers, lambda slot: _own(F.col(f"__all{i}"), slot)))
+        # sorted only here: few documents have no lexicon terms
+        own = F.transform(F.array(F.sort_array(f"__all{i}")), lambda a: F.transform(numbers, lambda slot: _own(a, slot)))[0]
+        alone = F.when(F.size(f"__all{i}") == 0, empty).otherwise(own)
         return F.when(F.size(f"__found{i}") == 0, alone).otherwise(F.transform(numbers, lambda slot: F.when(line(slot).isNotNull(), F.hash(line(slot)))))
 
     carried = [F.col(f"__held.{c}").alias(c) for c in others or []]
