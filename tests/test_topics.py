@@ -115,3 +115,19 @@ def test_frequencies_equal_a_plain_count(spark):
         for a, b in zip(stream, stream[1:]):
             want[(u, f"{a} {b}")] = 1
     assert vectors_of(spark, texts, members) == want
+
+
+def test_counts_of_one_block_are_not_exchanged_again(spark):
+    """A list's words are made once, and counted where the window has put them."""
+    texts = [("web dev", "rust"), ("rust", ""), ("go web", ""), (None, "the"), ("dev", "dev rust")]
+    members = [(u, i) for u in range(5) for i in range(5) if (u + i) % 3]
+    lists = lists_of(spark, texts)
+    member_of = spark.createDataFrame(members, "user_id bigint, list_id bigint")
+    plan = topics.topic_vectors(member_of, lists)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in plan and "topic" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+    far = topics.topic_vectors(
+        member_of.selectExpr("user_id", "list_id << 21 as list_id"), lists.selectExpr("list_id << 21 as list_id", "name", "description")
+    )
+    one = vectors_of(spark, texts, members)
+    assert {(r.user_id, r.topic): r.freq for r in far.collect()} == one  # five blocks
+    assert one[0, "web dev"] == 1 and one[0, "rust go"] == 1
