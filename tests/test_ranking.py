@@ -1,6 +1,7 @@
 """Ranking, fusion and provenance."""
 
 import math
+import re
 
 import pytest
 
@@ -41,6 +42,18 @@ def test_rank_one_network(spark, world):
     }
 
 
+def test_postings_are_exchanged_by_user(spark, world, monkeypatch):
+    """A topic of all users is no large group, and the parts follow the rows that the queries make."""
+    vectors = spark.range(200).selectExpr("id as user_id", "'red ring' as topic", "2L as freq")
+    queries = cover.make_queries(spark, ["red", "ring", "red ring"])
+    monkeypatch.setattr(ranking, "SUMMED_ROWS", 10)
+    ranked = ranking.rank_users(queries, topics.postings(vectors), world.profiles)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" in plan and not re.search(r"hashpartitioning\((word#\d+, topic|topic#\d+, word)", plan)
+    assert "60), REPARTITION_BY_NUM" in plan  # 600 rows
+    assert ranked.count() == 600 and ranked.where("user_id = 4").first().score == pytest.approx(2 * math.log(10))
+
+
 def test_all_topics_of_a_user_count(spark):
     rows = [(u, f"w{i:03d} red", 1 + (i * u) % 7) for u in (1, 2) for i in range(60 if u == 1 else 25)]
     vectors = spark.createDataFrame(rows, "user_id bigint, topic string, freq bigint")
