@@ -99,7 +99,8 @@ def _texts_differ(docs: DataFrame, groups: DataFrame, digest: Callable[[Column],
     ends = [F.min("text").alias("least"), F.max("text").alias("most")]
     marked = texts.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
     of_hot = marked.where("hot").groupBy("digest").agg(*ends)
-    of_rest = marked.where("hot is null").join(several.where("not hot"), "digest", "left_semi").groupBy("digest").agg(*ends)
+    # these grow with the input, so they are not broadcast where they happen to be few
+    of_rest = marked.where("hot is null").join(several.where("not hot").hint("merge"), "digest", "left_semi").groupBy("digest").agg(*ends)
     return of_hot.unionByName(of_rest).where("least <> most").select("digest")
 
 

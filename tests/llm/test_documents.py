@@ -49,6 +49,15 @@ def test_exact_classes(spark, digest, split):
     assert collections.Counter(map(tuple, got.collect())) == want
 
 
+def test_texts_to_compare_move_alike_at_any_size(spark):
+    docs = spark.createDataFrame([(i, f"text {i // 2}") for i in range(40)], "doc_id bigint, text string")
+    groups = exact_dedup.grouped(docs.select("doc_id", exact_dedup.sha256(F.col("text")).alias("digest")))
+    differ = exact_dedup._texts_differ(docs, groups, exact_dedup.sha256)
+    plan = differ._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in next(x for x in plan.split("\n") if "SortMergeJoin" in x)  # few groups are not broadcast
+    assert differ.count() == 0
+
+
 def test_exact_deduplicated(spark):
     docs = odd_docs(spark)
     out = exact_dedup.deduplicated(docs, exact_dedup.earlier_half(docs))
