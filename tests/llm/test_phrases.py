@@ -103,3 +103,14 @@ def test_keys_of_ranges(n):
     assert (keys >= starts).all() and (ranges.of(starts) == ranges.of(keys)).all()
     assert (ranges.unpack(ranges.pack(keys - starts)) + starts == keys).all()
     assert ranges.width == (6 if n < 256 else 5 if n < 65536 else 4)
+
+
+def test_tasks_get_one_shard_at_a_time(spark, monkeypatch):
+    batch, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(batch)
+    store = phrases.written
+    monkeypatch.setattr(phrases, "written", lambda df, label: seen.update({label: spark.conf.get(batch)}) or store(df, label))
+    docs = spark.createDataFrame([("en", "a b c. " * 40)] * 8, "lang string, text string")
+    counted, _ = phrases.frequent(docs, sizes=phrases.Sizes(shard=64, range=4))
+    assert {r.phrase: r.n for r in counted.collect()} == {p: 320 for p in ("a", "b", "c", "a b", "b c", "a b c")}
+    assert seen == {"word-indexes": before, "phrases": "1"} and spark.conf.get(batch) == before
