@@ -63,10 +63,10 @@ def recrawl_schedule(t: Tables):
     pages = t.events.select(F.concat_ws(":", "user_id", "event_type").alias("page"), F.col("ts").cast("timestamp").alias("ts"))
     first, last = pages.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
     cuts = [None, *[first + (last - first) * k // 3 for k in (1, 2)], None]
-    for low, high in zip(cuts, cuts[1:], strict=False):  # one file after another, each run goes on from the one before
+    for low, high in zip(cuts, cuts[1:], strict=False):  # one part after another, each run goes on from the one before
         at = F.unix_micros("ts")
         part = pages.where((F.lit(low is None) | (at >= F.lit(low or 0))) & (F.lit(high is None) | (at < F.lit(high or 0))))
-        part.coalesce(1).write.mode("append").parquet(f"{out}/feed")
+        part.write.mode("append").parquet(f"{out}/feed")
         feed = feeds.read_feed(t.spark, f"{out}/feed", pages.schema)
         feeds.finish(state.start_recrawls(feed, "page", "ts", DUE_SECONDS, f"{out}/rows", f"{out}/checkpoint"))
     rows = t.spark.read.schema("page string, crawled timestamp, due timestamp").parquet(f"{out}/rows")

@@ -1,7 +1,11 @@
-"""What keyed feeds hand to Python."""
+"""What keyed feeds hand to Python, and how many tasks write them."""
 
-from savanto.session import new_path
+import datetime as dt
+import glob
+
+from savanto.session import new_path, shared_folder
 from savanto.streaming import feeds, state
+from savanto.suite import load
 
 
 def test_rows_whose_like_came_before_end_in_the_state_store(spark):
@@ -20,3 +24,16 @@ def test_rows_whose_like_came_before_end_in_the_state_store(spark):
     assert sorted(map(str, got)) == sorted(f"Row(site={s!r}, item={i})" for s, i in [("b", 2), (None, 3), ("c", 4)])
     dropped = [o["customMetrics"].get("numDroppedDuplicateRows", 0) for p in query.recentProgress for o in p["stateOperators"]]
     assert sum(dropped) == 8  # the repeats of one batch and of the one before
+
+
+def test_a_part_of_the_crawls_is_written_by_many_tasks(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(i, day(i % 24), i % 7, "view") for i in range(400)]
+    folder = new_path(spark, "events")
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string").repartition(4).write.parquet(f"{folder}/events.parquet")
+    got = load()["recrawl_schedule"].run(spark, folder).collect()
+    times = {u: sorted({r[1] for r in rows if r[2] == u}) for u in range(7)}
+    late = [(f"{u}:view", a) for u, ts in times.items() for a, b in zip(ts, [*ts[1:], day(23)]) if b - a >= dt.timedelta(days=7)]
+    assert sorted((r.page, r.crawled) for r in got) == sorted((p, str(a)) for p, a in late)
+    newest = max(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/recrawl-*/feed"), key=lambda p: len(glob.glob(f"{p}/part-*")))
+    assert len(glob.glob(f"{newest}/part-*")) > 3
