@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +23,14 @@ def whole_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps its workers, and what one stage leaves with the allocators
+    counts in the next."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU library has it
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, each with about ``size`` bytes of text or one row; what a part needed is given
     back to the system after the batch."""
@@ -33,4 +42,4 @@ def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
-    pa.default_memory_pool().release_unused()
+    give_back()
