@@ -32,7 +32,7 @@ KNOWN_PAIRS = 1 << 18
 #: A generation of pieces: smaller than the library's, as the automaton and the pairs take memory too.
 PIECES = 150_000
 #: Bytes of text encoded at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 class Merges:
@@ -89,11 +89,16 @@ class Merges:
     def encode(self, word: str) -> list[int]:
         """The ids of a word given in byte letters."""
         last: list[tuple[int, int] | None] = [None] * len(word)  # for each prefix: its last token, and where that starts
+        known = self.known.get  # most pairs are: they are looked up here
         for end, (size, token) in self.automaton.iter(word):
             if last[end] is None:
                 start = end - size  # the end of the prefix before
-                if start < 0 or (before := last[start]) is not None and self.compatible(before[0], token):
+                if start < 0:
                     last[end] = (token, start)
+                elif (before := last[start]) is not None:
+                    apart = known(before[0] << 32 | token)
+                    if self.compatible(before[0], token) if apart is None else apart:
+                        last[end] = (token, start)
         ids, at = [], len(word) - 1
         while at >= 0:
             token, at = last[at]
