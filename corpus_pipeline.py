@@ -18,6 +18,8 @@ NEAR = minhash.Likeness(words=5, percent=80)
 #: Every document is used at least once, and those of no source more than one and a half times on average.
 MIXTURE = mixing.Target(repeats=1.5)
 TOKENIZER = "byte_bpe_50k.json"
+#: Bytes that Spark hands to a Python worker at once. Both sides hold a batch as a whole, and rows are long.
+BATCH_BYTES = 2 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the text decoded from them, as digests."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     path = public_tokenizers.path(TOKENIZER)
     return bpe.digests(bpe.encode(docs, path, keep=["doc_id"], decoded="decoded"))
 

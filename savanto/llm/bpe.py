@@ -29,8 +29,8 @@ from savanto.llm.common import slices, whole_text
 
 #: Pairs of tokens whose compatibility one worker remembers.
 KNOWN_PAIRS = 1 << 18
-#: A generation of pieces: smaller than the library's, as the automaton and the pairs take memory too.
-PIECES = 150_000
+#: Words that one worker remembers: fewer than with the library, as the automaton and the pairs take memory too.
+WORDS = 150_000
 #: Bytes of text encoded at once.
 SLICE = 1 << 20
 
@@ -115,7 +115,9 @@ def merges(path: str) -> Merges:
 @functools.cache
 def encoder(path: str) -> vocabulary.TextEncoder:
     """Whole texts to packed ids."""
-    return vocabulary.text_encoder(path, merges(path).encode, PIECES)
+    made = vocabulary.text_encoder(path, merges(path).encode, WORDS)
+    vocabulary.library.cache_clear()  # its pre-tokeniser stays, its model is not needed here
+    return made
 
 
 @functools.cache
@@ -146,7 +148,7 @@ def encode(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, table = encoder(tokenizer), token_bytes(tokenizer) if decoded else []
+        table, to_ids = token_bytes(tokenizer) if decoded else [], encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "__text", SLICE):
                 found, ends = to_ids.flat(part.column("__text"))

@@ -2,7 +2,7 @@
 
 A byte-level pre-tokeniser never joins a white-space character to the character before it, unless
 that is white space too. A text may therefore be cut before every run of white space, and the ids of
-the text are the ids of its pieces in order. Words repeat, so each distinct piece is encoded once per
+the text are the ids of its pieces in order. Words repeat, so each distinct word is encoded once per
 worker while it stays in memory.
 """
 
@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 #: The characters with the Unicode property White_Space (fixed values).
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-#: Pieces kept in memory by one worker: two generations of this many, and as many words.
-GENERATION = 250_000
+#: Words kept in memory by one worker: of Latin letters, other words, and pieces of other words, each this many.
+WORDS = 400_000
 #: Characters of one text that are cut into pieces at once.
 STRETCH = 1 << 20
 
@@ -73,35 +73,11 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-class Memory:
-    """Values of pieces, made in bulk when missing; forgets the pieces not used for a generation."""
-
-    def __init__(self, make: Callable[[list[str]], list[bytes]], size: int = GENERATION) -> None:
-        self.make, self.size = make, size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def of(self, pieces: list[str]) -> list[bytes]:
-        """The values of distinct pieces."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        values = list(map(self.young.get, pieces))
-        gaps = [i for i, v in enumerate(values) if v is None]
-        names = [pieces[i] for i in gaps]
-        kept = list(map(self.old.get, names))
-        made = iter(self.make([p for p, v in zip(names, kept, strict=True) if v is None]))
-        filled = [next(made) if v is None else v for v in kept]
-        self.young.update(zip(names, filled, strict=True))
-        for i, v in zip(gaps, filled, strict=True):
-            values[i] = v
-        return values
-
-
 class TextEncoder:
-    """Whole texts to ids; ``make`` gives the packed ids of pieces, ``special`` those of added tokens."""
+    """Whole texts to ids; ``memory`` gives the packed ids of pieces, ``special`` those of added tokens."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], special: dict[str, bytes], size: int = GENERATION) -> None:
-        self.memory, self.special = Memory(make, size), special
+    def __init__(self, memory: WordEncoder, special: dict[str, bytes]) -> None:
+        self.memory, self.special = memory, special
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         # texts that blanks alone would not cut into pieces, or that hold the mark of the first piece
         self.uneven = f"[{WHITE_SPACE}] |\x00" + "".join("|" + re.escape(t) for t in special)
@@ -163,55 +139,81 @@ def byte_letters() -> dict[str, int]:
 
 
 LETTERS = {byte: letter for letter, byte in byte_letters().items()}
-BLANK = LETTERS[32]
+BLANK, LINE_END = LETTERS[32], LETTERS[10]
 #: Marks of :data:`SIMPLE` that end sentences and clauses.
 MARKS = frozenset(".,;:!?")
 
 
 class WordEncoder:
-    """Packed ids of pieces, by way of their words in byte letters; words are remembered."""
+    """Packed ids of pieces, by way of their words in byte letters; words are remembered.
+
+    Pieces of Latin letters are not: few come again, and their words are found as fast.
+    """
 
-    def __init__(self, path: str, encode: Callable[[str], list[int]], size: int = GENERATION) -> None:
+    def __init__(self, path: str, encode: Callable[[str], list[int]], size: int = WORDS) -> None:
         self.split, self.encode, self.size = library(path).pre_tokenizer.pre_tokenize_str, encode, size
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # Latin letters, with a blank before or without, as they stand in the text
+        self.others: dict[str, bytes] = {}  # all other words, in byte letters
+        self.whole: dict[str, bytes] = {}  # pieces that the library cuts
 
-    def word(self, word: str) -> bytes:
+    def _keep(self, memory: dict[str, bytes], name: str, ids: bytes) -> bytes:
+        if len(memory) >= self.size:
+            memory.clear()
+        memory[name] = ids
+        return ids
+
+    def latin(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= self.size:
-                self.known.clear()
-            found = self.known[word] = packed(self.encode(word))
+            # of ASCII, in byte letters only the blank differs
+            letters = word.replace(" ", BLANK) if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
+            found = self._keep(self.known, word, packed(self.encode(letters)))
         return found
 
+    def other(self, word: str) -> bytes:
+        found = self.others.get(word)
+        return self._keep(self.others, word, packed(self.encode(word))) if found is None else found
+
     def piece(self, piece: str) -> bytes:
-        if piece and piece.isascii():
-            # a blank and letters, perhaps a comma or the like behind them: in byte letters only the blank differs
-            if (rest := piece[1:]).isalpha():
-                if piece[0] == " ":
-                    return self.word(BLANK + rest)
-                if piece[0].isalpha():
-                    return self.word(piece)
-            elif piece[0] == " " and piece[-1] in MARKS and (rest := piece[1:-1]).isalpha():
-                return self.word(BLANK + rest) + self.word(piece[-1])
         simple = SIMPLE.fullmatch(piece)
         if simple is None:
-            return b"".join([self.word(word) for word, _ in self.split(piece)])
-        return b"".join([self.word(w.encode().decode("latin-1").translate(LETTERS)) for w in simple.groups() if w])
+            parts = PIECE.findall(piece)  # of texts cut at blanks, a piece may hold line ends
+            if len(parts) > 1:
+                return b"".join(self.of(parts))
+            found = self.whole.get(piece)
+            return self._keep(self.whole, piece, b"".join([self.other(word) for word, _ in self.split(piece)])) if found is None else found
+        line, word, marks = simple.groups()
+        return (self.other(LINE_END) if line else b"") + (self.latin(word) if word else b"") + (self.other(marks) if marks else b"")
+
+    def of(self, pieces: list[str]) -> list[bytes]:
+        known, out = self.known.get, []
+        for piece in pieces:
+            found = known(piece)
+            if found is None:
+                # a known word, and a comma or the like behind it
+                if piece[-1:] in MARKS and (word := known(piece[:-1])) is not None:
+                    found = word + self.other(piece[-1])
+                else:
+                    found = self.piece(piece)
+            out.append(found)
+        return out
+
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        return [self.piece(p) for p in pieces]
+@functools.lru_cache(64)
+def _packer(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"<{n}I").pack
 
 
 def packed(ids: Sequence[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _packer(len(ids))(*ids)
 
 
-def text_encoder(path: str, encode: Callable[[str], list[int]], size: int = GENERATION) -> TextEncoder:
-    """Whole texts to ids; ``encode`` gives the ids of a word in byte letters, ``size`` is a generation."""
+def text_encoder(path: str, encode: Callable[[str], list[int]], size: int = WORDS) -> TextEncoder:
+    """Whole texts to ids; ``encode`` gives the ids of a word in byte letters, ``size`` words are remembered."""
     if not byte_level(path):
         raise ValueError(f"{path} is no plain byte-level tokeniser")
-    return TextEncoder(WordEncoder(path, encode, size).pieces, {t: packed([i]) for t, i in added_tokens(path).items()}, size)
+    return TextEncoder(WordEncoder(path, encode, size), {t: packed([i]) for t, i in added_tokens(path).items()})
 
 
 @functools.cache

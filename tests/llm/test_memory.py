@@ -1,8 +1,10 @@
 """Workers outlive their tasks: what a task frees has to leave the process."""
 
+import public_tokenizers
 import pyarrow as pa
 
-from savanto.llm import common, phrases
+import corpus_pipeline
+from savanto.llm import bpe, common, phrases, vocabulary
 
 
 def resident() -> int:
@@ -30,3 +32,20 @@ def test_memory_is_given_back_after_every_batch_and_shard(monkeypatch):
     shards = [pa.RecordBatch.from_pydict(row)] * 2
     told = list(phrases._screener(phrases.Rule(least=2), phrases.Ranges(1), 48)(iter(shards)))
     assert [t.column("shard").to_pylist() for t in told] == [[7], [7]] and len(calls) == 3
+
+
+def test_encoding_workers_hold_words_only():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    bpe.encoder.cache_clear()
+    memory = bpe.encoder(path).memory
+    assert vocabulary.library.cache_info().currsize == 0
+    memory.of([" great", " great,", " great.", "\n", " 5,5"])
+    assert set(memory.known) == {" great"} and set(memory.whole) == {" 5,5"}
+
+
+def test_the_encoding_takes_small_batches(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b " * 250_000) for i in range(4)], "doc_id long, text string").coalesce(1)
+    assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == 4
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == corpus_pipeline.BATCH_BYTES
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) < 4
