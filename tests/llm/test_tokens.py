@@ -142,3 +142,10 @@ def test_decoding_broken_characters_and_null_lists(spark):
     got = {r.i: r.decoded for r in bpe.decode(rows, PATH).collect()}
     want = vocabulary.library(PATH).decode_batch(lists, skip_special_tokens=False)
     assert [got[i] for i in range(202)] == [*want, "", ""]
+
+
+def test_pieces_with_line_ends_are_cut_without_the_library():
+    memory, cut = vocabulary.text_encoder(PATH, bpe.merges(PATH).encode).memory, []
+    memory.split = lambda piece: cut.append(piece) or []
+    (ids,) = memory.of([" word.\nOther"])
+    assert not cut and np.frombuffer(ids, "<u4").tolist() == library_ids(" word.\nOther")
