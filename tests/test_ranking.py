@@ -7,6 +7,7 @@ import pytest
 
 from savanto.operators import cover, ranking, topics
 from savanto.plans import search as plan
+from savanto.session import written
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +55,17 @@ def test_postings_are_exchanged_by_user(spark, world, monkeypatch):
     assert ranked.count() == 600 and ranked.where("user_id = 4").first().score == pytest.approx(2 * math.log(10))
 
 
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_words_of_the_queries_are_in_the_scan(spark, world, monkeypatch, listed):
+    """Stored postings of other words are left undecoded; a batch of more words than are listed is joined only."""
+    monkeypatch.setattr(ranking, "LISTED_WORDS", listed)
+    stored = written(world.postings, "postings")
+    ranked = ranking.rank_users(cover.make_queries(spark, ["red ring"]), stored, world.profiles)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert ("In(word, [red,ring])" in plan or "In(word, [ring,red])" in plan) == (listed > 1)
+    assert {u: round(s, 6) for u, (s, _) in scores(ranked).items()} == {1: round(4 * math.log(20), 6), 2: 0.0, 4: round(2 * math.log(10), 6)}
+
+
 def test_all_topics_of_a_user_count(spark):
     rows = [(u, f"w{i:03d} red", 1 + (i * u) % 7) for u in (1, 2) for i in range(60 if u == 1 else 25)]
     vectors = spark.createDataFrame(rows, "user_id bigint, topic string, freq bigint")
