@@ -13,9 +13,12 @@ are left unread. The result is that of scoring everything.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,10 @@ from savanto.session import written
 BLOCK_DOCS, FOLDERS = 1024, 64
 #: Distinct terms of a batch of queries that are written into the plan; beyond, the join alone selects.
 LISTED_TERMS = 1000
+#: Tasks that share a block's documents, and those that write a folder.
+SPREAD = 8
+#: Bytes of text whose postings a task makes at once; one longer text is a slice of its own.
+SLICE_BYTES = 1 << 22
 #: Documents that the first blocks of a query hold for each one kept; each round takes so many times more.
 MARGIN, FACTOR = 2, 4
 
@@ -53,26 +60,72 @@ def folder_of(term: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch with about ``SLICE_BYTES`` of text."""
+    before = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        done = before[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(before, done + SLICE_BYTES, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, block, documents, positions) of rows (document, block, text): a document's tokens are put together
+    where its text is, and the documents of a block that come together share a row."""
+    for batch in (part for whole in batches for part in _slices(whole)):
+        split = pc.split_pattern(batch.column("text"), " ")
+        sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        blocks = batch.column("block").dictionary_encode()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code += np.repeat(blocks.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes) * len(words.dictionary)
+        kept = np.flatnonzero(pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False)[code % max(1, len(words.dictionary))])
+        kept = kept[np.argsort(code[kept], kind="stable")]  # rows and positions stay in order
+        row, pos, code = row[kept], pos[kept], code[kept]
+        new = np.diff(code, prepend=-1) != 0
+        docs = np.flatnonzero(new | (np.diff(row, prepend=-1) != 0))
+        heads = np.flatnonzero(new)
+        positions = pa.ListArray.from_arrays(pa.array(np.append(docs, len(row)), pa.int32()), pa.array(pos, pa.int32()))
+        of_head = pa.array(np.append(np.searchsorted(docs, heads), len(docs)), pa.int32())
+        term, block = (pa.array(x) for x in np.divmod(code[heads], max(1, len(words.dictionary)))[::-1])
+        keys = batch.column(0).take(pa.array(row[docs]))
+        columns = [words.dictionary.take(term), blocks.dictionary.take(block), pa.ListArray.from_arrays(of_head, keys), pa.ListArray.from_arrays(of_head, positions)]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "block", "keys", "positions"])
+
+
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", folders: int = FOLDERS, block_docs: int = BLOCK_DOCS) -> Index:
-    """Store the postings of all documents; ``key`` is unique, a missing text has no terms."""
-    tokens = docs.select(key, tx.blank_separated(F.col(text)).alias("tokens")).withColumn("n", F.coalesce(F.size("tokens"), F.lit(0)))
+    """Store the postings of all documents; a missing text has no terms. ``key`` is unique; rows that share one are
+    searched as one document, and bounds are as many times larger."""
+    # what is taken out of a text are never blanks, so they count its tokens
+    blanks = F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit("")))
+    counted = docs.select(key, text, F.coalesce(blanks + 1, F.lit(0)).alias("n"))
     # documents of about equal length share a block, so that the bounds of a block are near to what it holds
     length = F.floor(F.log2(F.greatest("n", F.lit(1))) * 2).cast("int")
-    sized = docs.select(tx.blank_separated(F.col(text)).alias("tokens")).select(F.coalesce(F.size("tokens"), F.lit(0)).alias("n"))
-    per_length = sized.groupBy(length.alias("length")).agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("blocks"))
+    per_length = counted.groupBy(length.alias("length")).agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("blocks"))
     # one row for each half power of two of a text's length
-    blocked = tokens.withColumn("length", length).join(F.broadcast(per_length), "length")
+    blocked = counted.withColumn("length", length).join(F.broadcast(per_length), "length")
     block = F.concat_ws(":", "length", F.pmod(F.xxhash64(key), F.col("blocks")))
-    placed = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    single = blocked.select(key, block.alias("block"), F.explode(placed).alias("t")).select(key, "block", "t.term", "t.pos").where("term <> ''")
-    # a document's own terms: combined before the exchange, no larger than the document
-    postings = single.groupBy("term", "block", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    kind = docs.schema[key].dataType.simpleString()
+    cleaned = blocked.where(F.col(text).isNotNull()).select(key, block.alias("block"), tx.blank_cleaned(F.col(text)).alias("text"))
+    # whole texts are exchanged, so that a block's documents come together; several tasks share a block
+    together = cleaned.repartition("block", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(SPREAD))).sortWithinPartitions("block")
+    postings = together.mapInArrow(_postings, f"term string, block string, keys array<{kind}>, positions array<array<int>>")
     stored = postings.withColumn("folder", folder_of(F.col("term"), folders))
     # a folder is written by several tasks: a common term's postings are spread by block
-    spread = F.pmod(F.xxhash64("block"), F.lit(8))
-    stored.repartition("folder", spread).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
-    index = Index(path, key, docs.schema[key].dataType.simpleString(), folders)
-    bounds = index.postings(docs.sparkSession).groupBy("folder", "term", "block").agg(F.count(F.lit(1)).alias("docs"), F.max(F.size("positions")).alias("most"))
+    spread = F.pmod(F.xxhash64("block"), F.lit(SPREAD))
+    placed = stored.repartition("folder", spread).sortWithinPartitions("folder", "term", "block")
+    # a row for each document is made after the sort
+    single = placed.select("folder", "term", "block", F.inline(F.arrays_zip(F.col("keys").alias(key), F.col("positions"))))
+    single.select("term", "block", key, "positions", "folder").write.partitionBy("folder").parquet(f"{path}/postings")
+    index = Index(path, key, kind, folders)
+    most_rows = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    bounds = index.postings(docs.sparkSession).groupBy("folder", "term", "block").agg(
+        F.count(F.lit(1)).alias("docs"), (F.max(F.size("positions")) * F.lit(most_rows)).cast("int").alias("most")
+    )
     bounds.repartition("folder", spread).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{path}/summaries")
     return index
 

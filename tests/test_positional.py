@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,29 @@ def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     index = positional.build(docs, new_path(spark, "positional"))
     assert positional.search(index, cover.make_queries(spark, ["a b"])).count() == 0
+
+
+def test_documents_of_a_block_share_a_row(monkeypatch):
+    """A document's tokens are put together in the task that has its text, whatever the slices."""
+    texts = ["b a b", "", " a", "c", "b  b é"]
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, None, 7, 8]), pa.array(["x", "x", "x", "y", "x"]), pa.array(texts)], ["id", "block", "text"])
+    (rows,) = positional._postings(iter([batch]))
+    got = {(r["term"], r["block"]): list(zip(r["keys"], r["positions"])) for r in rows.to_pylist()}
+    assert len(got) == rows.num_rows
+    assert got == {("b", "x"): [(4, [0, 2]), (8, [0, 2])], ("a", "x"): [(4, [1]), (None, [1])], ("é", "x"): [(8, [3])], ("c", "y"): [(7, [0])]}
+    monkeypatch.setattr(positional, "SLICE_BYTES", 1)
+    parts = [r for part in positional._postings(iter([batch])) for r in part.to_pylist()]
+    again = {}
+    for r in parts:
+        again.setdefault((r["term"], r["block"]), []).extend(zip(r["keys"], r["positions"]))
+    assert again == got and len(parts) == 6
+
+
+def test_rows_that_share_a_key_are_one_document(spark):
+    rows = [(i % 150, text) for i, text in enumerate(texts(300, 3))] + [(None, "a zz b"), (None, "c a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = positional.build(docs, new_path(spark, "positional"), folders=5, block_docs=4)
+    queries = cover.make_queries(spark, ["a b c", "e f", "zz a b"])
+    scored = positional.search(index, queries, 400).collect()
+    want = cover.cover_density(docs, queries, limit=400).collect()
+    assert {(r.query_id, r.doc_id, r.level, round(r.score, 9)) for r in scored} == {(r.query_id, r.doc_id, r.level, round(r.score, 9)) for r in want}
