@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from savanto.functions import text as tx
 from savanto.operators import topics
-from savanto.skew import adjacent_pairs, global_rank
+from savanto.session import written
+from savanto.skew import adjacent_pairs, broadcast_if_small, global_rank
 
 
 def lists_of(spark, texts):
@@ -131,3 +132,34 @@ def test_counts_of_one_block_are_not_exchanged_again(spark):
     one = vectors_of(spark, texts, members)
     assert {(r.user_id, r.topic): r.freq for r in far.collect()} == one  # five blocks
     assert one[0, "web dev"] == 1 and one[0, "rust go"] == 1
+
+
+def joins_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Join" in line]
+
+
+def test_list_texts_are_never_broadcast(spark):
+    """A small file of lists may hold words that no driver can; Spark sees the file's size only."""
+    lists = written(lists_of(spark, [("web dev", "rust"), ("go web", None)]), "lists")
+    member_of = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "user_id bigint, list_id bigint")
+    vectors = topics.topic_vectors(member_of, lists)
+    assert [line for line in joins_of(vectors) if "SortMergeJoin [list_id" in line] and not [line for line in joins_of(vectors) if "Broadcast" in line]
+    assert {(r.user_id, r.topic): r.freq for r in vectors.collect()}[1, "rust go"] == 1
+
+
+def test_candidates_do_not_broadcast_the_vectors(spark):
+    rows = [(1, "a b", 1), (1, "b", 2), (2, "c", 2), (None, "b", 2)]
+    vectors = written(spark.createDataFrame(rows, "user_id bigint, topic string, freq bigint"), "vectors")
+    index = topics.index_rows(vectors).unionByName(spark.createDataFrame([("b", 3)], "word string, user_id bigint"))
+    queries = spark.createDataFrame([(0, "B"), (1, "c a")], "query_id bigint, query string")
+    got = topics.candidates(queries, index, vectors)
+    assert all("SortMergeJoin" in line for line in joins_of(got) if "LeftSemi" in line)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1), (1, 1), (1, 2)]
+
+
+def test_a_large_side_in_a_small_file_is_not_broadcast(spark):
+    large = written(spark.range(50_000).select("id", F.lit("x" * 300).alias("text")), "large")
+    joined = spark.range(10).join(broadcast_if_small(large), "id")
+    assert "SortMergeJoin" in joins_of(joined)[0] and joined.count() == 10
+    assert "BroadcastHashJoin" in joins_of(spark.range(10).join(broadcast_if_small(large.limit(5)), "id"))[0]
