@@ -49,3 +49,25 @@ def test_only_the_asked_grams_are_scanned(spark, labels):
 def test_no_labels(spark):
     index = LabelIndex.build(spark.createDataFrame([], "topic string"), new_path(spark, "labels"))
     assert index.lookup(cover.make_queries(spark, ["a"])).count() == 0
+
+
+def test_a_label_meets_a_query_by_its_whole_beginning(spark, tmp_path):
+    """Labels that start alike are not paired with every query that does, and no label is posted under parts of grams."""
+    n = 200
+    topics = spark.range(n).select(F.format_string("Name#%09d", "id").alias("topic"))
+    index = LabelIndex.build(topics, str(tmp_path / "labels"))
+    queries = topics.select(F.lower(F.substring("topic", 1, 13)).alias("query")).distinct().withColumn("query_id", F.col("query"))
+    found = index.lookup(queries, "prefix")
+    assert found.count() == n
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join [" in line]
+    assert len(joins) == 2 and sum("[gram" in line and "query" in line for line in joins) == 1
+    assert index.postings(spark).groupBy("topic").count().agg(F.max("count")).first()[0] <= 14
+
+
+def test_short_queries_find_a_label_once(spark, tmp_path):
+    index = LabelIndex.build(spark.createDataFrame([("abab",), ("ba",), ("b",), ("aab-",), ("",)], "topic string"), str(tmp_path / "labels"))
+    queries = cover.make_queries(spark, ["a", "ab", "b", "aba", "ba"])
+    got = {how: sorted((r.query_id, r.topic) for r in index.lookup(queries, how).collect()) for how in ("contains", "prefix")}
+    assert got["contains"] == [(0, "aab-"), (0, "abab"), (0, "ba"), (1, "aab-"), (1, "abab"), (2, "aab-"), (2, "abab"), (2, "b"), (2, "ba"), (3, "abab"), (4, "abab"), (4, "ba")]
+    assert got["prefix"] == [(0, "aab-"), (0, "abab"), (1, "abab"), (2, "b"), (2, "ba"), (3, "abab"), (4, "ba")]
